@@ -14,7 +14,7 @@ from tidemark import build_session  # noqa: E402
 
 
 def main(folder: str, names: list[str]) -> int:
-    spark = build_session(master="local[8]", shuffle_partitions=8, extra={"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session(master="local[8]", shuffle_partitions=8, extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     connection, oracles, bad = duck(folder), entry.oracle_sql(), 0
     for name, run in entry.queries().items():

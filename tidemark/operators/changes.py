@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.names import fold_names, unfold_names
-from tidemark.operators.ordered import GROUP_ROWS, row_numbers
+from tidemark.operators.ordered import GROUP_ROWS, Sizes, group_sizes, row_numbers
 from tidemark.operators.versions import get_version, set_version
 from tidemark.schemas import KEY
 from tidemark.sources.scratch import new_path
@@ -65,15 +65,23 @@ def get_steps(steps: DataFrame, changes: DataFrame, case_sensitive: bool = True)
     return unfold_names(shaped, KEY, case_sensitive)
 
 
-def order_steps(selected: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Adds `run_order` per key: ascending going up, descending going down."""
+def registry_sizes(steps: DataFrame) -> Sizes:
+    """Open steps in all and under the largest key, which bounds any selection of them."""
+    return group_sizes(steps.filter(F.col("completed") == 0).select(*KEY), KEY)
+
+
+def order_steps(selected: DataFrame, group_rows: int = GROUP_ROWS, sizes: Sizes | None = None) -> DataFrame:
+    """Adds `run_order` per key: ascending going up, descending going down.
+
+    `sizes` may give an upper bound on the selection, such as `registry_sizes`.
+    """
     up = F.col("is_upgrade_direction") == 1
     order = [
         F.when(up, F.col("step_version")).otherwise(-F.col("step_version")),
         F.when(up, F.col("step_sequence")).otherwise(-F.col("step_sequence")),
         F.col("step_id"),
     ]
-    return row_numbers(selected, KEY, order, "run_order", group_rows)
+    return row_numbers(selected, KEY, order, "run_order", group_rows, sizes)
 
 
 def change_summary(changes: DataFrame, selected: DataFrame) -> DataFrame:
@@ -169,7 +177,8 @@ def run_steps(ordered: DataFrame, registry: Mapping[tuple[str, str], StepBody],
     """
     spark = ordered.sparkSession
     path = new_path(spark, "outcomes")
-    spark.createDataFrame([], OUTCOME).write.parquet(path)
+    # Lanes write side by side, so each has a folder of its own.
+    spark.createDataFrame([], OUTCOME).write.parquet(f"{path}/empty")
     lane_of = F.pmod(F.xxhash64(*KEY), F.lit(concurrency))
 
     def run_lane(lane: int) -> None:
@@ -190,14 +199,14 @@ def run_steps(ordered: DataFrame, registry: Mapping[tuple[str, str], StepBody],
                 failed_key = key if error is not None else None
                 batch.append((*key, row["step_id"], "run" if error is None else "failed", error))
             if len(batch) == OUTCOME_BATCH:
-                _save(spark, batch, path)
+                _save(spark, batch, f"{path}/lane-{lane}")
                 batch = []
         if batch:
-            _save(spark, batch, path)
+            _save(spark, batch, f"{path}/lane-{lane}")
 
     with ThreadPoolExecutor(max_workers=concurrency) as pool:
         list(pool.map(run_lane, range(concurrency)))
-    return spark.read.schema(OUTCOME).parquet(path)
+    return spark.read.schema(OUTCOME).option("recursiveFileLookup", "true").parquet(path)
 
 
 def _save(spark: SparkSession, batch: list[tuple], path: str) -> None:

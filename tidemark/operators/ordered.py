@@ -11,7 +11,9 @@ map side) and picks between
   a chunk is added from a summary with one row per (chunk, group).
 
 Chunks are written to the shared folder before use, so both readings of them
-see the same cut even when tasks are retried.
+see the same cut even when tasks are retried. A caller that knows an upper bound
+from a cheaper table (`group_sizes` of the table the rows were picked from)
+passes it as `sizes` and saves the measuring pass.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ GROUP_ROWS = 2_000_000
 _CHUNK = "_chunk"
 _BEFORE = "_before"
 
+Sizes = tuple[int, int]
 
-def _sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+
+def group_sizes(df: DataFrame, keys: list[str]) -> Sizes:
     """(all rows, rows of the largest group)."""
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     row = groups.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
@@ -66,12 +70,13 @@ def running_total(
     weight: Column | None = None,
     inclusive: bool = True,
     group_rows: int = GROUP_ROWS,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Sum of `weight` (1 by default) over the rows of a group up to each row.
 
     `order` must end in a column that is unique within the group.
     """
-    rows, largest = _sizes(df, keys)
+    rows, largest = sizes or group_sizes(df, keys)
     one = weight is None
     worth = F.lit(1).cast("long") if one else weight.cast("long")
 
@@ -98,10 +103,15 @@ def running_total(
 
 
 def row_numbers(
-    df: DataFrame, keys: list[str], order: list[Column], out: str, group_rows: int = GROUP_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    out: str,
+    group_rows: int = GROUP_ROWS,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Dense numbers from 1 within each group; no `keys` numbers the whole table."""
-    return running_total(df, keys, order, out, group_rows=group_rows)
+    return running_total(df, keys, order, out, group_rows=group_rows, sizes=sizes)
 
 
 def previous_value(
@@ -111,9 +121,10 @@ def previous_value(
     value: Column,
     out: str,
     group_rows: int = GROUP_ROWS,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """`value` of the row before each row of its group, NULL for the first."""
-    rows, largest = _sizes(df, keys)
+    rows, largest = sizes or group_sizes(df, keys)
     if largest <= group_rows:
         return df.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
 

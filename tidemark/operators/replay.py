@@ -28,28 +28,28 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import GROUP_ROWS, previous_value, running_total
+from tidemark.operators.ordered import GROUP_ROWS, Sizes, group_sizes, previous_value, running_total
 from tidemark.operators.versions import set_version
 from tidemark.schemas import KEY, VERSION_TYPE
 from tidemark.sources.scratch import materialize
 
 WHEN = ["ts", "request_id"]
-SLOT = [*KEY, "version", "sequence"]
+# Columns `_located` adds to a step.
+_FACTS = ["level", "leads", "has_lead", "lead_runs", "follow_runs"]
 
 
-class Moves(NamedTuple):
-    """Requests as moves between level numbers, and the levels themselves."""
+class ReplayPlan(NamedTuple):
+    """Requests as moves between level numbers, and the steps placed on them."""
 
     moves: DataFrame  # key, ts, request_id, from_version, to_version, from_level, to_level
-    levels: DataFrame  # key, version, level, start_level
+    located: DataFrame  # steps of the requested keys with the facts that decide their runs
+    untouched: DataFrame  # steps of all other keys
+    level_sizes: Sizes  # bound on the levels of one key
 
 
 def _timeline(versions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests plus one seed row per key that stands for its starting version.
-
-    A request for a NULL version is an error that changes nothing, so it is left out.
-    """
-    asked = requests.filter(F.col("to_version").isNotNull()).select(*KEY, *WHEN, "to_version")
+    """Requests plus one seed row per key that stands for its starting version."""
+    asked = requests.select(*KEY, *WHEN, "to_version")
     keys = asked.select(*KEY).distinct()
     start = keys.join(versions.select(*KEY, "version"), KEY, "left").select(
         *KEY, F.coalesce("version", F.lit(0).cast(VERSION_TYPE)).alias("to_version")
@@ -59,29 +59,68 @@ def _timeline(versions: DataFrame, requests: DataFrame) -> DataFrame:
     return asked.unionByName(seeds)
 
 
-def plan_moves(steps: DataFrame, versions: DataFrame, requests: DataFrame, group_rows: int = GROUP_ROWS) -> Moves:
-    """Place every request and every step version on the level numbers of its key."""
-    timeline = _timeline(versions, requests)
-    is_start = F.col("request_id").isNull()
-    # Reduced to distinct points before anything is sorted.
-    asked = timeline.groupBy(*KEY, F.col("to_version").alias("version")).agg(
-        F.lit(0).alias("is_level"), F.max(is_start).alias("is_start")
+def _located(steps: DataFrame, levels: DataFrame) -> DataFrame:
+    """Steps with their level and the facts about their (version, sequence).
+
+    Joined back on the level number: a 38-digit version is a slow key.
+    """
+    placed = steps.join(levels, [*KEY, "version"])
+    # Above the start a version is first crossed upwards, else downwards.
+    lead = F.when(F.col("level") > F.col("start_level"), 1).otherwise(0)
+    placed = placed.withColumn("leads", F.col("upgrade") == lead).drop("start_level")
+    open_step = F.col("completed") == 0
+    place = [*KEY, "level", "sequence"]
+    facts = placed.groupBy(*place).agg(
+        F.max(F.col("leads")).alias("has_lead"),
+        F.max(~F.col("leads")).alias("_has_follow"),
+        F.max(F.col("leads") & open_step).alias("lead_runs"),
+        F.max(~F.col("leads") & open_step).alias("_follow_open"),
     )
-    stepped = steps.groupBy(*KEY, "version").agg(F.lit(1).alias("is_level"), F.lit(False).alias("is_start"))
+    follow_runs = F.col("_has_follow") & (F.col("lead_runs") | F.col("_follow_open"))
+    facts = facts.withColumn("follow_runs", follow_runs).drop("_has_follow", "_follow_open")
+    return placed.join(facts, place).select(*steps.columns, *_FACTS)
+
+
+def plan_replay(
+    steps: DataFrame, versions: DataFrame, requests: DataFrame, group_rows: int = GROUP_ROWS
+) -> ReplayPlan:
+    """Place every request and every step version on the level numbers of its key.
+
+    A request for a NULL version is an error that changes nothing, so it is left
+    out. Only keys with requests are worked on. Both tables are written once, since
+    the runs, the flags and the counts all start from them.
+    """
+    requests = requests.filter(F.col("to_version").isNotNull())
+    asked_rows, asked_largest = group_sizes(requests.select(*KEY), KEY)
+    step_rows, step_largest = group_sizes(steps.select(*KEY), KEY)
+    # A key has one seed row besides its requests, and at most one point per
+    # request and per step.
+    timeline_sizes = (2 * asked_rows, asked_largest + 1)
+    point_sizes = (timeline_sizes[0] + step_rows, timeline_sizes[1] + step_largest)
+
+    timeline = _timeline(versions, requests)
+    keys = requests.select(*KEY).distinct()
+    touched = steps.join(keys, KEY, "left_semi")
+    is_seed = F.col("request_id").isNull()
+    # One aggregate reduces requests and steps to distinct points on the map side.
     points = (
-        asked.unionByName(stepped)
+        timeline.select(*KEY, F.col("to_version").alias("version"), F.lit(0).alias("is_level"), is_seed.alias("is_start"))
+        .unionByName(touched.select(*KEY, "version", F.lit(1).alias("is_level"), F.lit(False).alias("is_start")))
         .groupBy(*KEY, "version")
         .agg(F.max("is_level").alias("is_level"), F.max("is_start").alias("is_start"))
     )
-    placed = running_total(points, KEY, [F.col("version")], "level", weight=F.col("is_level"), group_rows=group_rows)
+    placed = running_total(
+        points, KEY, [F.col("version")], "level", F.col("is_level"), group_rows=group_rows, sizes=point_sizes
+    )
     placed = materialize(placed, "levels")
 
     at = placed.select(*KEY, F.col("version").alias("to_version"), F.col("level").alias("to_level"))
-    located = timeline.join(at, [*KEY, "to_version"])
     order = [F.col("ts").asc_nulls_first(), F.col("request_id").asc_nulls_first()]
-    here = F.struct("to_version", "to_level")
-    chained = previous_value(located, KEY, order, here, "_from", group_rows)
-    moves = chained.filter(~is_start).select(
+    chained = previous_value(
+        timeline.join(at, [*KEY, "to_version"]), KEY, order, F.struct("to_version", "to_level"), "_from",
+        group_rows, timeline_sizes,
+    )
+    moves = chained.filter(~is_seed).select(
         *KEY,
         *WHEN,
         F.col("_from.to_version").alias("from_version"),
@@ -90,8 +129,13 @@ def plan_moves(steps: DataFrame, versions: DataFrame, requests: DataFrame, group
         "to_level",
     )
     starts = placed.filter("is_start").select(*KEY, F.col("level").alias("start_level"))
-    levels = placed.filter("is_level = 1").select(*KEY, "version", "level").join(starts, KEY, "left")
-    return Moves(materialize(moves, "moves"), levels)
+    levels = placed.filter("is_level = 1").select(*KEY, "version", "level").join(starts, KEY)
+    return ReplayPlan(
+        materialize(moves, "moves"),
+        materialize(_located(touched, levels), "located"),
+        steps.join(keys, KEY, "left_anti"),
+        (step_rows, step_largest),
+    )
 
 
 def crossings(moves: DataFrame) -> DataFrame:
@@ -108,22 +152,6 @@ def crossings(moves: DataFrame) -> DataFrame:
     )
 
 
-def _slots(steps: DataFrame, levels: DataFrame) -> DataFrame:
-    """Every step with its level and the facts about its slot that decide its runs."""
-    located = steps.join(levels, [*KEY, "version"])
-    # Above the start a version is first crossed upwards, else downwards.
-    lead = F.when(F.col("level") > F.coalesce("start_level", F.lit(0)), 1).otherwise(0)
-    located = located.withColumn("leads", F.col("upgrade") == lead)
-    open_step = F.col("completed") == 0
-    slots = located.groupBy(*SLOT).agg(
-        F.max(F.col("leads")).alias("has_lead"),
-        F.max(~F.col("leads")).alias("has_follow"),
-        F.max(F.col("leads") & open_step).alias("lead_runs"),
-        F.max(~F.col("leads") & open_step).alias("follow_open"),
-    )
-    return located.join(slots, SLOT).withColumn("follow_runs", F.col("has_follow") & (F.col("lead_runs") | F.col("follow_open")))
-
-
 def _run_first() -> Column:
     open_step = F.col("completed") == 0
     return F.when(F.col("leads"), open_step).otherwise(open_step | F.col("lead_runs"))
@@ -133,27 +161,26 @@ def _run_later() -> Column:
     return F.col("has_lead") & F.col("follow_runs")
 
 
-def executed_steps(steps: DataFrame, plan: Moves) -> DataFrame:
-    """One row per step run, with the request that ran it."""
+def executed_steps(plan: ReplayPlan) -> DataFrame:
+    """One row per step run, with the request that ran it.
+
+    First crossings meet their steps one to one. All crossings meet only the
+    steps that run again, so a registry without downgrade steps forms no pair
+    beyond its results.
+    """
     crossed = crossings(plan.moves)
     place = [*KEY, "level", "upgrade"]
-    stamp = F.struct(*WHEN)
     request = F.struct(*WHEN, "from_version", "to_version")
-    first = crossed.groupBy(*place).agg(F.min_by(request, stamp).alias("first"))
-    located = (
-        _slots(steps, plan.levels)
-        .withColumns({"run_first": _run_first(), "run_later": _run_later()})
-        .filter("run_first or run_later")
-        .select(*place, "id", "version", "sequence", "description", "procedure_name", "run_first", "run_later")
-        .join(first, place)
-    )
+    first = crossed.groupBy(*place).agg(F.min_by(request, F.struct(*WHEN)).alias("first"))
     shown = [*KEY, "id", "version", "sequence", "upgrade", "description", "procedure_name"]
-    once = located.filter("run_first").select(*shown, "first.*")
+    located = plan.located.withColumns({"run_first": _run_first(), "run_later": _run_later()})
+    once = located.filter("run_first").join(first, place).select(*shown, "first.*")
     again = (
         located.filter("run_later")
-        .join(crossed.select(*place, request.alias("request")), place)
-        .filter(F.struct("request.ts", "request.request_id") > F.struct("first.ts", "first.request_id"))
-        .select(*shown, "request.*")
+        .join(first.select(*place, F.col("first.ts").alias("_ts"), F.col("first.request_id").alias("_id")), place)
+        .join(crossed.select(*place, *WHEN, "from_version", "to_version"), place)
+        .filter(F.struct(*WHEN) > F.struct("_ts", "_id"))
+        .select(*shown, *WHEN, "from_version", "to_version")
     )
     return once.unionByName(again).select(
         "request_id", "ts", *KEY, "from_version", "to_version",
@@ -167,41 +194,47 @@ def replay_changes(
     steps: DataFrame, versions: DataFrame, requests: DataFrame, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Runs a log of requests per key; one row per step run, with its request."""
-    return executed_steps(steps, plan_moves(steps, versions, requests, group_rows))
+    return executed_steps(plan_replay(steps, versions, requests, group_rows))
 
 
-def _crossing_counts(plan: Moves, group_rows: int) -> DataFrame:
+def _crossing_counts(plan: ReplayPlan, group_rows: int) -> DataFrame:
     """How often each level is crossed, from where moves start and end only."""
     moving = plan.moves.filter("from_level <> to_level")
-    opens = moving.groupBy(*KEY, (F.least("from_level", "to_level") + 1).alias("level")).agg(
-        F.count(F.lit(1)).alias("change")
-    )
-    closes = moving.groupBy(*KEY, (F.greatest("from_level", "to_level") + 1).alias("level")).agg(
-        (-F.count(F.lit(1))).alias("change")
-    )
-    levels = plan.levels.select(*KEY, "level", F.lit(0).cast("long").alias("change"))
-    changes = (
-        opens.unionByName(closes).unionByName(levels).groupBy(*KEY, "level").agg(F.sum("change").alias("change"))
-    )
-    return running_total(changes, KEY, [F.col("level")], "crossed", weight=F.col("change"), group_rows=group_rows).select(
-        *KEY, "level", "crossed"
-    )
-
-
-def final_steps(steps: DataFrame, plan: Moves, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """`steps` with the flags they have after the whole log."""
-    counted = _slots(steps, plan.levels).join(_crossing_counts(plan, group_rows), [*KEY, "level"], "left")
+    low, high = F.least("from_level", "to_level"), F.greatest("from_level", "to_level")
+    # +1 where a move's range of levels opens, -1 after it closes; reduced to one
+    # row per level before the running total.
+    edges = moving.select(
+        *KEY,
+        F.explode(
+            F.array(
+                F.struct((low + 1).alias("level"), F.lit(1).alias("change")),
+                F.struct((high + 1).alias("level"), F.lit(-1).alias("change")),
+            )
+        ).alias("edge"),
+    ).select(*KEY, "edge.*")
+    levels = plan.located.select(*KEY, "level", F.lit(0).alias("change"))
+    changes = edges.unionByName(levels).groupBy(*KEY, "level").agg(F.sum("change").alias("change"))
+    rows, largest = plan.level_sizes
+    return running_total(
+        changes, KEY, [F.col("level")], "crossed", F.col("change"), group_rows=group_rows, sizes=(2 * rows, largest + 1)
+    ).select(*KEY, "level", "crossed")
+
+
+def final_steps(plan: ReplayPlan, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Every step with the flag it has after the whole log."""
+    counted = plan.located.join(_crossing_counts(plan, group_rows), [*KEY, "level"], "left")
     n = F.coalesce("crossed", F.lit(0))
     lead_last = n % 2 == 1
-    both = F.col("has_lead") & F.col("follow_runs")
     lead_flag = F.when(n == 0, F.col("completed")).when(lead_last, 1).when(F.col("follow_runs"), 0).otherwise(1)
     follow_flag = (
         F.when(n == 0, F.col("completed"))
         .when(n == 1, F.when(F.col("lead_runs"), 0).otherwise(F.col("completed")))
-        .when(lead_last & both, 0)
+        .when(lead_last & _run_later(), 0)
         .otherwise(1)
     )
-    return counted.withColumn("completed", F.when(F.col("leads"), lead_flag).otherwise(follow_flag)).select(*steps.columns)
+    columns = plan.untouched.columns
+    flagged = counted.withColumn("completed", F.when(F.col("leads"), lead_flag).otherwise(follow_flag))
+    return flagged.select(*columns).unionByName(plan.untouched)
 
 
 def final_versions(versions: DataFrame, requests: DataFrame) -> DataFrame:
@@ -223,5 +256,5 @@ def replay_final_state(
     steps: DataFrame, versions: DataFrame, requests: DataFrame, group_rows: int = GROUP_ROWS
 ) -> FinalState:
     """Registry and versions after a log of requests, from any starting flags."""
-    plan = plan_moves(steps, versions, requests, group_rows)
-    return FinalState(final_steps(steps, plan, group_rows), final_versions(versions, requests))
+    plan = plan_replay(steps, versions, requests, group_rows)
+    return FinalState(final_steps(plan, group_rows), final_versions(versions, requests))

@@ -174,7 +174,8 @@ def _changes(fx: Fixtures) -> DataFrame:
 
 
 def _ordered(fx: Fixtures) -> DataFrame:
-    return changes.order_steps(changes.get_steps(fx.step(), _changes(fx)))
+    steps = fx.step()
+    return changes.order_steps(changes.get_steps(steps, _changes(fx)), sizes=changes.registry_sizes(steps))
 
 
 def _outcomes(fx: Fixtures) -> DataFrame:

@@ -16,6 +16,7 @@ from tidemark.operators.changes import (
     cut_after_failure,
     get_steps,
     order_steps,
+    registry_sizes,
 )
 from tidemark.operators.ordered import GROUP_ROWS
 from tidemark.operators.reconcile import Unit, reconcile_many
@@ -51,7 +52,7 @@ def version_change(
     versions and the trace, so it is written once.
     """
     changes = change_requests(versions, targets.filter(F.col("to_version").isNotNull()))
-    ordered = order_steps(get_steps(steps, changes), group_rows)
+    ordered = order_steps(get_steps(steps, changes), group_rows, registry_sizes(steps))
     ordered = ordered.withColumn("failed", F.lit(False) if failed is None else failed)
     outcomes = materialize(cut_after_failure(ordered), "outcomes")
     done = outcomes.filter(F.col("outcome") == "run")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.operators.ordered import GROUP_ROWS
-from tidemark.operators.replay import executed_steps, final_steps, final_versions, plan_moves
+from tidemark.operators.replay import executed_steps, final_steps, final_versions, plan_replay
 from tidemark.sources.state import StateStore
 
 STEP_TABLE = "step"
@@ -40,12 +40,12 @@ def stream_version_changes(
         if store.pointer()["notes"].get(_BATCH_NOTE, -1) >= batch_id:
             return
         steps, versions = store.read(STEP_TABLE), store.read(VERSION_TABLE)
-        plan = plan_moves(steps, versions, batch, group_rows)
+        plan = plan_replay(steps, versions, batch, group_rows)
         # Written before the switch under the batch's own name, so a repeat overwrites it.
-        executed_steps(steps, plan).write.mode("overwrite").parquet(f"{executed_path}/batch={batch_id}")
+        executed_steps(plan).write.mode("overwrite").parquet(f"{executed_path}/batch={batch_id}")
         store.commit(
             {
-                STEP_TABLE: final_steps(steps, plan, group_rows),
+                STEP_TABLE: final_steps(plan, group_rows),
                 VERSION_TABLE: final_versions(versions, batch),
             },
             notes={_BATCH_NOTE: batch_id},
