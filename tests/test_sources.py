@@ -1,0 +1,100 @@
+from decimal import Decimal as D
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+from scenario import KEYED, scenario_steps, versions_frame
+
+from tidemark.operators.reconcile import Unit
+from tidemark.plans.deploy import PublishError, commit_publish, deploy_run
+from tidemark.sources import scratch
+from tidemark.sources.state import StateStore
+from tidemark.sources.units import read_bundle, read_static_units, write_bundle
+
+
+def test_units_are_found_by_name(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, text in (("b.data.sql", "two\nlines"), ("a.DATA.SQL", "one"), ("c.sql", "no"), ("sub/d.data.sql", "deep")):
+        (tmp_path / name).write_text(text)
+    got = rows(read_static_units(spark, str(tmp_path)), "position", "file_name", "content")
+    assert got == [(1, "a.DATA.SQL", "one"), (2, "b.data.sql", "two\nlines"), (3, "d.data.sql", "deep")]
+
+
+def test_bundle_keeps_order_and_text(spark, tmp_path):
+    given = [(1, "a.data.sql", " <b> & 'q' ]]> \n tail "), (2, "b.data.sql", ""), (3, "c.data.sql", "  "), (4, "d.data.sql", "null"),
+             (5, "e.data.sql", "a\r\nb\x0b"), (6, "f.data.sql", "\n x \t\n"), (7, "g.data.sql", "\n")]
+    units = spark.createDataFrame(given, "position long, file_name string, content string")
+    path = str(tmp_path / "bundle")
+    write_bundle(units.repartition(3), path)
+    assert rows(read_bundle(spark, path)) == given
+
+
+def test_wrong_root_is_refused(spark, tmp_path):
+    path = tmp_path / "bad.xml"
+    path.write_text('<?xml version="1.0"?>\n<Other>\n<StaticData fileName="x">1</StaticData>\n</Other>')
+    with pytest.raises(ValueError, match="Unexpected root element Other where expecting StaticDataModel"):
+        read_bundle(spark, str(path))
+
+
+def test_state_switches_all_tables_at_once(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "state"))
+    assert store.pointer()["run"] == 0 and not store.has("a")
+    with pytest.raises(LookupError):
+        store.read("a")
+    assert store.commit({"a": spark.range(2), "b": spark.range(3)}) == 1
+    # The next state may be computed from the current one.
+    assert store.commit({"a": store.read("a").unionByName(spark.range(5))}, notes={"n": 1}) == 2
+    assert (store.read("a").count(), store.read("b").count()) == (7, 3)
+    assert store.pointer() == {"run": 2, "tables": {"a": 2, "b": 1}, "notes": {"n": 1}}
+    broken = spark.range(1).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        store.commit({"a": spark.range(9), "b": broken})
+    assert (store.read("a").count(), store.pointer()["run"]) == (7, 2)
+
+
+def test_scratch_folder_is_the_clusters(spark, monkeypatch):
+    named = spark.conf.get(scratch.SETTING, None)
+    folder = scratch.shared_folder(spark)
+    assert folder == named.rstrip("/") if named else folder
+    assert scratch.materialize(spark.range(3), "t").count() == 3
+
+
+def _texts(spark, text):
+    return spark.createDataFrame([("dbo", "test_app", text)], "schema_name string, application_name string, version_text string")
+
+
+def test_publish(spark, tmp_path):
+    steps, versions = scenario_steps(spark), versions_frame(spark)
+    groups = spark.createDataFrame([(0, "system")], "id int, name string")
+    store = StateStore(spark, str(tmp_path / "state"))
+    unit = Unit("group", groups.limit(0), groups, ["id"], ["id", "name"])
+    first = deploy_run(steps, versions, _texts(spark, "NULL"), _texts(spark, "2.0"), [unit], weight_base=10000)
+    commit_publish(store, first, str(tmp_path / "audit"))
+    assert rows(store.read("version"), "version") == [(D(20000),)]
+    assert store.read("group").count() == 1
+    assert rows(first.report, "action") == [("INSERT",)]
+    # Down to 1.0 and up again in one publish, as on every redeploy.
+    second = deploy_run(store.read("step"), store.read("version"), _texts(spark, "1.0"), _texts(spark, "2.1"), weight_base=10000)
+    assert second.downgrade.outcomes.count() == 15 and second.upgrade.outcomes.count() == 21
+    commit_publish(store, second)
+    assert rows(store.read("version"), "version") == [(D(20001),)]
+    assert store.read("step").filter("completed = 1 and upgrade = 1").count() == 26
+
+
+def test_failed_publish_switches_nothing_and_keeps_its_audit(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "state"))
+    publish = deploy_run(
+        scenario_steps(spark), versions_frame(spark), _texts(spark, "NULL"), _texts(spark, "2.0"), weight_base=10000,
+        failed=F.col("step_id") == 4,
+    )
+    with pytest.raises(PublishError, match="step 4"):
+        commit_publish(store, publish, str(tmp_path / "audit"))
+    assert store.pointer()["run"] == 0
+    assert spark.read.parquet(str(tmp_path / "audit")).filter("message like 'ERROR%'").count() == 1
+
+
+def test_publish_base_differs_from_the_default(spark):
+    """The publish path reads `1.0` as 1000, which no step registered as 10000 answers to."""
+    publish = deploy_run(scenario_steps(spark), versions_frame(spark), _texts(spark, "NULL"), _texts(spark, "1.0"))
+    assert publish.upgrade.outcomes.count() == 0
+    assert rows(publish.versions, "version") == [(D(1000),)]

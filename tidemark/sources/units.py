@@ -17,10 +17,16 @@ _BUNDLE_SCHEMA = T.StructType(
     [
         T.StructField("_position", T.LongType()),
         T.StructField("_fileName", T.StringType()),
+        T.StructField("_encoding", T.StringType()),
         T.StructField("_VALUE", T.StringType()),
     ]
 )
 
+# Text an XML document would lose or refuse: blanks only, carriage returns, and
+# control characters. It is carried as base64.
+_FRAGILE = r"(?s)^\s+$|[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]"
+_BASE64, _PLAIN = "base64", "plain"
+
 
 def is_static_unit(name):
     """Whether a file-name column names a static data unit."""
@@ -46,10 +52,13 @@ def read_static_units(spark: SparkSession, path: str, group_rows: int = GROUP_RO
 
 def write_bundle(units: DataFrame, path: str) -> None:
     """Units (`position`, `file_name`, `content`) as one XML document set."""
+    content = F.col("content")
+    fragile = content.rlike(_FRAGILE)
     rows = units.select(
         F.col("position").cast("long").alias("_position"),
         F.col("file_name").alias("_fileName"),
-        F.col("content").alias("_VALUE"),
+        F.when(fragile, _BASE64).otherwise(_PLAIN).alias("_encoding"),
+        F.when(fragile, F.base64(F.encode(content, "UTF-8"))).otherwise(content).alias("_VALUE"),
     )
     (
         rows.write.format("xml")
@@ -89,8 +98,8 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
         .option("mode", "FAILFAST")
         .load(path)
     )
+    text = F.coalesce("_VALUE", F.lit(""))
+    content = F.when(F.col("_encoding") == _BASE64, F.decode(F.unbase64(text), "UTF-8")).otherwise(text)
     return rows.select(
-        F.col("_position").alias("position"),
-        F.col("_fileName").alias("file_name"),
-        F.coalesce("_VALUE", F.lit("")).alias("content"),
+        F.col("_position").alias("position"), F.col("_fileName").alias("file_name"), content.alias("content")
     )
