@@ -34,6 +34,7 @@ from tidemark.schemas import KEY, VERSION_TYPE
 from tidemark.sources.scratch import materialize
 
 WHEN = ["ts", "request_id"]
+SLOT = [*KEY, "version", "sequence"]
 # Columns `_located` adds to a step.
 _FACTS = ["level", "leads", "has_lead", "lead_runs", "follow_runs"]
 
@@ -47,38 +48,56 @@ class ReplayPlan(NamedTuple):
     level_sizes: Sizes  # bound on the levels of one key
 
 
-def _timeline(versions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests plus one seed row per key that stands for its starting version."""
-    asked = requests.select(*KEY, *WHEN, "to_version")
-    keys = asked.select(*KEY).distinct()
-    start = keys.join(versions.select(*KEY, "version"), KEY, "left").select(
-        *KEY, F.coalesce("version", F.lit(0).cast(VERSION_TYPE)).alias("to_version")
+def _starts(versions: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row per requested key with the version it starts from."""
+    keys = requests.select(*KEY).distinct()
+    return keys.join(versions.select(*KEY, "version"), KEY, "left").select(
+        *KEY, F.coalesce("version", F.lit(0).cast(VERSION_TYPE)).alias("version")
+    )
+
+
+def _points(steps: DataFrame, starts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Distinct (key, version) points: step versions, requested ones and starts.
+
+    One aggregate reduces all three on the map side.
+    """
+    def marked(df: DataFrame, level: int, start: bool) -> DataFrame:
+        return df.select(*KEY, "version", F.lit(level).alias("is_level"), F.lit(start).alias("is_start"))
+
+    stepped = steps.select(*KEY, "version").join(starts.select(*KEY), KEY, "left_semi")
+    asked = requests.select(*KEY, F.col("to_version").alias("version"))
+    return (
+        marked(stepped, 1, False)
+        .unionByName(marked(asked, 0, False))
+        .unionByName(marked(starts, 0, True))
+        .groupBy(*KEY, "version")
+        .agg(F.max("is_level").alias("is_level"), F.max("is_start").alias("is_start"))
     )
-    types = dict(asked.dtypes)
-    seeds = start.select(*KEY, *[F.lit(None).cast(types[c]).alias(c) for c in WHEN], "to_version")
-    return asked.unionByName(seeds)
 
 
-def _located(steps: DataFrame, levels: DataFrame) -> DataFrame:
-    """Steps with their level and the facts about their (version, sequence).
+def _located(steps: DataFrame, placed: DataFrame) -> DataFrame:
+    """Steps of the requested keys with the facts about their (version, sequence).
 
-    Joined back on the level number: a 38-digit version is a slow key.
+    Levels are joined to the facts, one row per (version, sequence), so a step's
+    own row moves only to meet its key's start and then its facts.
     """
-    placed = steps.join(levels, [*KEY, "version"])
+    starts = placed.filter("is_start").select(*KEY, F.col("version").alias("_start"))
     # Above the start a version is first crossed upwards, else downwards.
-    lead = F.when(F.col("level") > F.col("start_level"), 1).otherwise(0)
-    placed = placed.withColumn("leads", F.col("upgrade") == lead).drop("start_level")
+    lead = F.when(F.col("version") > F.col("_start"), 1).otherwise(0)
+    led = steps.join(starts, KEY).withColumn("leads", F.col("upgrade") == lead).drop("_start")
     open_step = F.col("completed") == 0
-    place = [*KEY, "level", "sequence"]
-    facts = placed.groupBy(*place).agg(
+    slots = led.groupBy(*SLOT).agg(
         F.max(F.col("leads")).alias("has_lead"),
         F.max(~F.col("leads")).alias("_has_follow"),
         F.max(F.col("leads") & open_step).alias("lead_runs"),
         F.max(~F.col("leads") & open_step).alias("_follow_open"),
     )
     follow_runs = F.col("_has_follow") & (F.col("lead_runs") | F.col("_follow_open"))
-    facts = facts.withColumn("follow_runs", follow_runs).drop("_has_follow", "_follow_open")
-    return placed.join(facts, place).select(*steps.columns, *_FACTS)
+    levels = placed.filter("is_level = 1").select(*KEY, "version", "level")
+    facts = slots.join(levels, [*KEY, "version"]).select(
+        *SLOT, "level", "has_lead", "lead_runs", follow_runs.alias("follow_runs")
+    )
+    return led.join(facts, SLOT).select(*steps.columns, *_FACTS)
 
 
 def plan_replay(
@@ -87,40 +106,35 @@ def plan_replay(
     """Place every request and every step version on the level numbers of its key.
 
     A request for a NULL version is an error that changes nothing, so it is left
-    out. Only keys with requests are worked on. Both tables are written once, since
-    the runs, the flags and the counts all start from them.
+    out. Only keys with requests are worked on. The tables are written once,
+    since the runs, the flags and the counts all start from them.
     """
-    requests = requests.filter(F.col("to_version").isNotNull())
+    requests = requests.filter(F.col("to_version").isNotNull()).select(*KEY, *WHEN, "to_version")
     asked_rows, asked_largest = group_sizes(requests.select(*KEY), KEY)
     step_rows, step_largest = group_sizes(steps.select(*KEY), KEY)
-    # A key has one seed row besides its requests, and at most one point per
-    # request and per step.
+    # A key has one start besides its requests, and at most one point per
+    # request, per step and for its start.
     timeline_sizes = (2 * asked_rows, asked_largest + 1)
     point_sizes = (timeline_sizes[0] + step_rows, timeline_sizes[1] + step_largest)
 
-    timeline = _timeline(versions, requests)
-    keys = requests.select(*KEY).distinct()
-    touched = steps.join(keys, KEY, "left_semi")
-    is_seed = F.col("request_id").isNull()
-    # One aggregate reduces requests and steps to distinct points on the map side.
-    points = (
-        timeline.select(*KEY, F.col("to_version").alias("version"), F.lit(0).alias("is_level"), is_seed.alias("is_start"))
-        .unionByName(touched.select(*KEY, "version", F.lit(1).alias("is_level"), F.lit(False).alias("is_start")))
-        .groupBy(*KEY, "version")
-        .agg(F.max("is_level").alias("is_level"), F.max("is_start").alias("is_start"))
-    )
+    points = _points(steps, _starts(versions, requests), requests)
     placed = running_total(
         points, KEY, [F.col("version")], "level", F.col("is_level"), group_rows=group_rows, sizes=point_sizes
     )
     placed = materialize(placed, "levels")
 
+    # A key's start leads its requests: both its time and its request are NULL.
+    types = dict(requests.dtypes)
     at = placed.select(*KEY, F.col("version").alias("to_version"), F.col("level").alias("to_level"))
-    order = [F.col("ts").asc_nulls_first(), F.col("request_id").asc_nulls_first()]
-    chained = previous_value(
-        timeline.join(at, [*KEY, "to_version"]), KEY, order, F.struct("to_version", "to_level"), "_from",
-        group_rows, timeline_sizes,
+    starts = placed.filter("is_start").select(
+        *KEY, *[F.lit(None).cast(types[c]).alias(c) for c in WHEN],
+        F.col("version").alias("to_version"), F.col("level").alias("to_level"),
     )
-    moves = chained.filter(~is_seed).select(
+    timeline = requests.join(at, [*KEY, "to_version"]).unionByName(starts)
+    order = [F.col("ts").asc_nulls_first(), F.col("request_id").asc_nulls_first()]
+    here = F.struct("to_version", "to_level")
+    chained = previous_value(timeline, KEY, order, here, "_from", group_rows, timeline_sizes)
+    moves = chained.filter(F.col("request_id").isNotNull()).select(
         *KEY,
         *WHEN,
         F.col("_from.to_version").alias("from_version"),
@@ -128,12 +142,10 @@ def plan_replay(
         F.col("_from.to_level").alias("from_level"),
         "to_level",
     )
-    starts = placed.filter("is_start").select(*KEY, F.col("level").alias("start_level"))
-    levels = placed.filter("is_level = 1").select(*KEY, "version", "level").join(starts, KEY)
     return ReplayPlan(
         materialize(moves, "moves"),
-        materialize(_located(touched, levels), "located"),
-        steps.join(keys, KEY, "left_anti"),
+        materialize(_located(steps, placed), "located"),
+        steps.join(starts.select(*KEY), KEY, "left_anti"),
         (step_rows, step_largest),
     )
 
