@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import messages as M
+from tidemark.operators.lookups import lookup
 
 # The objects, and the privileges each role holds on them.
 READ_FUNCTIONS = ("get_step", "get_version")
@@ -50,13 +51,13 @@ def effective_permissions(members: DataFrame, grants: DataFrame | None = None) -
     # One row per (user, role) before the matrix multiplies them.
     roles = members.select("user_id", "role_name").distinct()
     matrix = F.broadcast(default_grants(members.sparkSession)) if grants is None else grants
-    return roles.join(matrix, "role_name").select("user_id", "object_name", "privilege").distinct()
+    return lookup(roles, matrix, ["role_name"], "inner").select("user_id", "object_name", "privilege").distinct()
 
 
 def check_permission(requests: DataFrame, members: DataFrame, grants: DataFrame | None = None) -> DataFrame:
     """Adds `allowed` (0/1) and the denial `message` to (user, object, privilege) requests."""
     held = effective_permissions(members, grants).withColumn("_held", F.lit(1))
-    joined = requests.join(held, ["user_id", "object_name", "privilege"], "left")
+    joined = lookup(requests, held, ["user_id", "object_name", "privilege"])
     denied = F.col("_held").isNull()
     return (
         joined.withColumn("allowed", F.when(denied, 0).otherwise(1))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.names import fold_names, unfold_names
-from tidemark.operators.ordered import GROUP_ROWS, Sizes, group_sizes, row_numbers
+from tidemark.operators.lookups import lookup
+from tidemark.operators.ordered import GROUP_ROWS, Sizes, group_sizes, row_numbers, running_total
 from tidemark.operators.versions import get_version, set_version
 from tidemark.schemas import KEY
 from tidemark.sources.scratch import new_path
@@ -112,22 +113,26 @@ def apply_change(steps: DataFrame, executed: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_reopened", F.lit(True))
     )
-    flagged = steps.join(done, "id", "left").join(partner, [*KEY, "version", "sequence", "upgrade"], "left")
+    flagged = lookup(steps.join(done, "id", "left"), partner, [*KEY, "version", "sequence", "upgrade"])
     return flagged.withColumn(
         "completed",
         F.when(F.col("_done").isNotNull(), F.lit(1)).when(F.col("_reopened").isNotNull(), F.lit(0)).otherwise(F.col("completed")),
     ).select(*steps.columns)
 
 
-def cut_after_failure(ordered: DataFrame, failed: str = "failed") -> DataFrame:
+def cut_after_failure(
+    ordered: DataFrame, failed: str = "failed", group_rows: int = GROUP_ROWS, sizes: Sizes | None = None
+) -> DataFrame:
     """Adds `outcome`: 'run' before a key's first failure, 'failed' at it, 'skipped' after.
 
-    The first failure is an aggregate, so a hot key is reduced on the map side.
+    A running count of failures needs no join, and no shuffle after `order_steps`.
     """
-    first = ordered.filter(F.col(failed)).groupBy(*KEY).agg(F.min("run_order").alias("_first"))
-    place, stop = F.col("run_order"), F.col("_first")
-    outcome = F.when(stop.isNull() | (place < stop), "run").when(place == stop, "failed").otherwise("skipped")
-    return ordered.join(first, KEY, "left").withColumn("outcome", outcome).drop("_first")
+    fails = F.coalesce(F.col(failed), F.lit(False))
+    counted = running_total(
+        ordered, KEY, [F.col("run_order")], "_before", fails.cast("int"), False, group_rows, sizes
+    )
+    outcome = F.when(F.col("_before") > 0, "skipped").when(fails, "failed").otherwise("run")
+    return counted.withColumn("outcome", outcome).drop("_before")
 
 
 def advance_version(versions: DataFrame, changes: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import fold_names, unfold_names
+from tidemark.operators.lookups import lookup
 
 
 class Rule(NamedTuple):
@@ -41,8 +42,8 @@ def foreign_key_violations(child: DataFrame, parent: DataFrame, child_columns: l
 
 def delete_guard(child: DataFrame, report: DataFrame, child_column: str, key_column: str) -> DataFrame:
     """Child rows that the deletes of a change report would leave without a parent."""
-    deleted = report.filter(F.col("action") == "DELETE").select(F.col(f"previous_{key_column}").alias("_gone"))
-    return child.join(deleted, F.col(child_column) == F.col("_gone"), "left_semi")
+    deleted = report.filter(F.col("action") == "DELETE").select(F.col(f"previous_{key_column}").alias(child_column))
+    return lookup(child, deleted, [child_column], "left_semi").select(*child.columns)
 
 
 def column_violations(df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -4,7 +4,8 @@ A full outer join can neither broadcast a side nor split a hot key, so the
 merge is written as a left join (every target row and what the source says
 about it) and an anti join (source rows no target row answers to). Both follow
 run-time sizes: a small source is broadcast and the target is not shuffled at
-all, and a hot key is split.
+all, a hot key is split, and copies of a key on the side that is looked up are
+reduced on the map side first.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.lookups import lookup
+
 DUPLICATE_SOURCE = "the source holds more than one row for a matched merge key"
 
 
@@ -23,8 +26,7 @@ def answered(dest: DataFrame, src: DataFrame, keys: list[str], cols: list[str])
     """
     values = F.struct(F.lit(True).alias("_here"), *[F.col(c) for c in cols])
     single = src.groupBy(*keys).agg(F.max(values).alias("_src"), F.count(F.lit(1)).alias("_copies"))
-    joined = dest.join(single, keys, "left")
-    return joined.withColumn(
+    return lookup(dest, single, keys).withColumn(
         "_src",
         F.when(F.col("_copies") > 1, F.raise_error(F.lit(DUPLICATE_SOURCE))).otherwise(F.col("_src")),
     ).drop("_copies")
@@ -32,5 +34,5 @@ def answered(dest: DataFrame, src: DataFrame, keys: list[str], cols: list[str])
 
 def unanswered(dest: DataFrame, src: DataFrame, keys: list[str]) -> DataFrame:
     """Source rows whose key no target row has, copies included."""
-    taken = dest.select(*keys).join(src.select(*keys), keys, "left_semi")
-    return src.join(taken, keys, "left_anti")
+    taken = lookup(dest.select(*keys), src.select(*keys).distinct(), keys, "left_semi")
+    return lookup(src, taken.distinct(), keys, "left_anti")

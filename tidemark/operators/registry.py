@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import messages as M
 from tidemark.functions.names import fold_names, unfold_names
+from tidemark.operators.lookups import lookup
 from tidemark.operators.merging import answered, unanswered
 from tidemark.operators.ordered import GROUP_ROWS, row_numbers
 from tidemark.schemas import KEY, STEP, STEP_BATCH, STEP_DEFAULTS, STEP_SEED, require_columns
@@ -101,7 +102,8 @@ def merge_source_duplicates(
         fold_names(src, keys, case_sensitive).groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     )
     if dest is not None:
-        repeated = repeated.join(fold_names(dest.select(*keys), keys, case_sensitive), keys, "left_semi")
+        held = fold_names(dest.select(*keys), keys, case_sensitive).distinct()
+        repeated = repeated.join(held, keys, "left_semi")
     return unfold_names(repeated, keys, case_sensitive)
 
 
@@ -154,7 +156,7 @@ def register_steps(
     here = F.col("_src").isNotNull()
     if delete_scope == "key":
         mentioned = src.select(*KEY).distinct().withColumn("_mentioned", F.lit(True))
-        sides = sides.join(mentioned, KEY, "left")
+        sides = lookup(sides, mentioned, KEY)
         gone = ~here & F.col("_mentioned").isNotNull()
     else:
         gone = ~here

@@ -28,6 +28,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.lookups import lookup
 from tidemark.operators.ordered import GROUP_ROWS, Sizes, group_sizes, previous_value, running_total
 from tidemark.operators.versions import set_version
 from tidemark.schemas import KEY, VERSION_TYPE
@@ -64,7 +65,7 @@ def _points(steps: DataFrame, starts: DataFrame, requests: DataFrame) -> DataFra
     def marked(df: DataFrame, level: int, start: bool) -> DataFrame:
         return df.select(*KEY, "version", F.lit(level).alias("is_level"), F.lit(start).alias("is_start"))
 
-    stepped = steps.select(*KEY, "version").join(starts.select(*KEY), KEY, "left_semi")
+    stepped = lookup(steps.select(*KEY, "version"), starts.select(*KEY), KEY, "left_semi")
     asked = requests.select(*KEY, F.col("to_version").alias("version"))
     return (
         marked(stepped, 1, False)
@@ -97,7 +98,7 @@ def _located(steps: DataFrame, placed: DataFrame) -> DataFrame:
     facts = slots.join(levels, [*KEY, "version"]).select(
         *SLOT, "level", "has_lead", "lead_runs", follow_runs.alias("follow_runs")
     )
-    return led.join(facts, SLOT).select(*steps.columns, *_FACTS)
+    return lookup(led, facts, SLOT, "inner").select(*steps.columns, *_FACTS)
 
 
 def plan_replay(
@@ -186,11 +187,11 @@ def executed_steps(plan: ReplayPlan) -> DataFrame:
     first = crossed.groupBy(*place).agg(F.min_by(request, F.struct(*WHEN)).alias("first"))
     shown = [*KEY, "id", "version", "sequence", "upgrade", "description", "procedure_name"]
     located = plan.located.withColumns({"run_first": _run_first(), "run_later": _run_later()})
-    once = located.filter("run_first").join(first, place).select(*shown, "first.*")
+    once = lookup(located.filter("run_first"), first, place, "inner").select(*shown, "first.*")
+    firsts = first.select(*place, F.col("first.ts").alias("_ts"), F.col("first.request_id").alias("_id"))
+    repeats = lookup(located.filter("run_later"), firsts, place, "inner")
     again = (
-        located.filter("run_later")
-        .join(first.select(*place, F.col("first.ts").alias("_ts"), F.col("first.request_id").alias("_id")), place)
-        .join(crossed.select(*place, *WHEN, "from_version", "to_version"), place)
+        lookup(repeats, crossed.select(*place, *WHEN, "from_version", "to_version"), place, "inner")
         .filter(F.struct(*WHEN) > F.struct("_ts", "_id"))
         .select(*shown, *WHEN, "from_version", "to_version")
     )
@@ -234,7 +235,7 @@ def _crossing_counts(plan: ReplayPlan, group_rows: int) -> DataFrame:
 
 def final_steps(plan: ReplayPlan, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every step with the flag it has after the whole log."""
-    counted = plan.located.join(_crossing_counts(plan, group_rows), [*KEY, "level"], "left")
+    counted = lookup(plan.located, _crossing_counts(plan, group_rows), [*KEY, "level"])
     n = F.coalesce("crossed", F.lit(0))
     lead_last = n % 2 == 1
     lead_flag = F.when(n == 0, F.col("completed")).when(lead_last, 1).when(F.col("follow_runs"), 0).otherwise(1)

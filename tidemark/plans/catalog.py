@@ -173,14 +173,16 @@ def _changes(fx: Fixtures) -> DataFrame:
     return changes.change_requests(fx.version(), fx.target())
 
 
-def _ordered(fx: Fixtures) -> DataFrame:
+def _ordered(fx: Fixtures, sizes=None) -> DataFrame:
     steps = fx.step()
-    return changes.order_steps(changes.get_steps(steps, _changes(fx)), sizes=changes.registry_sizes(steps))
+    sizes = sizes or changes.registry_sizes(steps)
+    return changes.order_steps(changes.get_steps(steps, _changes(fx)), sizes=sizes)
 
 
 def _outcomes(fx: Fixtures) -> DataFrame:
     """Steps whose id divides by 97 fail."""
-    return changes.cut_after_failure(_ordered(fx).withColumn("failed", F.col("step_id") % 97 == 0))
+    sizes = changes.registry_sizes(fx.step())
+    return changes.cut_after_failure(_ordered(fx, sizes).withColumn("failed", F.col("step_id") % 97 == 0), sizes=sizes)
 
 
 @query

@@ -52,9 +52,10 @@ def version_change(
     versions and the trace, so it is written once.
     """
     changes = change_requests(versions, targets.filter(F.col("to_version").isNotNull()))
-    ordered = order_steps(get_steps(steps, changes), group_rows, registry_sizes(steps))
+    sizes = registry_sizes(steps)
+    ordered = order_steps(get_steps(steps, changes), group_rows, sizes)
     ordered = ordered.withColumn("failed", F.lit(False) if failed is None else failed)
-    outcomes = materialize(cut_after_failure(ordered), "outcomes")
+    outcomes = materialize(cut_after_failure(ordered, "failed", group_rows, sizes), "outcomes")
     done = outcomes.filter(F.col("outcome") == "run")
     return Change(apply_change(steps, done), advance_version(versions, changes, outcomes), outcomes, changes)
 
