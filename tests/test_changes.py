@@ -137,3 +137,17 @@ def test_run_steps_runs_bodies_in_order(spark):
     assert [g[:2] for g in got] == [(1, "run"), (2, "run"), (3, "run"), (4, "failed"), (5, "skipped"), (6, "failed")]
     assert got[3][2] == "broken" and "gone" in got[5][2]
     assert [n for n in seen if n[0] == "b"] == ["b1", "b2"]
+
+
+def test_case_blind_change(spark):
+    """One key spelled three ways is one key from end to end."""
+    steps = scenario_steps(spark).withColumn(
+        "schema_name", F.when(F.col("id") % 2 == 0, "DBO").otherwise(F.col("schema_name"))
+    )
+    target = spark.createDataFrame([("Dbo ", "TEST_APP", D(20001))], KEYED.replace("version", "to_version"))
+    change = version_change(steps, versions_frame(spark, ("dbo", "Test_App", 10000)), target, case_sensitive=False)
+    assert [r["step_version"] for r in change.outcomes.orderBy("run_order").collect()][0] == 10001
+    assert change.outcomes.count() == 21 and change.outcomes.agg(F.max("run_order")).first()[0] == 21
+    assert rows(change.versions, "version") == [(D(20001),)]
+    assert change.steps.filter("completed = 1").count() == 21
+    assert change.steps.schema["schema_name"].dataType.simpleString() == "string"

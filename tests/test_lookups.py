@@ -13,12 +13,12 @@ from tidemark.operators.lookups import lookup
 @contextmanager
 def settings(spark, **values):
     names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k) for k in names}
+    before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
     yield
     for k, v in before.items():
-        spark.conf.set(k, v)
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @pytest.fixture(scope="module")

@@ -84,3 +84,16 @@ def test_replay_forms_no_pair_join(spark):
     r = spark.createDataFrame([(1, START, "dbo", "test_app", Decimal(20001))], REQUEST)
     plan = R.replay_changes(scenario_steps(spark), versions_frame(spark), r)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("group_rows", [3, 10**6])
+def test_case_blind_replay(spark, group_rows):
+    log = spark.createDataFrame(
+        [(i, START, name, "test_app", Decimal(to)) for i, (name, to) in enumerate([("dbo", 20001), ("DBO ", 10001)])], REQUEST
+    )
+    steps, versions = scenario_steps(spark), versions_frame(spark)
+    ran = R.replay_changes(steps, versions, log, group_rows, case_sensitive=False)
+    assert rows(ran.groupBy("request_id").count()) == [(0, 26), (1, 16)]
+    state = R.replay_final_state(steps, versions, log, group_rows, case_sensitive=False)
+    assert rows(state.versions, "version") == [(Decimal(10001),)]
+    assert state.steps.filter("completed = 1").count() == 26

@@ -10,6 +10,7 @@ from tidemark.operators.changes import change_summary
 from tidemark.operators.ordered import GROUP_ROWS, running_total
 from tidemark.operators.registry import assign_identity, fill_defaults
 from tidemark.schemas import AUDIT_EVENT, AUDIT_SEED, KEY
+from tidemark.sources.files import exists
 
 
 def audit_rows(
@@ -42,8 +43,7 @@ def append_audit(
     The log is its own sink: rows of a failed change stay.
     """
     spark = events.sparkSession
-    spark.createDataFrame([], AUDIT_EVENT).write.mode("append").parquet(path)
-    existing = spark.read.schema(AUDIT_EVENT).parquet(path)
+    existing = spark.read.schema(AUDIT_EVENT).parquet(path) if exists(spark, path) else None
     rows = audit_rows(events, order, session_id, existing, group_rows)
     rows.write.mode("append").parquet(path)
 

@@ -30,6 +30,10 @@ from tidemark.sources.scratch import materialize
 # seconds and spills little.
 GROUP_ROWS = 2_000_000
 
+# Ranges one table is cut into at most: the driver draws about 100 sample rows
+# for each, so this bounds what it holds. Beyond it ranges grow, and spill.
+MAX_RANGES = 10_000
+
 _CHUNK = "_chunk"
 _BEFORE = "_before"
 
@@ -44,7 +48,7 @@ def group_sizes(df: DataFrame, keys: list[str]) -> Sizes:
 
 
 def _chunked(df: DataFrame, keys: list[str], order: list[Column], rows: int, group_rows: int) -> DataFrame:
-    cuts = max(2, ceil(rows / group_rows))
+    cuts = min(max(2, ceil(rows / group_rows)), MAX_RANGES)
     ranged = df.repartitionByRange(cuts, *[F.col(k) for k in keys], *order)
     return materialize(ranged.withColumn(_CHUNK, F.spark_partition_id()), "chunks")
 

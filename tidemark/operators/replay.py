@@ -28,6 +28,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.names import fold_names, unfold_names
 from tidemark.operators.lookups import lookup
 from tidemark.operators.ordered import GROUP_ROWS, Sizes, group_sizes, previous_value, running_total
 from tidemark.operators.versions import set_version
@@ -204,10 +205,15 @@ def executed_steps(plan: ReplayPlan) -> DataFrame:
 
 
 def replay_changes(
-    steps: DataFrame, versions: DataFrame, requests: DataFrame, group_rows: int = GROUP_ROWS
+    steps: DataFrame,
+    versions: DataFrame,
+    requests: DataFrame,
+    group_rows: int = GROUP_ROWS,
+    case_sensitive: bool = True,
 ) -> DataFrame:
     """Runs a log of requests per key; one row per step run, with its request."""
-    return executed_steps(plan_replay(steps, versions, requests, group_rows))
+    steps, versions, requests = (fold_names(df, KEY, case_sensitive) for df in (steps, versions, requests))
+    return unfold_names(executed_steps(plan_replay(steps, versions, requests, group_rows)), KEY, case_sensitive)
 
 
 def _crossing_counts(plan: ReplayPlan, group_rows: int) -> DataFrame:
@@ -266,8 +272,14 @@ class FinalState(NamedTuple):
 
 
 def replay_final_state(
-    steps: DataFrame, versions: DataFrame, requests: DataFrame, group_rows: int = GROUP_ROWS
+    steps: DataFrame,
+    versions: DataFrame,
+    requests: DataFrame,
+    group_rows: int = GROUP_ROWS,
+    case_sensitive: bool = True,
 ) -> FinalState:
     """Registry and versions after a log of requests, from any starting flags."""
+    steps, versions, requests = (fold_names(df, KEY, case_sensitive) for df in (steps, versions, requests))
     plan = plan_replay(steps, versions, requests, group_rows)
-    return FinalState(final_steps(plan, group_rows), final_versions(versions, requests))
+    states = (final_steps(plan, group_rows), final_versions(versions, requests))
+    return FinalState(*[unfold_names(df, KEY, case_sensitive) for df in states])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import versions as V
+from tidemark.functions.names import fold_names, unfold_names
 from tidemark.operators.audit import audit_trace
 from tidemark.operators.changes import (
     advance_version,
@@ -43,21 +44,29 @@ class Change(NamedTuple):
 
 
 def version_change(
-    steps: DataFrame, versions: DataFrame, targets: DataFrame, failed=None, group_rows: int = GROUP_ROWS
+    steps: DataFrame,
+    versions: DataFrame,
+    targets: DataFrame,
+    failed=None,
+    group_rows: int = GROUP_ROWS,
+    case_sensitive: bool = True,
 ) -> Change:
     """Bring every key of `targets` (`to_version`) to its version.
 
     `failed` is a condition over the ordered steps that marks the ones that
     fail; none do by default. The ordered selection feeds the flags, the
-    versions and the trace, so it is written once.
+    versions and the trace, so it is written once. Case-blind keys carry their
+    collation through every operator and leave as plain strings.
     """
+    steps, versions, targets = (fold_names(df, KEY, case_sensitive) for df in (steps, versions, targets))
     changes = change_requests(versions, targets.filter(F.col("to_version").isNotNull()))
     sizes = registry_sizes(steps)
     ordered = order_steps(get_steps(steps, changes), group_rows, sizes)
     ordered = ordered.withColumn("failed", F.lit(False) if failed is None else failed)
     outcomes = materialize(cut_after_failure(ordered, "failed", group_rows, sizes), "outcomes")
     done = outcomes.filter(F.col("outcome") == "run")
-    return Change(apply_change(steps, done), advance_version(versions, changes, outcomes), outcomes, changes)
+    results = (apply_change(steps, done), advance_version(versions, changes, outcomes), outcomes, changes)
+    return Change(*[unfold_names(df, KEY, case_sensitive) for df in results])
 
 
 def change_trace(change: Change) -> DataFrame:

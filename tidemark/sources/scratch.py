@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.files import delete
+
 SETTING = "spark.checkpoint.dir"
 _local_folder: dict[str, str] = {}
 
@@ -29,8 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[key]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove this application's work tables; DataFrames built on them end with it."""
+    delete(spark, _own_folder(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.batches import record_batches
 from tidemark.operators.reports import plan_report
 from tidemark.schemas import LEDGER
+from tidemark.sources.files import delete, exists
 
 
 def write_statistics_xml(report: DataFrame, path: str) -> None:
@@ -75,8 +76,8 @@ class BatchLedger:
         self.path = f"{root.rstrip('/')}/__completedBatches_{target}_{run_id}"
 
     def read(self) -> DataFrame:
-        # An empty append makes the folder, so a first read finds no rows.
-        self.spark.createDataFrame([], LEDGER).write.mode("append").parquet(self.path)
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], LEDGER)
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
     def record(self, done: DataFrame) -> None:
@@ -87,5 +88,4 @@ class BatchLedger:
 
     def drop(self) -> None:
         """Remove this run's ledger once the run is over."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
