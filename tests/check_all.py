@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 import traceback
 
-sys.path[:0] = ["/root/repo", "/root/repo/tests"]
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 import __spark_entry__ as entry  # noqa: E402
 from compare import difference, duck  # noqa: E402
