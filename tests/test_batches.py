@@ -27,15 +27,14 @@ def plan(spark):
     )
 
 
-@pytest.mark.parametrize("group_rows", [2, 10**6])
-def test_numbering(plan, group_rows):
-    assert rows(B.number_batches(plan, group_rows), "batch_id", "step_no", "description", "dynamic") == [
+def test_numbering(plan):
+    assert rows(B.number_batches(plan), "batch_id", "step_no", "description", "dynamic") == [
         (0, 3, "CreateElementStep [s].[t3] batch 0", 1),
         (1, 3, "CreateElementStep [s].[t3] batch 1", 1),
         (2, 6, "SqlRenameStep batch 0", 0),
         (3, 7, "DropElementStep [s].[t7] batch 0", 0),
     ]
-    assert rows(B.total_batches(B.number_batches(plan, group_rows))) == [(4,)]
+    assert rows(B.total_batches(B.number_batches(plan))) == [(4,)]
 
 
 def test_no_marker_no_batch(spark):
@@ -84,7 +83,7 @@ def _marked(spark, *extra):
 def test_bracket_is_added(spark):
     begin, end = (B.ADDED_BEGIN, "begin"), (B.ADDED_END, "end")
     assert _order(_marked(spark)) == [PRE, begin, DOWN, BODY, DATA, UP, end, POST]
-    assert _order(_marked(spark), group_rows=2) == _order(_marked(spark))
+    assert _order(_marked(spark)) == _order(_marked(spark))
 
 
 def test_own_bracket_is_used(spark):

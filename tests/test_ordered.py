@@ -1,11 +1,11 @@
-"""Both physical paths of the ordered helpers give the same numbers."""
+"""The ordered helpers against plain folds; every run cuts groups into ranges."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import group_sizes, previous_value, row_numbers, running_total
+from tidemark.operators.ordered import latest_value, previous_value, row_numbers, running_total
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +34,8 @@ def _expected(df, keyed, fold):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [10, 1_000_000])
 @pytest.mark.parametrize("keyed", [True, False])
-def test_running_total(skewed, keyed, group_rows):
+def test_running_total(skewed, keyed):
     keys = ["k"] if keyed else []
 
     def fold(members, out):
@@ -45,23 +44,21 @@ def test_running_total(skewed, keyed, group_rows):
             out[r["id"]] = total
             total += r["w"]
 
-    got = running_total(skewed, keys, ORDER(), "t", F.col("w"), inclusive=False, group_rows=group_rows)
+    got = running_total(skewed, keys, ORDER(), "t", F.col("w"), inclusive=False)
     assert got.columns == [*skewed.columns, "t"]
     assert {r["id"]: r["t"] for r in got.collect()} == _expected(skewed, keyed, fold)
 
 
-@pytest.mark.parametrize("group_rows", [10, 1_000_000])
-def test_row_numbers(skewed, group_rows):
+def test_row_numbers(skewed):
     def fold(members, out):
         for n, r in enumerate(members, 1):
             out[r["id"]] = n
 
-    got = row_numbers(skewed, ["k"], ORDER(), "n", group_rows)
+    got = row_numbers(skewed, ["k"], ORDER(), "n")
     assert {r["id"]: r["n"] for r in got.collect()} == _expected(skewed, True, fold)
 
 
-@pytest.mark.parametrize("group_rows", [10, 1_000_000])
-def test_previous_value(skewed, group_rows):
+def test_previous_value(skewed):
     """A NULL that precedes a row is its previous value, across chunk borders too."""
 
     def fold(members, out):
@@ -70,24 +67,51 @@ def test_previous_value(skewed, group_rows):
             out[r["id"]] = before
             before = r["v"]
 
-    got = previous_value(skewed, ["k"], ORDER(), F.col("v"), "p", group_rows)
+    got = previous_value(skewed, ["k"], ORDER(), F.col("v"), "p")
     assert got.columns == [*skewed.columns, "p"]
     assert {r["id"]: r["p"] for r in got.collect()} == _expected(skewed, True, fold)
 
 
+def test_latest_value(skewed):
+    """A NULL takes over what came before it, across chunk borders too."""
+
+    def fold(members, out):
+        latest = None
+        for r in members:
+            latest = r["v"] if r["v"] is not None else latest
+            out[r["id"]] = latest
+
+    got = latest_value(skewed, ["k"], ORDER(), F.col("v"), "l")
+    assert got.columns == [*skewed.columns, "l"]
+    assert {r["id"]: r["l"] for r in got.collect()} == _expected(skewed, True, fold)
+
+
+def test_rows_that_tie_are_cut_too(spark):
+    """One order value holds all rows; their columns tell them apart."""
+    tied = spark.range(400).select(F.lit("same").alias("message"), "id")
+    got = row_numbers(tied, [], [F.col("message")], "n")
+    assert sorted(r["n"] for r in got.collect()) == list(range(1, 401))
+    from tidemark.operators import ordered
+
+    chunks = ordered._chunked(tied, [], [F.col("message")])
+    assert chunks.select(ordered._CHUNK).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_no_task_sorts_more_than_a_chunk(skewed):
-    """The chunked plan partitions its windows by chunk, never by the hot key alone."""
-    assert group_sizes(skewed, ["k"]) == (900, 300)
-    plan = row_numbers(skewed, ["k"], ORDER(), "n", 50)._jdf.queryExecution().executedPlan().toString()
-    assert "row_number() windowspecdefinition(_chunk" in plan
-
-
-def test_known_sizes_save_the_measuring_job(skewed, spark):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("known", "known")
-    row_numbers(skewed, ["k"], ORDER(), "n", sizes=(900, 300))
-    assert list(tracker.getJobIdsForGroup("known")) == []
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    """Windows over rows are partitioned by chunk; only the summary is not."""
+    for keys in (["k"], []):
+        plan = row_numbers(skewed, keys, ORDER(), "n")._jdf.queryExecution().executedPlan().toString()
+        assert "row_number() windowspecdefinition(__ordered_chunk" in plan
+        for line in plan.splitlines():
+            assert "SinglePartition" not in line or "__ordered_total" in plan
+
+
+def test_names_that_clash_are_refused(skewed):
+    with pytest.raises(ValueError):
+        row_numbers(skewed.withColumn("__ordered_before", F.lit(1)), ["k"], ORDER(), "n")
+    # Any other name may be used, for input and output alike.
+    got = running_total(skewed.withColumn("_chunk", F.lit(1)), ["k"], ORDER(), "_before", F.col("w"))
+    assert got.columns[-2:] == ["_chunk", "_before"]
 
 
 def test_empty_input(skewed):

@@ -103,12 +103,11 @@ def test_missing_procedures(spark, registered):
         G.require_procedures(registered, catalog, case_sensitive=False)
 
 
-@pytest.mark.parametrize("group_rows", [10, 10**6])
-def test_identity_goes_on_after_existing(spark, group_rows):
+def test_identity_goes_on_after_existing(spark):
     new = spark.range(100).withColumnRenamed("id", "n")
-    got = G.assign_identity(new, [F.col("n").desc()], seed=1, existing=spark.createDataFrame([(7,)], "id long"), group_rows=group_rows)
+    got = G.assign_identity(new, [F.col("n").desc()], seed=1, existing=spark.createDataFrame([(7,)], "id long"))
     assert {r["n"]: r["id"] for r in got.collect()} == {n: 8 + 99 - n for n in range(100)}
-    fresh = G.assign_identity(new, ["n"], seed=0, existing=spark.range(0), group_rows=group_rows)
+    fresh = G.assign_identity(new, ["n"], seed=0, existing=spark.range(0))
     assert {r["n"]: r["id"] for r in fresh.collect()} == {n: n for n in range(100)}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import messages as M
 from tidemark.operators.changes import change_summary
-from tidemark.operators.ordered import GROUP_ROWS, running_total
+from tidemark.operators.ordered import running_total
 from tidemark.operators.registry import assign_identity, fill_defaults
 from tidemark.schemas import AUDIT_EVENT, AUDIT_SEED, KEY
 from tidemark.sources.files import exists
@@ -18,7 +18,6 @@ def audit_rows(
     order: list[str],
     session_id: int = 0,
     existing: DataFrame | None = None,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Complete audit rows for `from`, `message`: context columns and ids added.
 
@@ -31,12 +30,12 @@ def audit_rows(
         "user_identity": F.current_user(),
         "user_session": F.current_user(),
     }
-    numbered = assign_identity(fill_defaults(events, context), order, AUDIT_SEED, 1, existing, group_rows=group_rows)
+    numbered = assign_identity(fill_defaults(events, context), order, AUDIT_SEED, 1, existing)
     return numbered.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT_EVENT.fields])
 
 
 def append_audit(
-    events: DataFrame, path: str, order: list[str], session_id: int = 0, group_rows: int = GROUP_ROWS
+    events: DataFrame, path: str, order: list[str], session_id: int = 0
 ) -> None:
     """Appends events to the audit log at `path`, ids going on from its largest.
 
@@ -44,7 +43,7 @@ def append_audit(
     """
     spark = events.sparkSession
     existing = spark.read.schema(AUDIT_EVENT).parquet(path) if exists(spark, path) else None
-    rows = audit_rows(events, order, session_id, existing, group_rows)
+    rows = audit_rows(events, order, session_id, existing)
     rows.write.mode("append").parquet(path)
 
 
@@ -112,7 +111,7 @@ def audit_trace(changes: DataFrame, outcomes: DataFrame, default_error: str = "s
     return framed.unionByName(stepped).select(*KEY, "line.*")
 
 
-def audit_runs(audit: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def audit_runs(audit: DataFrame) -> DataFrame:
     """One row per run read back from an audit log, whatever wrote it.
 
     A run is what a session writes from one BEGIN line to the next.
@@ -121,7 +120,7 @@ def audit_runs(audit: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     kind = F.regexp_extract(message, r"^([A-Z]+): ", 1)
     marked = audit.filter(message != M.RULE).withColumn("kind", kind)
     numbered = running_total(
-        marked, ["session_id"], [F.col("id")], "run_no", (F.col("kind") == "BEGIN").cast("long"), group_rows=group_rows
+        marked, ["session_id"], [F.col("id")], "run_no", (F.col("kind") == "BEGIN").cast("long")
     ).filter("run_no > 0")
 
     def only(wanted: str, pattern: str, group: int) -> Column:

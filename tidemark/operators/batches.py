@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import qualified_name
-from tidemark.operators.ordered import GROUP_ROWS, row_numbers, running_total
+from tidemark.operators.ordered import row_numbers, running_total
 
 # Plan markers and step kinds.
 BEGIN_PRE = "BeginPreDeploymentScriptStep"
@@ -40,7 +40,7 @@ def _position(plan: DataFrame, kind: str, last: bool = False):
     return plan.agg(pick(F.when(F.col("step_type") == kind, F.col("step_no"))).alias("p")).scalar()
 
 
-def number_batches(plan: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def number_batches(plan: DataFrame) -> DataFrame:
     """Dense ids from 0 for the batches between the pre- and post-deployment markers.
 
     Ids are running totals of batch counts, so steps are numbered before they
@@ -54,7 +54,7 @@ def number_batches(plan: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         & (F.col("batch_count") > 0)
     )
     counted = running_total(
-        body, [], [F.col("step_no")], "_first", F.col("batch_count"), inclusive=False, group_rows=group_rows
+        body, [], [F.col("step_no")], "_first", F.col("batch_count"), inclusive=False
     )
     spread = counted.select("*", F.explode(F.sequence(F.lit(0), F.col("batch_count") - 1)).alias("batch_index"))
     has_element = F.col("step_type").isin(*ELEMENT_STEPS)
@@ -119,7 +119,7 @@ def has_type(plan: DataFrame, step_type: str) -> bool:
 
 
 def plan_phases(
-    plan: DataFrame, transactional: bool = True, static_data: bool = True, group_rows: int = GROUP_ROWS
+    plan: DataFrame, transactional: bool = True, static_data: bool = True
 ) -> DataFrame:
     """The final order of a publish, with the steps it adds.
 
@@ -189,6 +189,6 @@ def plan_phases(
         phase.alias("phase"), col("step_no").cast("long").alias("step_no"),
     )
     order = [col("place"), col("side"), col("rank")]
-    return row_numbers(own.unionByName(extra), [], order, "final_order", group_rows).select(
+    return row_numbers(own.unionByName(extra), [], order, "final_order").select(
         "final_order", "phase", "step_type", "step_no"
     )

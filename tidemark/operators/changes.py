@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.names import fold_names, unfold_names
 from tidemark.operators.lookups import lookup
-from tidemark.operators.ordered import GROUP_ROWS, Sizes, group_sizes, row_numbers, running_total
+from tidemark.operators.ordered import row_numbers
 from tidemark.operators.versions import get_version, set_version
 from tidemark.schemas import KEY
 from tidemark.sources.scratch import new_path
@@ -66,23 +66,15 @@ def get_steps(steps: DataFrame, changes: DataFrame, case_sensitive: bool = True)
     return unfold_names(shaped, KEY, case_sensitive)
 
 
-def registry_sizes(steps: DataFrame) -> Sizes:
-    """Open steps in all and under the largest key, which bounds any selection of them."""
-    return group_sizes(steps.filter(F.col("completed") == 0).select(*KEY), KEY)
-
-
-def order_steps(selected: DataFrame, group_rows: int = GROUP_ROWS, sizes: Sizes | None = None) -> DataFrame:
-    """Adds `run_order` per key: ascending going up, descending going down.
-
-    `sizes` may give an upper bound on the selection, such as `registry_sizes`.
-    """
+def order_steps(selected: DataFrame) -> DataFrame:
+    """Adds `run_order` per key: ascending going up, descending going down."""
     up = F.col("is_upgrade_direction") == 1
     order = [
         F.when(up, F.col("step_version")).otherwise(-F.col("step_version")),
         F.when(up, F.col("step_sequence")).otherwise(-F.col("step_sequence")),
         F.col("step_id"),
     ]
-    return row_numbers(selected, KEY, order, "run_order", group_rows, sizes)
+    return row_numbers(selected, KEY, order, "run_order")
 
 
 def change_summary(changes: DataFrame, selected: DataFrame) -> DataFrame:
@@ -120,19 +112,16 @@ def apply_change(steps: DataFrame, executed: DataFrame) -> DataFrame:
     ).select(*steps.columns)
 
 
-def cut_after_failure(
-    ordered: DataFrame, failed: str = "failed", group_rows: int = GROUP_ROWS, sizes: Sizes | None = None
-) -> DataFrame:
+def cut_after_failure(ordered: DataFrame, failed: str = "failed") -> DataFrame:
     """Adds `outcome`: 'run' before a key's first failure, 'failed' at it, 'skipped' after.
 
-    A running count of failures needs no join, and no shuffle after `order_steps`.
+    Only the first failure of each key counts, and that is one row per key.
     """
     fails = F.coalesce(F.col(failed), F.lit(False))
-    counted = running_total(
-        ordered, KEY, [F.col("run_order")], "_before", fails.cast("int"), False, group_rows, sizes
-    )
-    outcome = F.when(F.col("_before") > 0, "skipped").when(fails, "failed").otherwise("run")
-    return counted.withColumn("outcome", outcome).drop("_before")
+    first = ordered.filter(fails).groupBy(*KEY).agg(F.min("run_order").alias("_first_failure"))
+    place, end = F.col("run_order"), F.col("_first_failure")
+    outcome = F.when(place > end, "skipped").when(place == end, "failed").otherwise("run")
+    return lookup(ordered, first, KEY).withColumn("outcome", outcome).drop("_first_failure")
 
 
 def advance_version(versions: DataFrame, changes: DataFrame, outcomes: DataFrame) -> DataFrame:

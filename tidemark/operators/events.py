@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import GROUP_ROWS, row_numbers
+from tidemark.operators.ordered import row_numbers
 
 # Fixed value: the event kind exported by default.
 DEADLOCK_EVENT = "xml_deadlock_report"
@@ -35,7 +35,7 @@ def server_file_prefix(server: str) -> str:
 
 
 def event_file_names(
-    events: DataFrame, server: str, literal_clock: bool = False, group_rows: int = GROUP_ROWS
+    events: DataFrame, server: str, literal_clock: bool = False
 ) -> DataFrame:
     """Adds `file_name`, one per event.
 
@@ -48,7 +48,7 @@ def event_file_names(
         stamp = F.date_format("event_time", "yyyyMMdd-hhmmss")
         return events.withColumn("file_name", F.concat(F.lit(f"{prefix}-deadlock-"), stamp, F.lit(".xdl")))
     stamped = events.withColumn("_stamp", F.date_format("event_time", "yyyyMMdd-HHmmss"))
-    numbered = row_numbers(stamped, ["_stamp"], [F.col("event_id")], "_copy", group_rows)
+    numbered = row_numbers(stamped, ["_stamp"], [F.col("event_id")], "_copy")
     suffix = F.when(F.col("_copy") == 1, "").otherwise(F.concat(F.lit("-"), F.col("_copy").cast("string")))
     name = F.concat(F.lit(f"{prefix}-deadlock-"), F.col("_stamp"), suffix, F.lit(".xdl"))
     return numbered.withColumn("file_name", name).drop("_stamp", "_copy")

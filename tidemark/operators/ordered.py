@@ -1,69 +1,78 @@
-"""Running totals, row numbers and previous values for groups of any size.
-
-A window function sorts each group inside one task. That is right for groups
-that fit, and fails when one group holds a large share of all rows. Each
-function here measures the largest group first (one aggregate, combined on the
-map side) and picks between
-
-* a plain window, when the largest group has at most `group_rows` rows;
-* range-sorted chunks otherwise: rows are cut by (keys, order) into ranges of
-  about `group_rows` rows, each chunk is worked on alone, and what comes before
-  a chunk is added from a summary with one row per (chunk, group).
-
-Chunks are written to the shared folder before use, so both readings of them
-see the same cut even when tasks are retried. A caller that knows an upper bound
-from a cheaper table (`group_sizes` of the table the rows were picked from)
-passes it as `sizes` and saves the measuring pass.
+"""Running totals, row numbers, previous and latest values for groups of any size.
+
+A window function sorts each group inside one task, which fails when one group
+holds a large share of all rows. Here rows are cut by (keys, order) into as many
+ranges as the session has shuffle partitions, each range is worked on alone, and
+what comes before a range is added from a summary with one row per (range, group).
+That is the one plan at every size: the number of ranges grows with the setting the
+cluster is run with, and a summary holds no more rows than there are groups and
+ranges.
+
+Ranges are written to the shared folder before use, so both readings of them see
+the same cut even when tasks are retried. Rows that tie in (keys, order) are told
+apart by a hash of all their columns, so a common value can be cut too.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.scratch import materialize
 
-# Rows one task may sort for one group; a row number over this many rows takes
-# seconds and spills little.
-GROUP_ROWS = 2_000_000
-
-# Ranges one table is cut into at most: the driver draws about 100 sample rows
-# for each, so this bounds what it holds. Beyond it ranges grow, and spill.
-MAX_RANGES = 10_000
-
-_CHUNK = "_chunk"
-_BEFORE = "_before"
-
-Sizes = tuple[int, int]
-
-
-def group_sizes(df: DataFrame, keys: list[str]) -> Sizes:
-    """(all rows, rows of the largest group)."""
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = groups.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    return int(row["rows"] or 0), int(row["largest"] or 0)
+# Helper columns; no input may have one of these names.
+_CHUNK = "__ordered_chunk"
+_TIE = "__ordered_tie"
+_BEFORE = "__ordered_before"
+_VALUE = "__ordered_value"
+_EDGE = "__ordered_edge"
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _chunked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    clash = [c for c in df.columns if c.startswith("__ordered_") and c != _VALUE]
+    if clash:
+        raise ValueError(f"columns {clash} have names that the ordered helpers use")
+    cuts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    tied = df.withColumn(_TIE, F.xxhash64(*told))
+    ranged = tied.repartitionByRange(cuts, *[F.col(k) for k in keys], *order, F.col(_TIE))
+    return materialize(ranged.withColumn(_CHUNK, F.spark_partition_id()), "chunks")
 
 
-def _chunked(df: DataFrame, keys: list[str], order: list[Column], rows: int, group_rows: int) -> DataFrame:
-    cuts = min(max(2, ceil(rows / group_rows)), MAX_RANGES)
-    ranged = df.repartitionByRange(cuts, *[F.col(k) for k in keys], *order)
-    return materialize(ranged.withColumn(_CHUNK, F.spark_partition_id()), "chunks")
+def _inside(keys: list[str], order: list[Column]):
+    return W.partitionBy(_CHUNK, *keys).orderBy(*order, F.col(_TIE))
 
 
 def _join_summary(chunks: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Attach the one summary row of each (chunk, group); NULL keys match too."""
     renamed = summary.select(
-        F.col(_CHUNK).alias("_s_chunk"),
-        *[F.col(k).alias(f"_s_{i}") for i, k in enumerate(keys)],
+        F.col(_CHUNK).alias("__ordered_s"),
+        *[F.col(k).alias(f"__ordered_s{i}") for i, k in enumerate(keys)],
         _BEFORE,
     )
-    on = F.col(_CHUNK) == F.col("_s_chunk")
+    on = F.col(_CHUNK) == F.col("__ordered_s")
     for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_s_{i}"))
-    return chunks.join(renamed, on, "left").drop("_s_chunk", *[f"_s_{i}" for i in range(len(keys))])
+        on = on & F.col(k).eqNullSafe(F.col(f"__ordered_s{i}"))
+    return chunks.join(renamed, on, "left").drop("__ordered_s", *[f"__ordered_s{i}" for i in range(len(keys))])
+
+
+def _last_of_each(chunks: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """The value of the last row of every (chunk, group)."""
+    return (
+        chunks.withColumn(_EDGE, F.lead(F.lit(1)).over(_inside(keys, order)))
+        .filter(F.col(_EDGE).isNull())
+        .select(_CHUNK, *keys, value)
+    )
 
 
 def running_total(
@@ -73,82 +82,58 @@ def running_total(
     out: str,
     weight: Column | None = None,
     inclusive: bool = True,
-    group_rows: int = GROUP_ROWS,
-    sizes: Sizes | None = None,
 ) -> DataFrame:
-    """Sum of `weight` (1 by default) over the rows of a group up to each row.
-
-    `order` must end in a column that is unique within the group.
-    """
-    rows, largest = sizes or group_sizes(df, keys)
+    """Sum of `weight` (1 by default) over the rows of a group up to each row."""
     one = weight is None
     worth = F.lit(1).cast("long") if one else weight.cast("long")
-
-    def upto(window) -> Column:
-        if one:
-            total = F.row_number().over(window).cast("long")
-        else:
-            total = F.sum(worth).over(window.rowsBetween(W.unboundedPreceding, W.currentRow))
-        return total if inclusive else total - worth
-
-    if largest <= group_rows:
-        return df.withColumn(out, upto(W.partitionBy(*keys).orderBy(*order)))
-
-    chunks = _chunked(df, keys, order, rows, group_rows)
-    totals = chunks.groupBy(_CHUNK, *keys).agg(F.sum(worth).alias("_total"))
+    chunks = _chunked(df, keys, order)
+    totals = chunks.groupBy(_CHUNK, *keys).agg(F.sum(worth).alias("__ordered_total"))
     earlier = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    summary = totals.withColumn(_BEFORE, F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-    local = chunks.withColumn(out, upto(W.partitionBy(_CHUNK, *keys).orderBy(*order)))
+    summary = totals.withColumn(_BEFORE, F.coalesce(F.sum("__ordered_total").over(earlier), F.lit(0)))
+    inside = _inside(keys, order)
+    if one:
+        upto = F.row_number().over(inside).cast("long")
+    else:
+        upto = F.sum(worth).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    local = chunks.withColumn(out, upto if inclusive else upto - worth)
     return (
         _join_summary(local, summary, keys)
         .withColumn(out, F.col(out) + F.col(_BEFORE))
-        .drop(_CHUNK, _BEFORE)
+        .drop(_CHUNK, _TIE, _BEFORE)
     )
 
 
-def row_numbers(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    out: str,
-    group_rows: int = GROUP_ROWS,
-    sizes: Sizes | None = None,
-) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """Dense numbers from 1 within each group; no `keys` numbers the whole table."""
-    return running_total(df, keys, order, out, group_rows=group_rows, sizes=sizes)
+    return running_total(df, keys, order, out)
 
 
-def previous_value(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    value: Column,
-    out: str,
-    group_rows: int = GROUP_ROWS,
-    sizes: Sizes | None = None,
-) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """`value` of the row before each row of its group, NULL for the first."""
-    rows, largest = sizes or group_sizes(df, keys)
-    if largest <= group_rows:
-        return df.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
-
-    valued = df.withColumn("_value", value)
-    chunks = _chunked(valued, keys, order, rows, group_rows)
-    inside = W.partitionBy(_CHUNK, *keys).orderBy(*order)
-    local = chunks.withColumn(out, F.lag("_value").over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
+    chunks = _chunked(df.withColumn(_VALUE, value), keys, order)
+    inside = _inside(keys, order)
+    local = chunks.withColumn(out, F.lag(_VALUE).over(inside)).withColumn(_EDGE, F.row_number().over(inside) == 1)
+    summary = _last_of_each(chunks, keys, order, _VALUE).withColumn(
+        _BEFORE, F.lag(_VALUE).over(W.partitionBy(*keys).orderBy(_CHUNK))
+    )
+    return (
+        _join_summary(local, summary, keys)
+        .withColumn(out, F.when(F.col(_EDGE), F.col(_BEFORE)).otherwise(F.col(out)))
+        .drop(_CHUNK, _TIE, _BEFORE, _EDGE, _VALUE)
     )
-    # The last row of a (chunk, group) is the one no later row follows.
-    last = (
-        chunks.withColumn("_next", F.lead(F.lit(1)).over(inside))
-        .filter(F.col("_next").isNull())
-        .select(_CHUNK, *keys, "_value")
+
+
+def latest_value(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """The last `value` that is not NULL among the rows of a group up to each row, its own included."""
+    chunks = _chunked(df.withColumn(_VALUE, value), keys, order)
+    inside = _inside(keys, order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = chunks.withColumn(out, F.last(_VALUE, ignorenulls=True).over(inside))
+    earlier = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    summary = _last_of_each(local, keys, order, out).withColumn(
+        _BEFORE, F.last(out, ignorenulls=True).over(earlier)
     )
-    summary = last.withColumn(
-        _BEFORE, F.lag("_value").over(W.partitionBy(*keys).orderBy(_CHUNK))
-    ).drop("_value")
     return (
         _join_summary(local, summary, keys)
-        .withColumn(out, F.when(F.col("_first"), F.col(_BEFORE)).otherwise(F.col(out)))
-        .drop(_CHUNK, _BEFORE, "_first", "_value")
+        .withColumn(out, F.coalesce(out, _BEFORE))
+        .drop(_CHUNK, _TIE, _BEFORE, _VALUE)
     )

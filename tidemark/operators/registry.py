@@ -11,7 +11,7 @@ from tidemark.functions import messages as M
 from tidemark.functions.names import fold_names, unfold_names
 from tidemark.operators.lookups import lookup
 from tidemark.operators.merging import answered, unanswered
-from tidemark.operators.ordered import GROUP_ROWS, Sizes, group_sizes, row_numbers
+from tidemark.operators.ordered import row_numbers
 from tidemark.schemas import KEY, STEP, STEP_BATCH, STEP_DEFAULTS, STEP_SEED, require_columns
 
 MERGE_KEY = [*KEY, "version", "sequence", "procedure_name"]
@@ -114,15 +114,10 @@ def assign_identity(
     step: int = 1,
     existing: DataFrame | None = None,
     id_column: str = "id",
-    group_rows: int = GROUP_ROWS,
-    sizes: Sizes | None = None,
 ) -> DataFrame:
-    """Dense new ids in `order`, after the largest id of `existing`.
-
-    `sizes` may give an upper bound on the rows, from a table they were picked from.
-    """
+    """Dense new ids in `order`, after the largest id of `existing`."""
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    numbered = row_numbers(df, [], columns, "_row", group_rows, sizes)
+    numbered = row_numbers(df, [], columns, "_row")
     first = F.lit(seed).cast("long")
     if existing is not None:
         largest = existing.agg(F.max(id_column).cast("long").alias("m")).scalar()
@@ -136,7 +131,6 @@ def register_steps(
     direction: str = "up",
     delete_scope: str = "key",
     case_sensitive: bool = True,
-    group_rows: int = GROUP_ROWS,
 ) -> Registration:
     """Merge a batch of steps for any number of keys into the registry.
 
@@ -171,9 +165,7 @@ def register_steps(
         [*MERGE_KEY, "description"],
         seed=STEP_SEED,
         existing=steps,
-        group_rows=group_rows,
         # New steps are a part of the batch, which is counted without the joins.
-        sizes=group_sizes(batch, []),
     )
     next_steps = other.unionByName(
         unfold_names(kept.select(*columns), names, case_sensitive)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import fold_names, unfold_names
 from tidemark.operators.lookups import lookup
-from tidemark.operators.ordered import GROUP_ROWS, Sizes, group_sizes, previous_value, running_total
+from tidemark.operators.ordered import previous_value, running_total
 from tidemark.operators.versions import set_version
 from tidemark.schemas import KEY, VERSION_TYPE
 from tidemark.sources.scratch import materialize
@@ -47,7 +47,6 @@ class ReplayPlan(NamedTuple):
     moves: DataFrame  # key, ts, request_id, from_version, to_version, from_level, to_level
     located: DataFrame  # steps of the requested keys with the facts that decide their runs
     untouched: DataFrame  # steps of all other keys
-    level_sizes: Sizes  # bound on the levels of one key
 
 
 def _starts(versions: DataFrame, requests: DataFrame) -> DataFrame:
@@ -102,9 +101,7 @@ def _located(steps: DataFrame, placed: DataFrame) -> DataFrame:
     return lookup(led, facts, SLOT, "inner").select(*steps.columns, *_FACTS)
 
 
-def plan_replay(
-    steps: DataFrame, versions: DataFrame, requests: DataFrame, group_rows: int = GROUP_ROWS
-) -> ReplayPlan:
+def plan_replay(steps: DataFrame, versions: DataFrame, requests: DataFrame) -> ReplayPlan:
     """Place every request and every step version on the level numbers of its key.
 
     A request for a NULL version is an error that changes nothing, so it is left
@@ -112,17 +109,8 @@ def plan_replay(
     since the runs, the flags and the counts all start from them.
     """
     requests = requests.filter(F.col("to_version").isNotNull()).select(*KEY, *WHEN, "to_version")
-    asked_rows, asked_largest = group_sizes(requests.select(*KEY), KEY)
-    step_rows, step_largest = group_sizes(steps.select(*KEY), KEY)
-    # A key has one start besides its requests, and at most one point per
-    # request, per step and for its start.
-    timeline_sizes = (2 * asked_rows, asked_largest + 1)
-    point_sizes = (timeline_sizes[0] + step_rows, timeline_sizes[1] + step_largest)
-
     points = _points(steps, _starts(versions, requests), requests)
-    placed = running_total(
-        points, KEY, [F.col("version")], "level", F.col("is_level"), group_rows=group_rows, sizes=point_sizes
-    )
+    placed = running_total(points, KEY, [F.col("version")], "level", F.col("is_level"))
     placed = materialize(placed, "levels")
 
     # A key's start leads its requests: both its time and its request are NULL.
@@ -135,7 +123,7 @@ def plan_replay(
     timeline = requests.join(at, [*KEY, "to_version"]).unionByName(starts)
     order = [F.col("ts").asc_nulls_first(), F.col("request_id").asc_nulls_first()]
     here = F.struct("to_version", "to_level")
-    chained = previous_value(timeline, KEY, order, here, "_from", group_rows, timeline_sizes)
+    chained = previous_value(timeline, KEY, order, here, "_from")
     moves = chained.filter(F.col("request_id").isNotNull()).select(
         *KEY,
         *WHEN,
@@ -148,7 +136,6 @@ def plan_replay(
         materialize(moves, "moves"),
         materialize(_located(steps, placed), "located"),
         steps.join(starts.select(*KEY), KEY, "left_anti"),
-        (step_rows, step_largest),
     )
 
 
@@ -208,15 +195,14 @@ def replay_changes(
     steps: DataFrame,
     versions: DataFrame,
     requests: DataFrame,
-    group_rows: int = GROUP_ROWS,
     case_sensitive: bool = True,
 ) -> DataFrame:
     """Runs a log of requests per key; one row per step run, with its request."""
     steps, versions, requests = (fold_names(df, KEY, case_sensitive) for df in (steps, versions, requests))
-    return unfold_names(executed_steps(plan_replay(steps, versions, requests, group_rows)), KEY, case_sensitive)
+    return unfold_names(executed_steps(plan_replay(steps, versions, requests)), KEY, case_sensitive)
 
 
-def _crossing_counts(plan: ReplayPlan, group_rows: int) -> DataFrame:
+def _crossing_counts(plan: ReplayPlan) -> DataFrame:
     """How often each level is crossed, from where moves start and end only."""
     moving = plan.moves.filter("from_level <> to_level")
     low, high = F.least("from_level", "to_level"), F.greatest("from_level", "to_level")
@@ -233,15 +219,12 @@ def _crossing_counts(plan: ReplayPlan, group_rows: int) -> DataFrame:
     ).select(*KEY, "edge.*")
     levels = plan.located.select(*KEY, "level", F.lit(0).alias("change"))
     changes = edges.unionByName(levels).groupBy(*KEY, "level").agg(F.sum("change").alias("change"))
-    rows, largest = plan.level_sizes
-    return running_total(
-        changes, KEY, [F.col("level")], "crossed", F.col("change"), group_rows=group_rows, sizes=(2 * rows, largest + 1)
-    ).select(*KEY, "level", "crossed")
+    return running_total(changes, KEY, [F.col("level")], "crossed", F.col("change")).select(*KEY, "level", "crossed")
 
 
-def final_steps(plan: ReplayPlan, group_rows: int = GROUP_ROWS) -> DataFrame:
+def final_steps(plan: ReplayPlan) -> DataFrame:
     """Every step with the flag it has after the whole log."""
-    counted = lookup(plan.located, _crossing_counts(plan, group_rows), [*KEY, "level"])
+    counted = lookup(plan.located, _crossing_counts(plan), [*KEY, "level"])
     n = F.coalesce("crossed", F.lit(0))
     lead_last = n % 2 == 1
     lead_flag = F.when(n == 0, F.col("completed")).when(lead_last, 1).when(F.col("follow_runs"), 0).otherwise(1)
@@ -275,11 +258,10 @@ def replay_final_state(
     steps: DataFrame,
     versions: DataFrame,
     requests: DataFrame,
-    group_rows: int = GROUP_ROWS,
     case_sensitive: bool = True,
 ) -> FinalState:
     """Registry and versions after a log of requests, from any starting flags."""
     steps, versions, requests = (fold_names(df, KEY, case_sensitive) for df in (steps, versions, requests))
-    plan = plan_replay(steps, versions, requests, group_rows)
-    states = (final_steps(plan, group_rows), final_versions(versions, requests))
+    plan = plan_replay(steps, versions, requests)
+    states = (final_steps(plan), final_versions(versions, requests))
     return FinalState(*[unfold_names(df, KEY, case_sensitive) for df in states])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import qualified_name
-from tidemark.operators.ordered import GROUP_ROWS, row_numbers
+from tidemark.operators.ordered import row_numbers
 
 SORT_MODES = ("none", "name", "value")
 # Labels of the statistics and buckets of the relationship survey.
@@ -53,7 +53,7 @@ def summarize(df: DataFrame, group_column: str, category: str) -> DataFrame:
 
 
 def summarize_sorted(
-    df: DataFrame, group_column: str, category: str, sort: str | None = "none", group_rows: int = GROUP_ROWS
+    df: DataFrame, group_column: str, category: str, sort: str | None = "none"
 ) -> DataFrame:
     """`summarize` with `position`: groups in the asked order, the totals after them.
 
@@ -62,7 +62,7 @@ def summarize_sorted(
     order = [F.col("place"), F.col("key")]
     if sort_mode(sort) == "value":
         order.insert(1, F.col("value"))
-    return row_numbers(_summary(df, group_column, category), [], order, "position", group_rows).drop("place")
+    return row_numbers(_summary(df, group_column, category), [], order, "position").drop("place")
 
 
 def survey_relationships(edges: DataFrame, type_column: str = "relationship_type") -> DataFrame:

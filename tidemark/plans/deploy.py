@@ -17,9 +17,7 @@ from tidemark.operators.changes import (
     cut_after_failure,
     get_steps,
     order_steps,
-    registry_sizes,
 )
-from tidemark.operators.ordered import GROUP_ROWS
 from tidemark.operators.reconcile import Unit, reconcile_many
 from tidemark.operators.versions import parse_version
 from tidemark.schemas import KEY
@@ -48,7 +46,6 @@ def version_change(
     versions: DataFrame,
     targets: DataFrame,
     failed=None,
-    group_rows: int = GROUP_ROWS,
     case_sensitive: bool = True,
 ) -> Change:
     """Bring every key of `targets` (`to_version`) to its version.
@@ -60,10 +57,9 @@ def version_change(
     """
     steps, versions, targets = (fold_names(df, KEY, case_sensitive) for df in (steps, versions, targets))
     changes = change_requests(versions, targets.filter(F.col("to_version").isNotNull()))
-    sizes = registry_sizes(steps)
-    ordered = order_steps(get_steps(steps, changes), group_rows, sizes)
+    ordered = order_steps(get_steps(steps, changes))
     ordered = ordered.withColumn("failed", F.lit(False) if failed is None else failed)
-    outcomes = materialize(cut_after_failure(ordered, "failed", group_rows, sizes), "outcomes")
+    outcomes = materialize(cut_after_failure(ordered, "failed"), "outcomes")
     done = outcomes.filter(F.col("outcome") == "run")
     results = (apply_change(steps, done), advance_version(versions, changes, outcomes), outcomes, changes)
     return Change(*[unfold_names(df, KEY, case_sensitive) for df in results])
@@ -97,18 +93,19 @@ def deploy_run(
     units: list[Unit] | None = None,
     weight_base: int = V.PUBLISH_BASE,
     failed=None,
-    group_rows: int = GROUP_ROWS,
 ) -> Publish:
     """One publish: the downgrade part, static data, then the upgrade part.
 
     Targets are (key, `version_text`). The part names a slot, not a direction:
     the direction follows from each key's versions.
     """
-    down = version_change(steps, versions, targets_from_text(downgrade_targets, weight_base), failed, group_rows)
+    down = version_change(steps, versions, targets_from_text(downgrade_targets, weight_base), failed)
     tables, report = reconcile_many(units) if units else ({}, None)
-    up = version_change(
-        down.steps, down.versions, targets_from_text(upgrade_targets, weight_base), failed, group_rows
+    # The second half reads the state between the halves several times.
+    down = down._replace(
+        steps=materialize(down.steps, "steps"), versions=materialize(down.versions, "versions")
     )
+    up = version_change(down.steps, down.versions, targets_from_text(upgrade_targets, weight_base), failed)
     return Publish(up.steps, up.versions, tables, report, down, up)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ordered import GROUP_ROWS, row_numbers
+from tidemark.operators.ordered import row_numbers
 
 # The unit suffix (any letter case) and the bundle's elements.
 UNIT_SUFFIX = ".data.sql"
@@ -33,7 +33,7 @@ def is_static_unit(name):
     return F.lower(name).endswith(UNIT_SUFFIX)
 
 
-def read_static_units(spark: SparkSession, path: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def read_static_units(spark: SparkSession, path: str) -> DataFrame:
     """Unit files below `path`: `position` (by path), `file_name`, whole `content`."""
     files = (
         spark.read.option("recursiveFileLookup", "true")
@@ -45,7 +45,7 @@ def read_static_units(spark: SparkSession, path: str, group_rows: int = GROUP_RO
         )
         .filter(is_static_unit(F.col("file_name")))
     )
-    return row_numbers(files, [], [F.col("file_path")], "position", group_rows).select(
+    return row_numbers(files, [], [F.col("file_path")], "position").select(
         "position", "file_path", "file_name", "content"
     )
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidemark.operators.ordered import GROUP_ROWS
 from tidemark.operators.replay import executed_steps, final_steps, final_versions, plan_replay
 from tidemark.sources.state import StateStore
 
@@ -27,7 +26,6 @@ def stream_version_changes(
     executed_path: str,
     checkpoint_path: str,
     trigger: dict | None = None,
-    group_rows: int = GROUP_ROWS,
 ) -> StreamingQuery:
     """Start applying a stream of (request_id, ts, key, to_version) to the store.
 
@@ -40,12 +38,12 @@ def stream_version_changes(
         if store.pointer()["notes"].get(_BATCH_NOTE, -1) >= batch_id:
             return
         steps, versions = store.read(STEP_TABLE), store.read(VERSION_TABLE)
-        plan = plan_replay(steps, versions, batch, group_rows)
+        plan = plan_replay(steps, versions, batch)
         # Written before the switch under the batch's own name, so a repeat overwrites it.
         executed_steps(plan).write.mode("overwrite").parquet(f"{executed_path}/batch={batch_id}")
         store.commit(
             {
-                STEP_TABLE: final_steps(plan, group_rows),
+                STEP_TABLE: final_steps(plan),
                 VERSION_TABLE: final_versions(versions, batch),
             },
             notes={_BATCH_NOTE: batch_id},
