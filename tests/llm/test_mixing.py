@@ -1,0 +1,63 @@
+import re
+
+import pytest
+
+from tidemark.llm.mixing import emit_copies, mix_sources
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _targets(sizes, weights, most):
+    """Sharing again and again, as the rule is told."""
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, stopped = sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in stopped]
+        rest = total - sum(stopped.values())
+        share = {s: rest * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if share[s] > most * sizes[s]]
+        if not over:
+            return stopped | share
+        stopped |= {s: float(most * sizes[s]) for s in over}
+
+
+def _check(docs, rows):
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + len(WORD.findall(r.text or ""))
+    want = _targets(sizes, [5, 2, 1], 3)
+    mixed = mix_sources(docs).collect()
+    assert len(mixed) == len(rows)
+    for m in mixed:
+        assert m.size == len(WORD.findall(m.text or "")) and m.source_size == sizes[m.source]
+        assert m.target == pytest.approx(want[m.source])
+        rate = want[m.source] / sizes[m.source] if sizes[m.source] else 0
+        assert int(rate + 1e-9) <= m.copies <= min(3, int(rate) + 1)
+    assert sorted(map(repr, mixed)) == sorted(map(repr, mix_sources(docs.repartition(3)).collect()))
+    return mixed
+
+
+def test_sources_reach_their_targets(spark, folder, documents):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source")
+    mixed = _check(docs, documents)
+    taken = sum(m.size * m.copies for m in mixed)
+    assert taken == pytest.approx(sum(m.size for m in mixed), rel=0.15)
+
+
+def test_odd_documents(odd_documents):
+    mixed = _check(odd_documents, odd_documents.collect())
+    out = emit_copies(mix_sources(odd_documents.drop("size")))
+    assert out.columns == [c for c in odd_documents.columns if c != "size"]
+    assert out.count() == sum(m.copies for m in mixed)
+
+
+def test_small_sources_stop(spark):
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 5), ("b", 1000), ("c", 3), ("d", 0), ("e", 700), (None, 20)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = {m.source: m for m in _check(docs, docs.collect())}
+    assert mixed["a"].target == 15 and mixed["c"].copies == 3 and mixed["d"].copies == 0
+
+
+def test_nothing(no_documents):
+    assert mix_sources(no_documents).count() == 0

@@ -41,11 +41,6 @@ COVER = 0.6
 LONGEST = 1.5
 
 
-def grams(words: str, width: int) -> list[str]:
-    """Names of array columns holding a text's word i, i + 1, ... for each i."""
-    return [f"slice({words}, {i + 1}, greatest(size({words}) - {width - 1}, 0))" for i in range(width)]
-
-
 def template_grams(spark: SparkSession, width: int) -> DataFrame:
     """(template, label, base, places, length, gram, place): a fixed table of some hundred rows."""
     rows = []
@@ -64,7 +59,8 @@ def template_grams(spark: SparkSession, width: int) -> DataFrame:
 
 def license_votes(docs: DataFrame, width: int = GRAM) -> DataFrame:
     """Votes (doc, template, ..., place, at) of `docs(doc, words)`: k-grams that are equal word by word."""
-    zipped = F.expr(f"arrays_zip({', '.join(f'{g} as w{i}' for i, g in enumerate(grams('words', width)))})")
+    count = F.greatest(F.size("words") - (width - 1), F.lit(0))
+    zipped = F.arrays_zip(*[F.slice("words", F.lit(i + 1), count) for i in range(width)])
     rolled = docs.select("doc", F.posexplode(zipped).alias("at", "g")).select(
         "doc", "at", *[F.col("g")[str(i)].alias(f"d{i}") for i in range(width)]
     )

@@ -72,8 +72,10 @@ def mix_sources(
     key = [F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source")]
     left = sized.select("*", *key)
     right = targets.select(*key, "source_size", "target")
-    rate = F.least(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(float(most_copies)))
-    joined = lookup(left, right, ["_none", "_source"], "inner").withColumn("_rate", F.coalesce(rate, F.lit(0.0)))
+    rate = F.when(
+        F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most_copies)))
+    ).otherwise(0.0)
+    joined = lookup(left, right, ["_none", "_source"], "inner").withColumn("_rate", rate)
     extra = (coin(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
     return joined.withColumn("copies", F.floor("_rate") + extra).drop("_none", "_source", "_rate")
 
