@@ -16,11 +16,14 @@ A text is the set of its distinct word shingles. Two texts link when
    `common` kept blocks. Blocks that meet nobody are dropped, and so are classes
    that agree with others on fewer than `common` blocks.
 4. Of the classes that share a block, all are verified against the one with the
-   most shared blocks, by counting common shingles of the texts themselves. Classes
-   that end in one component need no more checks. Where a block still joins
-   several components, the next pivot is taken, and once few pairs are left these
-   are verified one by one. So no link between components is lost, and a group of
-   copies costs its size, not its square.
+   most shared blocks, its pivot, by counting common shingles of the texts
+   themselves. Classes that end in one component need no more checks.
+5. Blocks that still join several components are settled chunk by chunk: classes
+   go to their most frequent pivot's group, groups are cut into chunks of bounded
+   size, and every two chunks that meet in such a block are verified in one task,
+   as a product of two shingle matrices, which gives out the links of a spanning
+   forest only. So no link between components is lost, no group of copies meets in
+   one task, and pairs are never written out.
 
 A class is named by a 64-bit hash of its set; among n classes a mix-up has a
 probability of n^2 / 2^65.
@@ -42,8 +45,11 @@ from tidemark.sources.scratch import materialize
 
 # Entries (16 bytes each) of one task of the block join.
 ENTRIES_PER_TASK = 1_000_000
-# Members a pivot is compared with in one task.
+# Members a pivot is compared with at a time, and classes of a chunk.
 MEMBERS_PER_TASK = 500
+CHUNK = 256
+# Columns of a shingle matrix multiplied at a time.
+COLUMNS = 1 << 14
 
 _BAND_BITS = 6
 
@@ -292,6 +298,107 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, perc
     return grouped.select("pivot", "class", "part", "text").mapInArrow(_linked(width, percent), "a long, b long")
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets have in common."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    counts = np.zeros((n, n))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    wide = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, wide, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((n, min(COLUMNS, wide - first)), dtype=np.float32)
+        part[owner[a:b], column[a:b] - first] = 1.0
+        counts += part @ part.T
+    return counts.astype(np.int64)
+
+
+def _settled(width: int, percent: int):
+    """Per unit of two chunks: links that join its classes as all links between them would."""
+
+    def links(names: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        sizes = np.array([len(x) for x in sets])
+        both = _common(sets)
+        near = np.triu(both * 100 >= percent * (sizes[:, None] + sizes[None, :] - both), 1)
+        parent = {label: label for label in labels}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        made = []
+        for i, j in zip(*np.nonzero(near)):
+            a, b = find(labels[i]), find(labels[j])
+            if a != b:
+                parent[b] = a
+                made.append((names[i], names[j]))
+        return made
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = separators()
+        unit, held = None, ([], [], [])
+        for batch in batches:
+            for rows, texts in slices(batch, "text"):
+                sets, sizes = shingle_sets(texts, width, parts)
+                starts = np.concatenate(([0], np.cumsum(sizes)))
+                names = _class_names(sets, sizes)
+                units, classes, labels = (rows.column(c).to_pylist() for c in ("unit", "class", "label"))
+                out: list[tuple[int, int]] = []
+                for i in range(len(texts)):
+                    if units[i] != unit:
+                        if len(held[0]) > 1:
+                            out += links(*held)
+                        unit, held = units[i], ([], [], [])
+                    if names[i] != classes[i]:
+                        continue  # another text under the same doc_id
+                    held[0].append(classes[i])
+                    held[1].append(labels[i])
+                    held[2].append(sets[starts[i] : starts[i + 1]])
+                yield _edges(out)
+        if len(held[0]) > 1:
+            yield _edges(links(*held))
+
+    return run
+
+
+def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _settle(
+    open_keys: DataFrame, met: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links between the components that `open_keys(key, class, label)` still bring together."""
+    spark = docs.sparkSession
+    home = met.groupBy("class").agg(F.max_by("pivot", "n").alias("home"))
+    members = lookup(open_keys.select("class", "label").distinct(), home, ["class"], "inner")
+    chunks = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks"))
+    placed = materialize(
+        lookup(members, chunks, ["home"], "inner").select(
+            "class", "label", F.struct("home", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("no")).alias("chunk")
+        ),
+        "members",
+    )
+    held = lookup(open_keys.select("key", "class"), placed.select("class", "chunk"), ["class"], "inner").select("key", "chunk").distinct()
+    other = held.withColumnRenamed("chunk", "other")
+    units = held.join(other, "key").filter("chunk <= other").select("chunk", "other").distinct()
+    named = units.withColumn("unit", F.xxhash64("chunk", "other"))
+    sides = named.select("unit", "chunk").union(named.select("unit", F.col("other").alias("chunk"))).distinct()
+    texts = sets.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    wanted = lookup(sides.join(placed, "chunk"), texts, ["class"], "inner")
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.repartition(count, "unit").sortWithinPartitions("unit", "class")
+    return grouped.select("unit", "class", "label", "text").mapInArrow(_settled(width, percent), "a long, b long")
+
+
 def _shared_blocks(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(key, class, blocks): kept blocks that classes share, of classes with enough of them."""
     limits = bands(percent)
@@ -338,53 +445,22 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     known = sets.filter("doc_id is not null and n_shingles > 0")
     given = docs.filter("doc_id is not null")
     alive = _shared_blocks(given, known, width, percent)
-    links = None
-    labels = None
-    done = None
-    while True:
-        if labels is None:
-            open_keys = alive
-        else:
-            named = lookup(alive, labels.withColumnRenamed("node", "class"), ["class"], "left").withColumn(
-                "label", F.coalesce("label", "class")
-            )
-            mixed = (
-                named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                .filter("low <> high").select("key")
-            )
-            open_keys = materialize(lookup(named, mixed, ["key"], "inner"), "open")
-            sizes = open_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-            pairs_left = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-            if not pairs_left:
-                break
-            if pairs_left <= 2 * known.count():
-                other = open_keys.select("key", F.col("class").alias("pivot"), F.col("label").alias("other"))
-                rest = open_keys.join(other, "key").filter("class > pivot and label <> other").select("pivot", "class").distinct()
-                rest = materialize(rest.join(done, ["pivot", "class"], "left_anti").join(
-                    done.select(F.col("pivot").alias("class"), F.col("class").alias("pivot")), ["pivot", "class"], "left_anti"
-                ), "pairs")
-                more = materialize(_verify(rest, given, known, width, percent), "links")
-                links = links.union(more)
-                labels = components(links)
-                break
-        pivots = materialize(_pivots(open_keys), "pivots")
-        met = lookup(open_keys, pivots, ["key"], "inner")
-        if labels is not None:
-            met = met.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("own")), "pivot", "left").filter(
-                F.col("label") != F.coalesce("own", "pivot")
-            )
-        pairs = met.filter("class <> pivot").select("pivot", "class").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["pivot", "class"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(_verify(pairs, given, known, width, percent), "links")
-        links = found if links is None else links.union(found)
-        done = pairs if done is None else done.union(pairs)
-        labels = components(links)
-        # A pivot has met all others of its key that are not in its component yet.
-        alive = materialize(
-            alive.join(pivots.select("key", F.col("pivot").alias("class")), ["key", "class"], "left_anti"), "alive"
-        )
+    met = materialize(
+        lookup(alive.select("key", "class"), _pivots(alive), ["key"], "inner").groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("n")),
+        "met",
+    )
+    links = materialize(_verify(met.filter("class <> pivot").select("pivot", "class"), given, known, width, percent), "links")
+    labels = components(links)
+    named = lookup(alive.select("key", "class"), labels.withColumnRenamed("node", "class"), ["class"], "left").withColumn(
+        "label", F.coalesce("label", "class")
+    )
+    mixed = (
+        named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    )
+    open_keys = materialize(lookup(named, mixed, ["key"], "inner"), "open")
+    more = materialize(_settle(open_keys, met, given, known, width, percent), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     classes = known.groupBy("class").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
