@@ -377,7 +377,14 @@ def _settle(
 ) -> DataFrame:
     """Links between the components that `open_keys(key, class, label)` still bring together."""
     spark = docs.sparkSession
-    home = met.groupBy("class").agg(F.max_by("pivot", "n").alias("home"))
+    home = materialize(met.groupBy("class").agg(F.max_by("pivot", "n").alias("home")), "homes")
+    # A pivot that has a more frequent pivot of its own hands its group on, or one family
+    # of copies would be spread over many small groups that all meet.
+    for _ in range(2):
+        higher = home.select(F.col("class").alias("home"), F.col("home").alias("higher"))
+        home = materialize(
+            lookup(home, higher, ["home"], "left").select("class", F.coalesce("higher", "home").alias("home")), "homes"
+        )
     members = lookup(open_keys.select("class", "label").distinct(), home, ["class"], "inner")
     chunks = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks"))
     placed = materialize(
