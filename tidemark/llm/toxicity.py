@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import separators, slices, stem_hashes, word_hashes
 from tidemark.sources.scratch import materialize
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
 TERMS = 4096
 FACTORS = 8
-STEM_BYTES = 5
+# Lengths of word heads that are terms too, in bytes.
+STEM_BYTES = (4, 5)
+# A term must separate the classes by this much, in texts: chance alone reaches less.
+LEAST_GAIN = 6.0
 
 
 @dataclass
@@ -45,9 +48,12 @@ def _term_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(term hashes of all texts, text index of each)."""
     parts = separators(keep_letters_only=True)
     words, counts = word_hashes(texts, parts)
-    stems, stem_counts = stem_hashes(texts, parts, STEM_BYTES)
-    owner = np.concatenate((np.repeat(np.arange(len(texts)), counts), np.repeat(np.arange(len(texts)), stem_counts)))
-    return np.concatenate((words, stems)), owner
+    found, owners = [words], [np.repeat(np.arange(len(texts)), counts)]
+    for size in STEM_BYTES:
+        stems, stem_counts = stem_hashes(texts, parts, size)
+        found.append(stems)
+        owners.append(np.repeat(np.arange(len(texts)), stem_counts))
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def _pairs_of(hashes: np.ndarray, owner: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +144,7 @@ def _fit(rows: list, terms: np.ndarray, rounds: int, seed: int) -> Machine:
         np.add.at(to_weights, term, slope[text] * values)
         to_factors = np.zeros_like(model.factors)
         np.add.at(to_factors, term, (slope[text] * values)[:, None] * (sums[text] - vectors))
-        flat = np.concatenate(([slope.sum()], to_weights + 1e-5 * model.weights, (to_factors + 1e-4 * model.factors).ravel()))
+        flat = np.concatenate(([slope.sum()], to_weights + 1e-4 * model.weights, (to_factors + 1e-3 * model.factors).ravel()))
         moments[0] += 0.1 * (flat - moments[0])
         moments[1] += 0.01 * (flat**2 - moments[1])
         move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-10)
@@ -153,7 +159,7 @@ def train(
     labels: DataFrame,
     sample_rows: int = SAMPLE_ROWS,
     terms: int = TERMS,
-    rounds: int = 120,
+    rounds: int = 80,
     seed: int = 7,
 ) -> Machine:
     """A machine for `docs(doc_id, text)` with `labels(doc_id, toxic)`.
@@ -182,7 +188,8 @@ def train(
     q = F.col("clean") / F.lit(float(max(1.0, n.get(0, 0))))
     # Squared difference over its variance: frequent, one-sided terms come first.
     gain = (p - q) * (p - q) / (p + q)
-    chosen = counts.filter("toxic + clean >= 3").orderBy(gain.desc(), "term").select("term").limit(terms).collect()
+    least = LEAST_GAIN / max(1.0, min(n.get(0, 0), n.get(1, 0)))
+    chosen = counts.filter(gain >= least).orderBy(gain.desc(), "term").select("term").limit(terms).collect()
     hashes = np.sort(np.array([r.term for r in chosen], dtype=np.int64).view(np.uint64))
     rows = sample.mapInArrow(_feature_rows(hashes), "toxic long, terms array<long>, times array<long>").collect()
     return _fit(rows, hashes, rounds, seed)
