@@ -19,7 +19,7 @@ A text is the set of its distinct word shingles. Two texts link when
    most shared blocks, its pivot, by counting common shingles of the texts
    themselves. Classes that end in one component need no more checks.
 5. Blocks that still join several components are settled chunk by chunk: classes
-   go to their most frequent pivot's group, groups are cut into chunks of bounded
+   that such blocks connect form a family, families are cut into chunks of bounded
    size, and every two chunks that meet in such a block are verified in one task,
    as a product of two shingle matrices, which gives out the links of a spanning
    forest only. So no link between components is lost, no group of copies meets in
@@ -47,9 +47,9 @@ from tidemark.sources.scratch import materialize
 ENTRIES_PER_TASK = 1_000_000
 # Members a pivot is compared with at a time, and classes of a chunk.
 MEMBERS_PER_TASK = 500
-CHUNK = 256
+CHUNK = 512
 # Columns of a shingle matrix multiplied at a time.
-COLUMNS = 1 << 14
+COLUMNS = 1 << 13
 
 _BAND_BITS = 6
 
@@ -372,19 +372,13 @@ def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _settle(
-    open_keys: DataFrame, met: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int
-) -> DataFrame:
+def _settle(open_keys: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between the components that `open_keys(key, class, label)` still bring together."""
     spark = docs.sparkSession
-    home = materialize(met.groupBy("class").agg(F.max_by("pivot", "n").alias("home")), "homes")
-    # A pivot that has a more frequent pivot of its own hands its group on, or one family
-    # of copies would be spread over many small groups that all meet.
-    for _ in range(2):
-        higher = home.select(F.col("class").alias("home"), F.col("home").alias("higher"))
-        home = materialize(
-            lookup(home, higher, ["home"], "left").select("class", F.coalesce("higher", "home").alias("home")), "homes"
-        )
+    least = open_keys.groupBy("key").agg(F.min("class").alias("a"))
+    edges = lookup(open_keys.select("key", F.col("class").alias("b")), least, ["key"], "inner").filter("a <> b")
+    families = components(materialize(edges.select("a", "b").distinct(), "families"))
+    home = families.select(F.col("node").alias("class"), F.col("label").alias("home"))
     members = lookup(open_keys.select("class", "label").distinct(), home, ["class"], "inner")
     chunks = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks"))
     placed = materialize(
@@ -400,6 +394,7 @@ def _settle(
     sides = named.select("unit", "chunk").union(named.select("unit", F.col("other").alias("chunk"))).distinct()
     texts = sets.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     wanted = lookup(sides.join(placed, "chunk"), texts, ["class"], "inner")
+    wanted = materialize(wanted, "units")
     rows = docs.select("doc_id", "text").join(wanted, "doc_id")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = rows.repartition(count, "unit").sortWithinPartitions("unit", "class")
@@ -452,11 +447,9 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     known = sets.filter("doc_id is not null and n_shingles > 0")
     given = docs.filter("doc_id is not null")
     alive = _shared_blocks(given, known, width, percent)
-    met = materialize(
-        lookup(alive.select("key", "class"), _pivots(alive), ["key"], "inner").groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("n")),
-        "met",
-    )
-    links = materialize(_verify(met.filter("class <> pivot").select("pivot", "class"), given, known, width, percent), "links")
+    met = lookup(alive.select("key", "class"), _pivots(alive), ["key"], "inner")
+    pairs = materialize(met.filter("class <> pivot").select("pivot", "class").distinct(), "pairs")
+    links = materialize(_verify(pairs, given, known, width, percent), "links")
     labels = components(links)
     named = lookup(alive.select("key", "class"), labels.withColumnRenamed("node", "class"), ["class"], "left").withColumn(
         "label", F.coalesce("label", "class")
@@ -465,7 +458,7 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     )
     open_keys = materialize(lookup(named, mixed, ["key"], "inner"), "open")
-    more = materialize(_settle(open_keys, met, given, known, width, percent), "links")
+    more = materialize(_settle(open_keys, given, known, width, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
