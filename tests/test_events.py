@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tidemark.operators import events as E
 from tidemark.sources.sinks import export_events
@@ -52,3 +53,18 @@ def test_export_replaces_files_of_the_same_name(spark, recorded, tmp_path):
     assert rows(kept, "file_name", "value") == [
         ("srv-deadlock-20240101-010203.xdl", "<deadlock id='c'/>"), ("srv-deadlock-20240102-120000.xdl", "<a>1</a><b/>")
     ]
+
+
+def test_events_without_time_keep_a_file_each(spark, tmp_path):
+    path = str(tmp_path / "out")
+    given = [(1, None, "a"), (2, None, "b"), (3, dt.datetime(2024, 1, 1), "c")]
+    frame = spark.createDataFrame(given, "event_id int, event_time timestamp, fragment string")
+    for naming in ({}, {"literal_clock": True}, {"with_id": True}):
+        assert E.event_file_names(frame, "srv", **naming).select("file_name").distinct().count() == 3
+    export_events(E.event_file_names(frame, "srv", with_id=True), path)
+    # Another event of the same second, exported later.
+    later = spark.createDataFrame([(9, dt.datetime(2024, 1, 1), "d")], frame.schema)
+    export_events(E.event_file_names(later, "srv", with_id=True), path)
+    assert rows(spark.read.text(path), "value") == [("a",), ("b",), ("c",), ("d",)]
+    with pytest.raises(Exception, match="no file name"):
+        export_events(frame.withColumn("file_name", F.lit(None).cast("string")), path)

@@ -61,3 +61,31 @@ def test_audit_stream_drops_repeats(spark, tmp_path):
     path = str(tmp_path / "log")
     stream_audit(stream, path, str(tmp_path / "check"), ["event_id"]).awaitTermination()
     assert rows(spark.read.parquet(path), "event_id", "message") == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_new_requests_under_a_new_checkpoint_are_applied(spark, tmp_path):
+    source = str(tmp_path / "requests")
+    store = StateStore(spark, str(tmp_path / "state"))
+    store.commit({"step": scenario_steps(spark), "version": versions_frame(spark)})
+    asked = [(1, START, "dbo", "test_app", D(10001)), (2, START + dt.timedelta(minutes=1), "dbo", "test_app", D(20001))]
+    for check, request in zip(("one", "two"), asked):
+        spark.createDataFrame([request], REQUEST).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(REQUEST).parquet(source)
+        stream_version_changes(stream, store, str(tmp_path / "executed"), str(tmp_path / check)).awaitTermination()
+    final = replay_final_state(scenario_steps(spark), versions_frame(spark), spark.createDataFrame(asked, REQUEST))
+    assert rows(store.read("step"), "id", "completed") == rows(final.steps, "id", "completed")
+    assert rows(store.read("version")) == rows(final.versions)
+    assert rows(store.read_log("request"), "request_id") == [(1,), (2,)]
+
+
+def test_audit_stream_keeps_late_rows_and_rows_without_time(spark, tmp_path):
+    schema = "event_id int, when timestamp, message string"
+    source, path = str(tmp_path / "events"), str(tmp_path / "log")
+    late = START - dt.timedelta(days=3)
+    parts = ([(1, START, "a")], [(2, late, "late"), (3, None, "untimed")], [(3, None, "untimed"), (2, late, "late"), (1, late, "c")])
+    for check, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        # A checkpoint of its own each time: the source starts over.
+        stream_audit(stream, path, str(tmp_path / f"check{check}"), ["event_id"]).awaitTermination()
+    assert rows(spark.read.parquet(path), "event_id", "message") == [(1, "a"), (1, "c"), (2, "late"), (3, "untimed")]

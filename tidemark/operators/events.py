@@ -35,20 +35,30 @@ def server_file_prefix(server: str) -> str:
 
 
 def event_file_names(
-    events: DataFrame, server: str, literal_clock: bool = False
+    events: DataFrame, server: str, literal_clock: bool = False, with_id: bool = False
 ) -> DataFrame:
     """Adds `file_name`, one per event.
 
-    Events of the same second get a number from the second one on. With
-    `literal_clock` the hour runs to 12 and no number is added, so a later event
-    can take the name of an earlier one.
+    Events of the same second get a number from the second one on, counted within
+    `events`. `with_id` puts the event's id there instead: a name then follows from
+    the event alone, so later exports never take the names of earlier ones. With
+    `literal_clock` the hour runs to 12 and nothing is added, so a later event can
+    take the name of an earlier one. An event without a time is named by its id.
     """
-    prefix = server_file_prefix(server)
+    if literal_clock and with_id:
+        raise ValueError("names have either the literal clock or an id")
+    stem = F.lit(f"{server_file_prefix(server)}-deadlock-")
+    number = F.concat(F.lit("-"), F.coalesce(F.col("event_id").cast("string"), F.lit("none")))
+    named = events
     if literal_clock:
         stamp = F.date_format("event_time", "yyyyMMdd-hhmmss")
-        return events.withColumn("file_name", F.concat(F.lit(f"{prefix}-deadlock-"), stamp, F.lit(".xdl")))
-    stamped = events.withColumn("_stamp", F.date_format("event_time", "yyyyMMdd-HHmmss"))
-    numbered = row_numbers(stamped, ["_stamp"], [F.col("event_id")], "_copy")
-    suffix = F.when(F.col("_copy") == 1, "").otherwise(F.concat(F.lit("-"), F.col("_copy").cast("string")))
-    name = F.concat(F.lit(f"{prefix}-deadlock-"), F.col("_stamp"), suffix, F.lit(".xdl"))
-    return numbered.withColumn("file_name", name).drop("_stamp", "_copy")
+    else:
+        stamp = F.date_format("event_time", "yyyyMMdd-HHmmss")
+        if with_id:
+            stamp = F.concat(stamp, number)
+        else:
+            named = row_numbers(events.withColumn("_stamp", stamp), ["_stamp"], [F.col("event_id")], "_copy")
+            copy = F.when(F.col("_copy") == 1, "").otherwise(F.concat(F.lit("-"), F.col("_copy").cast("string")))
+            stamp = F.concat("_stamp", copy)
+    name = F.concat(stem, F.coalesce(stamp, F.concat(F.lit("untimed"), number)), F.lit(".xdl"))
+    return named.withColumn("file_name", name).drop("_stamp", "_copy")

@@ -580,6 +580,12 @@ def event_file_names_literal_clock(fx: Fixtures) -> DataFrame:
     return named.select("event_id", "file_name")
 
 
+@query
+def event_file_names_with_id(fx: Fixtures) -> DataFrame:
+    named = events.event_file_names(events.extract_events(fx.event_xml()), "(localdb)\\Projects", with_id=True)
+    return named.select("event_id", "file_name")
+
+
 # ---- streams ----
 
 
@@ -602,4 +608,4 @@ def stream_audit(fx: Fixtures) -> DataFrame:
     rows = _event_stream(fx).select("event_id", F.col("ts").cast("timestamp").alias("when"), F.col("event_type").alias("message"))
     path, checkpoint = new_path(fx.spark, "stream-audit"), new_path(fx.spark, "stream")
     start_audit(rows, path, checkpoint, ["event_id"]).awaitTermination()
-    return fx.spark.read.parquet(path)
+    return fx.spark.read.parquet(path).drop("log_day")

@@ -579,5 +579,8 @@ ORACLES: dict[str, str] = {
               from (select *, strftime(event_time, '%Y%m%d-%H%M%S') as stamp from deadlocks))"""),
     "event_file_names_literal_clock": _sql("""
         select event_id, concat('localdb-Projects-deadlock-', strftime(event_time, '%Y%m%d-%I%M%S'), '.xdl') as file_name from deadlocks"""),
+    "event_file_names_with_id": _sql("""
+        select event_id, concat('localdb-Projects-deadlock-', coalesce(strftime(event_time, '%Y%m%d-%H%M%S'), 'untimed'), '-',
+                                cast(event_id as varchar), '.xdl') as file_name from deadlocks"""),
     "stream_audit": """select distinct event_id, ts as "when", event_type as message from events""",
 }

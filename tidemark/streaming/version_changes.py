@@ -2,9 +2,10 @@
 
 Each micro-batch is a short log: `executed_steps` and the final states of
 `operators.replay` run it for all its keys at once, so a key with a large share
-of the requests is split like in a batch job. States are snapshots switched
-together with the number of the micro-batch that made them, and a micro-batch
-that comes again after a failure finds its number and changes nothing.
+of the requests is split like in a batch job. The store keeps a log of the
+requests it applied, switched together with the states they led to. A micro-batch
+that comes again after a failure, or from a stream that starts over, finds its
+requests there; what is new is applied whatever the number of the micro-batch.
 """
 
 from __future__ import annotations
@@ -17,7 +18,15 @@ from tidemark.sources.state import StateStore
 
 STEP_TABLE = "step"
 VERSION_TABLE = "version"
-_BATCH_NOTE = "last_batch"
+REQUEST_LOG = "request"
+
+
+def _new_requests(batch: DataFrame, applied: DataFrame | None) -> DataFrame:
+    """The requests of `batch` that the log does not hold; of the log only the batch's ids move."""
+    if applied is None:
+        return batch
+    known = applied.select("request_id").join(batch.select("request_id"), "request_id", "left_semi")
+    return batch.join(known, "request_id", "left_anti").select(*batch.columns)
 
 
 def stream_version_changes(
@@ -30,24 +39,20 @@ def stream_version_changes(
     """Start applying a stream of (request_id, ts, key, to_version) to the store.
 
     `store` must hold `step` and `version`. Steps run are written below
-    `executed_path` per micro-batch. Requests are ordered inside a micro-batch;
-    one that arrives after later ones were applied counts from then on.
+    `executed_path` per run of the store. Requests are ordered inside a micro-batch;
+    one that arrives after later ones were applied counts from then on. A request is
+    known by its `request_id`: one without an id is applied each time it comes.
     """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if store.pointer()["notes"].get(_BATCH_NOTE, -1) >= batch_id:
+    def apply(batch: DataFrame, _: int) -> None:
+        fresh = store.write_log(REQUEST_LOG, _new_requests(batch, store.read_log(REQUEST_LOG)))
+        if fresh.isEmpty():
             return
         steps, versions = store.read(STEP_TABLE), store.read(VERSION_TABLE)
-        plan = plan_replay(steps, versions, batch)
-        # Written before the switch under the batch's own name, so a repeat overwrites it.
-        executed_steps(plan).write.mode("overwrite").parquet(f"{executed_path}/batch={batch_id}")
-        store.commit(
-            {
-                STEP_TABLE: final_steps(plan),
-                VERSION_TABLE: final_versions(versions, batch),
-            },
-            notes={_BATCH_NOTE: batch_id},
-        )
+        plan = plan_replay(steps, versions, fresh)
+        # Written before the switch under the run's own number, so a repeat overwrites it.
+        executed_steps(plan).write.mode("overwrite").parquet(f"{executed_path}/batch={store.next_run()}")
+        store.commit({STEP_TABLE: final_steps(plan), VERSION_TABLE: final_versions(versions, fresh)})
 
     return (
         requests.writeStream.foreachBatch(apply)
