@@ -4,6 +4,7 @@ from decimal import Decimal as D
 
 import pytest
 from conftest import rows
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from scenario import KEYED, Simulation, scenario_steps, versions_frame
 
@@ -34,6 +35,12 @@ def test_scenario_change_by_change(spark):
     assert all(done == (v == 10000) if up else done == (v != 10000) for up, v, done in flags)
 
 
+def test_two_targets_of_a_key_are_refused(spark):
+    targets = _targets(spark, 20001).union(_targets(spark, 10001))
+    with pytest.raises(PySparkException, match="more than one target"):
+        C.change_requests(versions_frame(spark, ("dbo", "test_app", 1)), targets).collect()
+
+
 def test_direction(spark):
     given = spark.createDataFrame(
         [(D(1), D(2)), (D(2), D(1)), (D(2), D(2)), (None, D(1)), (D(1), None)], "from_version decimal(38,0), to_version decimal(38,0)"

@@ -92,6 +92,14 @@ def test_get_version_defaults(spark):
     assert rows(V.get_version(known, keys)) == [("dbo", "app", Decimal(5)), ("dbo", "new", Decimal(0))]
 
 
+def test_get_version_refuses_two_rows_of_a_key(spark):
+    keys = spark.createDataFrame([("dbo", "app")], "schema_name string, application_name string")
+    with pytest.raises(PySparkException, match="more than one version"):
+        V.get_version(_versions(spark, ("dbo", "app", 5), ("dbo", "app", 6)), keys).collect()
+    with pytest.raises(PySparkException, match="more than one version"):
+        V.get_version(_versions(spark, ("dbo", "app", 5), ("DBO", "app", 5)), keys, case_sensitive=False).collect()
+
+
 def test_names_can_ignore_case_and_trailing_blanks(spark):
     known = _versions(spark, ("dbo", "App", 5))
     keys = spark.createDataFrame([("DBO ", "app")], "schema_name string, application_name string")

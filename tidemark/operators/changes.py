@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidemark.functions.names import fold_names, unfold_names
 from tidemark.operators.lookups import lookup
 from tidemark.operators.ordered import row_numbers
-from tidemark.operators.versions import get_version, set_version
+from tidemark.operators.versions import get_version, one_per_key, set_version
 from tidemark.schemas import KEY
 from tidemark.sources.scratch import new_path
 
@@ -21,8 +21,12 @@ FLAGS = ["is_upgrade_direction", "is_downgrade_direction"]
 
 
 def change_requests(versions: DataFrame, targets: DataFrame, case_sensitive: bool = True) -> DataFrame:
-    """(key, from_version, to_version); a key without a version starts at 0."""
-    current = get_version(versions, targets, case_sensitive=case_sensitive)
+    """(key, from_version, to_version); a key without a version starts at 0.
+
+    Two targets of one key fail the job: each would select the key's steps again.
+    """
+    single = one_per_key(fold_names(targets, KEY, case_sensitive), "to_version", "target")
+    current = get_version(versions, unfold_names(single, KEY, case_sensitive), case_sensitive=case_sensitive)
     return current.withColumnRenamed("version", "from_version")
 
 

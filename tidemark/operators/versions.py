@@ -36,12 +36,24 @@ def parse_version_checked(
     )
 
 
+def one_per_key(df: DataFrame, value: str, what: str) -> DataFrame:
+    """`df` as it is if no key has two rows; `value` of a key that has more fails the job."""
+    rest = [c for c in df.columns if c not in KEY]
+    single = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in rest])
+    refused = F.raise_error(F.lit(f"more than one {what} given for one key"))
+    checked = F.when(F.col("_rows") > 1, refused).otherwise(F.col(value)).cast(df.schema[value].dataType)
+    return single.withColumn(value, checked).select(*df.columns)
+
+
 def get_version(
     versions: DataFrame, keys: DataFrame, default: int = 0, case_sensitive: bool = True
 ) -> DataFrame:
-    """Current version of each requested key; a key never set reads as `default`."""
+    """Current version of each requested key; a key never set reads as `default`.
+
+    Two rows of one requested key in `versions` fail the job.
+    """
     wanted = fold_names(keys, KEY, case_sensitive)
-    known = fold_names(versions.select(*KEY, "version"), KEY, case_sensitive)
+    known = one_per_key(fold_names(versions.select(*KEY, "version"), KEY, case_sensitive), "version", "version")
     joined = wanted.drop("version").join(known, KEY, "left")
     filled = joined.withColumn("version", F.coalesce("version", F.lit(default).cast(VERSION_TYPE)))
     return unfold_names(filled, KEY, case_sensitive)
