@@ -1,5 +1,8 @@
 import zlib
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from tidemark.llm.langid import identify_languages, train_languages
 from tidemark.llm.queries import LLM_QUERIES
 from tidemark.llm.toxicity import score_toxicity, train, without_toxic
@@ -41,6 +44,29 @@ def test_toxicity_held_out(spark, folder):
     assert sum(g.predicted for g in toxic) >= 0.9 * len(toxic)
 
 
+def test_few_toxic_labels(spark, folder):
+    """A dozen toxic labels still teach, and no text is lost for want of evidence."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = {g.doc_id: g.predicted for g in LLM_QUERIES["op8_toxicity"](spark, folder).collect()}
+    assert len(got) == docs.count()
+    toxic = [got[i] for i, y in labels.items() if y == 1]
+    clean = [got[i] for i, y in labels.items() if y == 0]
+    assert sum(toxic) >= 0.5 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+    assert sum(got.values()) < 0.25 * len(got)
+    kept = corpus_pipeline.toxicity(spark, docs, folder)
+    assert 0.75 * len(got) < kept.count() < len(got)
+
+
+def test_texts_without_known_terms_stay(spark):
+    """Words of one text only are no terms: nothing is known then, and nothing goes."""
+    docs = spark.createDataFrame([(i, f"only{i} word{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(60)], "doc_id long, toxic int")
+    machine = train(docs.withColumn("text", F.regexp_replace("text", "[a-z]+", "")), labels)
+    assert without_toxic(docs, machine).count() == 60
+    assert {round(r.score, 6) for r in score_toxicity(docs, machine).collect()} == {round(1 / 6, 6)}
+
+
 def test_pairs_count(spark):
     """Neither word alone is toxic, the pair is: no sum of single weights can tell."""
     cases = [("idiot alone", 0), ("group alone", 0), ("idiot group", 1), ("nothing here", 0)]

@@ -8,8 +8,9 @@ insult next to a mention of a group counts even where neither term does alone.
 Fitting uses a bounded sample of labelled rows (`sample_rows`, dealt by a hash of
 the id): Spark counts in how many toxic and clean texts of the sample each term
 occurs, the `terms` best separating ones become features, and the few resulting
-numbers per text are fitted on the driver. Scoring reads every whole text inside
-the tasks.
+numbers per text are fitted on the driver. A feature counts the less the more its
+separation could be chance; none is cut off for the size of the sample. Scoring
+reads every whole text inside the tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +29,27 @@ from tidemark.sources.scratch import materialize
 
 SAMPLE_ROWS = 8_000
 TERMS = 4096
+FEATURES = 1024
 FACTORS = 8
 # Lengths of word heads that are terms too, in bytes.
 STEM_BYTES = (4, 5)
-# A term must separate the classes by this much, in texts: chance alone reaches less.
-LEAST_GAIN = 6.0
+# What one text alone has, whatever the number of labels, tells nothing of others.
+LEAST_TEXTS = 2
+# Chance alone separates the classes by about so many texts; features near it count little.
+CHANCE = 6.0
 
 
 @dataclass
 class Machine:
-    """Sorted term hashes with a weight and a vector each, and the common weight."""
+    """Sorted term hashes with a scale, a weight and a vector each, the common weight,
+    and the raw score of a text without any of the terms."""
 
     terms: np.ndarray
+    scale: np.ndarray
     weights: np.ndarray
     factors: np.ndarray
     base: float
+    none: float
 
 
 def _term_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,33 +125,59 @@ def _feature_rows(terms: np.ndarray):
     return run
 
 
-def _fit(rows: list, terms: np.ndarray, rounds: int, seed: int) -> Machine:
-    """Logistic loss, whole-sample steps of Adam, a light pull towards zero."""
-    labels = np.array([r.toxic for r in rows], dtype=np.float64)
-    text = np.repeat(np.arange(len(rows)), [len(r.terms) for r in rows])
-    term = np.array([t for r in rows for t in r.terms], dtype=np.int64)
-    values = _values(np.array([t for r in rows for t in r.times], dtype=np.float64))
+def _strength(labels: np.ndarray, text: np.ndarray, term: np.ndarray, wide: int) -> np.ndarray:
+    """By how many texts of the smaller class each term separates the classes."""
+    n1, n0 = labels.sum(), (1 - labels).sum()
+    p = np.bincount(term, weights=labels[text], minlength=wide) / max(1.0, n1)
+    q = np.bincount(term, weights=1 - labels[text], minlength=wide) / max(1.0, n0)
+    return min(n0, n1) * (p - q) ** 2 / np.maximum(p + q, 1e-9)
+
+
+def _fit(
+    labels: np.ndarray, text: np.ndarray, term: np.ndarray, times: np.ndarray, terms: np.ndarray, share: float, rounds: int, seed: int
+) -> Machine:
+    """Logistic loss, whole-sample steps of Adam, a light pull towards zero.
+
+    `share` is the part of toxic ones among all labels. A text without known terms
+    scores by it, or by the fitted common weight where that is lower.
+    """
+    share = min(max(share, 1e-4), 1 - 1e-4)
+    prior = float(np.log(share / (1 - share)))
+    if not 0 < labels.sum() < len(labels) or not len(term):
+        none = np.zeros(0)
+        return Machine(np.zeros(0, np.uint64), none, none, np.zeros((0, FACTORS)), prior, prior)
+    strength = _strength(labels, text, term, len(terms))
+    best = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
+    place = np.full(len(terms), -1)
+    place[best] = np.arange(len(best))
+    known = place[term] >= 0
+    text, term, times = text[known], place[term[known]], times[known]
+    terms, strength = terms[best], strength[best]
+    scale = (strength / (strength + CHANCE)) ** 2
+    values = _values(times) * scale[term]
     rng = np.random.default_rng(seed)
-    share = labels.mean() if len(labels) else 0.0
-    low, high = 1e-4, 1 - 1e-4
-    share = min(max(share, low), high)
-    model = Machine(terms, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)), float(np.log(share / (1 - share))))
-    if not 0 < labels.sum() < len(labels):
-        return Machine(terms, np.zeros(len(terms)), np.zeros((len(terms), FACTORS)), model.base)
+    model = Machine(terms, scale, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)), 0.0, prior)
     # Both classes weigh the same in the loss, or the rare one would be under-scored.
     class_weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
-    model.base = 0.0
+    # Rows come text by text; sums per term go over them in the order of terms.
+    by_term = np.argsort(term, kind="stable")
+    text_starts = np.flatnonzero(np.diff(text, prepend=-1))
+    term_starts = np.flatnonzero(np.diff(term[by_term], prepend=-1))
+    some_texts, some_terms = text[text_starts], term[by_term][term_starts]
     moments = [np.zeros(len(terms) * (FACTORS + 1) + 1) for _ in range(2)]
     for step in range(1, rounds + 1):
-        scores = _raw_scores(model, text, term, values, len(rows))
-        slope = (1 / (1 + np.exp(-np.clip(scores, -30, 30))) - labels) * class_weight
         vectors = model.factors[term] * values[:, None]
-        sums = np.zeros((len(rows), FACTORS))
-        np.add.at(sums, text, vectors)
+        sums, squares = np.zeros((len(labels), FACTORS)), np.zeros((len(labels), FACTORS))
+        sums[some_texts] = np.add.reduceat(vectors, text_starts)
+        squares[some_texts] = np.add.reduceat(vectors**2, text_starts)
+        scores = model.base + 0.5 * (sums**2 - squares).sum(axis=1)
+        scores[some_texts] += np.add.reduceat(model.weights[term] * values, text_starts)
+        slope = (1 / (1 + np.exp(-np.clip(scores, -30, 30))) - labels) * class_weight
+        part = slope[text] * values
         to_weights = np.zeros(len(terms))
-        np.add.at(to_weights, term, slope[text] * values)
+        to_weights[some_terms] = np.add.reduceat(part[by_term], term_starts)
         to_factors = np.zeros_like(model.factors)
-        np.add.at(to_factors, term, (slope[text] * values)[:, None] * (sums[text] - vectors))
+        to_factors[some_terms] = np.add.reduceat((part[:, None] * (sums[text] - vectors))[by_term], term_starts)
         flat = np.concatenate(([slope.sum()], to_weights + 1e-4 * model.weights, (to_factors + 1e-3 * model.factors).ravel()))
         moments[0] += 0.1 * (flat - moments[0])
         moments[1] += 0.01 * (flat**2 - moments[1])
@@ -151,6 +185,7 @@ def _fit(rows: list, terms: np.ndarray, rounds: int, seed: int) -> Machine:
         model.base -= float(move[0])
         model.weights -= move[1 : len(terms) + 1]
         model.factors -= move[len(terms) + 1 :].reshape(model.factors.shape)
+    model.none = min(model.base, prior)
     return model
 
 
@@ -166,8 +201,8 @@ def train(
 
     About `sample_rows` labelled rows at most are used, dealt by a hash of the id;
     that bounds the broadcast and what the driver fits. Labels other than 0 and 1 and
-    rows without text are left out. Without any row of one of the classes the score
-    is the same for every text.
+    rows without text are left out. Without any row of one of the classes, or any term
+    in two texts, the score is the part of toxic labels for every text.
     """
     usable = labels.filter("toxic in (0, 1) and doc_id is not null").select(
         "doc_id", F.col("toxic").cast("long").alias("toxic")
@@ -188,11 +223,30 @@ def train(
     q = F.col("clean") / F.lit(float(max(1.0, n.get(0, 0))))
     # Squared difference over its variance: frequent, one-sided terms come first.
     gain = (p - q) * (p - q) / (p + q)
-    least = LEAST_GAIN / max(1.0, min(n.get(0, 0), n.get(1, 0)))
-    chosen = counts.filter(gain >= least).orderBy(gain.desc(), "term").select("term").limit(terms).collect()
+    often = counts.filter(F.col("toxic") + F.col("clean") >= LEAST_TEXTS)
+    chosen = often.orderBy(gain.desc(), "term").select("term").limit(terms).collect()
     hashes = np.sort(np.array([r.term for r in chosen], dtype=np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_feature_rows(hashes), "toxic long, terms array<long>, times array<long>").collect()
-    return _fit(rows, hashes, rounds, seed)
+    rows = sample.mapInArrow(_feature_rows(hashes), "toxic long, terms array<long>, times array<long>").toArrow()
+    every = {r["toxic"]: r["count"] for r in known}
+    sizes = pc.list_value_length(rows.column("terms")).to_numpy()
+    return _fit(
+        rows.column("toxic").to_numpy().astype(np.float64),
+        np.repeat(np.arange(len(sizes)), sizes),
+        pc.list_flatten(rows.column("terms")).to_numpy(),
+        pc.list_flatten(rows.column("times")).to_numpy(),
+        hashes,
+        every.get(1, 0) / max(1, sum(every.values())),
+        rounds,
+        seed,
+    )
+
+
+def _scores_of(machine: Machine, texts: list[bytes | None]) -> np.ndarray:
+    """Raw score of every text."""
+    text, term, times = _pairs_of(*_term_hashes(texts), machine.terms)
+    raw = _raw_scores(machine, text, term, _values(times) * machine.scale[term], len(texts))
+    raw[np.bincount(text, minlength=len(texts)) == 0] = machine.none
+    return raw
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -205,8 +259,7 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in slices(batch, "text"):
-                text, term, times = _pairs_of(*_term_hashes(texts), machine.terms)
-                raw = _raw_scores(machine, text, term, _values(times), len(texts))
+                raw = _scores_of(machine, texts)
                 score = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
@@ -224,8 +277,6 @@ def without_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in slices(batch, "text"):
-                text, term, times = _pairs_of(*_term_hashes(texts), machine.terms)
-                raw = _raw_scores(machine, text, term, _values(times), len(texts))
-                yield rows.filter(pa.array(raw < 0))
+                yield rows.filter(pa.array(_scores_of(machine, texts) < 0))
 
     return docs.mapInArrow(run, docs.schema)
