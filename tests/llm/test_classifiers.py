@@ -78,6 +78,17 @@ def test_pairs_count(spark):
     assert got == {i: y for i, _, y in rows}
 
 
+def test_pairs_of_words_equally_frequent_in_both_classes(spark):
+    """Every word is as frequent in toxic as in clean texts; only pairs differ."""
+    cases = [("those liars", 1), ("nice people", 1), ("those people", 0), ("nice liars", 0)]
+    rows = [(i, f"{cases[i % 4][0]} day{i % 5} place{i % 3}", cases[i % 4][1]) for i in range(480)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    machine = train(docs, labels)
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs, machine).collect()}
+    assert got == {i: y for i, _, y in rows}
+
+
 def test_toxicity_of_odd_texts(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 0, "x"), (9, 1, "y"), (3, None, "z"), (None, 1, "z"), (2, 5, "z")], "doc_id long, toxic int, text string")
     machine = train(odd_documents, labels)

@@ -7,10 +7,12 @@ insult next to a mention of a group counts even where neither term does alone.
 
 Fitting uses a bounded sample of labelled rows (`sample_rows`, dealt by a hash of
 the id): Spark counts in how many toxic and clean texts of the sample each term
-occurs, the `terms` best separating ones become features, and the few resulting
-numbers per text are fitted on the driver. A feature counts the less the more its
-separation could be chance; none is cut off for the size of the sample. Scoring
-reads every whole text inside the tasks.
+occurs. Half of the `terms` candidates are the best separating ones, the other half
+the most frequent ones, whatever they separate. The driver gets which candidates each
+text has, and from them how well each pair of candidates separates the classes beyond
+its single terms; the terms that are strongest alone or in a pair become features and
+are fitted. A feature counts the less the more its separation could be chance; none
+is cut off for the size of the sample. Scoring reads every whole text inside the tasks.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ STEM_BYTES = (4, 5)
 LEAST_TEXTS = 2
 # Chance alone separates the classes by about so many texts; features near it count little.
 CHANCE = 6.0
+# Candidates paired with all others at a time, which bounds the driver's tables.
+PAIR_ROWS = 512
 
 
 @dataclass
@@ -126,11 +130,29 @@ def _feature_rows(terms: np.ndarray):
 
 
 def _strength(labels: np.ndarray, text: np.ndarray, term: np.ndarray, wide: int) -> np.ndarray:
-    """By how many texts of the smaller class each term separates the classes."""
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    p = np.bincount(term, weights=labels[text], minlength=wide) / max(1.0, n1)
-    q = np.bincount(term, weights=1 - labels[text], minlength=wide) / max(1.0, n0)
-    return min(n0, n1) * (p - q) ** 2 / np.maximum(p + q, 1e-9)
+    """By how many texts of the smaller class each term separates them, alone or in its best pair."""
+    n1, n0 = max(1.0, labels.sum()), max(1.0, (1 - labels).sum())
+    p = np.bincount(term, weights=labels[text], minlength=wide) / n1
+    q = np.bincount(term, weights=1 - labels[text], minlength=wide) / n0
+    single = (p - q) ** 2 / np.maximum(p + q, 1e-9)
+    has = np.zeros((len(labels), wide), dtype=np.float32)
+    has[text, term] = 1.0
+    toxic, clean = has[labels > 0], has[labels == 0]
+    pair = np.zeros(wide)
+    for at in range(0, wide, PAIR_ROWS):
+        these = np.arange(at, min(at + PAIR_ROWS, wide))
+        p = (toxic[:, these].T @ toxic) / np.float32(n1)
+        q = (clean[:, these].T @ clean) / np.float32(n0)
+        gain = (p - q) ** 2 / np.maximum(p + q, np.float32(1e-9))
+        # Only what the pair tells beyond each of its terms.
+        gain -= np.maximum(single[these, None], single[None, :]).astype(np.float32)
+        gain[np.arange(len(these)), these] = 0
+        pair[these] = np.maximum(gain.max(axis=1), 0)
+    least = min(n0, n1)
+    single, pair = least * single, least * pair
+    # The best of so many pairs reaches about `noise` by chance.
+    noise = 2 * np.log(max(2, wide))
+    return np.maximum(single, pair**2 / (pair + noise))
 
 
 def _fit(
@@ -223,8 +245,10 @@ def train(
     q = F.col("clean") / F.lit(float(max(1.0, n.get(0, 0))))
     # Squared difference over its variance: frequent, one-sided terms come first.
     gain = (p - q) * (p - q) / (p + q)
-    often = counts.filter(F.col("toxic") + F.col("clean") >= LEAST_TEXTS)
-    chosen = often.orderBy(gain.desc(), "term").select("term").limit(terms).collect()
+    often = materialize(counts.filter(F.col("toxic") + F.col("clean") >= LEAST_TEXTS), "terms")
+    separating = often.orderBy(gain.desc(), "term").select("term").limit(terms // 2)
+    frequent = often.orderBy((p + q).desc(), "term").select("term").limit(terms - terms // 2)
+    chosen = separating.union(frequent).distinct().collect()
     hashes = np.sort(np.array([r.term for r in chosen], dtype=np.int64).view(np.uint64))
     rows = sample.mapInArrow(_feature_rows(hashes), "toxic long, terms array<long>, times array<long>").toArrow()
     every = {r["toxic"]: r["count"] for r in known}
