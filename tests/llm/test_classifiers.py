@@ -3,7 +3,7 @@ import zlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm.langid import identify_languages, train_languages
+from tidemark.llm.langid import LEFT_OUT, identify_languages, train_languages
 from tidemark.llm.queries import LLM_QUERIES
 from tidemark.llm.toxicity import score_toxicity, train, without_toxic
 
@@ -35,6 +35,25 @@ def test_languages_of_odd_texts(spark, odd_documents, no_documents):
     assert identify_languages(no_documents, model).count() == 0
 
 
+def test_languages_with_few_rows(spark):
+    """One or two labelled rows, or none with a letter: no language swallows the others or vanishes."""
+    english, german = "the cat sat on the mat and looked at the dog", "die katze sass auf der matte und sah den hund"
+    rows = [(english, "en"), (german, "de")] * 60 + [("12 34 !?", "aa"), ("zqx", "bb"), ("kot pije mleko", "pl"), ("pies je chleb", "pl")]
+    texts = {"the dog sat": "en", "der hund sass": "de", "kot je chleb": "pl", "zqx": "bb"}
+    docs = spark.createDataFrame(list(enumerate([*texts, "漢字"])), "doc_id long, text string")
+    for at in range(0, 60, 2):  # ids decide which rows could be left out
+        labelled = spark.createDataFrame([(i + at * 1000, t, n) for i, (t, n) in enumerate(rows)], "doc_id long, text string, lang string")
+        if at == 0 or labelled.filter(f"lang = 'bb' and pmod(xxhash64(doc_id, text, 6), {LEFT_OUT}) = 0").count():
+            model = train_languages(labelled)
+            got = {r.doc_id: r for r in identify_languages(docs, model).collect()}
+            assert model.languages == ["bb", "de", "en", "pl"]
+            assert [got[i].lang_pred for i in range(4)] == list(texts.values()) and got[4].rejected
+            if at:
+                break
+    few = train_languages(labelled, grams_per_language=5)
+    assert few.languages == ["bb", "de", "en", "pl"]
+
+
 def test_toxicity_held_out(spark, folder):
     folder = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}

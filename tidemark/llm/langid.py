@@ -12,6 +12,8 @@ language's own texts is marked as rejected.
 N-grams are counted by Spark over labelled rows; `rows_per_language` bounds how
 many rows a language gives (dealt by a hash of the id) and `grams_per_language` how
 many n-grams it keeps, most frequent first, which bounds the model that is sent out.
+Every language with a labelled letter keeps some of both, and lends rows to the
+calibration only if it has plenty.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import mix, slices, worker_cache
@@ -32,6 +34,8 @@ ROWS_PER_LANGUAGE = 5_000
 GRAMS_PER_LANGUAGE = 500_000
 # One row in so many is left out of the counts, to calibrate on.
 LEFT_OUT = 10
+# Languages with fewer labelled rows than this have all of them counted.
+PLENTY = 5 * LEFT_OUT
 # Text bytes worked on at a time; each becomes some dozen bytes of arrays.
 PART = 1 << 19
 
@@ -166,7 +170,6 @@ def _build(counts: dict[str, np.ndarray], languages: list[str]) -> LanguageModel
     orders: list[Order] = []
     weights = counts["n"].astype(np.float64)
     kept = np.arange(len(language))
-    alphabet = np.zeros(wide)
     for n in range(ORDER, 0, -1):
         grams, contexts = counts[f"g{n}"][kept], counts[f"c{n}"][kept]
         # Distinct n-grams of a language: raw counts at the top, else how many characters come before.
@@ -183,8 +186,10 @@ def _build(counts: dict[str, np.ndarray], languages: list[str]) -> LanguageModel
         places, totals = _table(contexts, language[kept], amount, wide)
         _, passed = _table(contexts, language[kept], np.minimum(mine, amount), wide)
         orders.append(Order(keys, discounted, places, totals, passed))
-        alphabet = np.bincount(language[kept], minlength=wide)
-    return LanguageModel(languages, orders[::-1], 1.0 / (alphabet + 1.0), 1.0, np.full(wide, np.inf))
+    # One alphabet for all, or an unknown character would be cheap where few are known.
+    alphabet = len(orders[-1].grams) + 1.0
+    # Without calibration, a text must fit better than characters drawn blindly.
+    return LanguageModel(languages, orders[::-1], np.full(wide, 1.0 / alphabet), 1.0, np.full(wide, np.log(alphabet)))
 
 
 def _rows_of(table: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -244,10 +249,11 @@ def _calibrated(model: LanguageModel, left_out: DataFrame) -> LanguageModel:
         _entropy_rows(model), "lang string, size long, entropy array<double>"
     ).filter("size > 0").toArrow().to_pydict()
     number = {name: i for i, name in enumerate(model.languages)}
-    right = np.array([number[x] for x in rows["lang"]], dtype=np.int64)
+    known = [i for i, x in enumerate(rows["lang"]) if x in number]
+    right = np.array([number[rows["lang"][i]] for i in known], dtype=np.int64)
     if not len(right):
         return model
-    entropy, sizes = np.array(rows["entropy"]), np.array(rows["size"])
+    entropy, sizes = np.array(rows["entropy"])[known], np.array(rows["size"])[known]
     gaps = np.sqrt(sizes)[:, None] * (entropy - entropy.min(axis=1, keepdims=True))
     losses = []
     for sharpness in 2.0 ** np.arange(-4, 6):
@@ -261,23 +267,36 @@ def _calibrated(model: LanguageModel, left_out: DataFrame) -> LanguageModel:
     return model
 
 
+def _no_languages() -> LanguageModel:
+    return LanguageModel([], [], np.zeros(0), 1.0, np.zeros(0))
+
+
 def train_languages(
     labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, grams_per_language: int = GRAMS_PER_LANGUAGE, seed: int = 5
 ) -> LanguageModel:
-    """A model of `labelled(doc_id, text, lang)`; rows without text or lang are left out.
+    """A model of `labelled(doc_id, text, lang)`; rows without a letter or lang are left out.
 
     Without any usable row the model knows no language, and every text is unknown.
     """
-    usable = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row per language
-    languages = sorted(sizes)
-    if not languages:
-        return LanguageModel([], [], np.zeros(0), 1.0, np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / sizes[k]))])
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     spread = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    sample = usable.withColumn("_spread", spread).filter(F.col("_spread") < F.element_at(share, F.col("lang")))
+    usable = usable.withColumn("_spread", spread)
+    sizes = {  # a row per language
+        r["lang"]: r for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("_spread").alias("first")).collect()
+    }
+    if not sizes:
+        return _no_languages()
+
+    def of_language(values: dict) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
+
+    share = of_language({k: min(1.0, rows_per_language / r["rows"]) for k, r in sizes.items()})
+    # The row with the least spread is always counted: no language loses all of its rows.
+    first = F.col("_spread") == of_language({k: r["first"] for k, r in sizes.items()})
+    sample = usable.filter((F.col("_spread") < share) | first)
     turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.lit(LEFT_OUT))
-    counted = sample.filter(turn != 0).select("text", "lang")
+    left_out = (turn == 0) & of_language({k: r["rows"] >= PLENTY for k, r in sizes.items()}) & ~first
+    counted = sample.filter(~left_out).select("text", "lang")
     kind = "lang string, n long, " + ", ".join(f"{c} long" for c in (*_GRAMS, *_CONTEXTS))
     top = _GRAMS[-1]
     rest = [c for c in (*_GRAMS, *_CONTEXTS) if c != top]
@@ -285,11 +304,21 @@ def train_languages(
         F.sum("n").alias("n"), *[F.first(c).alias(c) for c in rest]
     )
     grams = materialize(grams, "grams")
-    ranked = grams.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("many"))
+    dealt = F.xxhash64(top, F.lit(seed))
+    ranked = grams.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("many"), F.min(dealt).alias("first"))
     # The least count a language keeps, from how many n-grams have each count.
     upto = ranked.withColumn("upto", F.sum("many").over(W.partitionBy("lang").orderBy(F.col("n").desc())))
-    least = upto.filter(F.col("upto") <= grams_per_language).groupBy("lang").agg(F.min("n").alias("least"))
-    kept = grams.join(least, "lang").filter("n >= least").drop("least").toArrow()
+    least = upto.groupBy("lang").agg(
+        F.min(F.when(F.col("upto") <= grams_per_language, F.col("n"))).alias("least"),
+        F.max(F.struct("n", "many", "first")).alias("top"),
+    )
+    # Where even the most frequent ones are too many, a part of them is dealt by hash.
+    part = F.pmod(dealt, F.lit(1_000_000)) < F.lit(1_000_000 * grams_per_language) / F.col("top.many")
+    dealt_in = F.col("least").isNull() & (F.col("n") == F.col("top.n")) & (part | (dealt == F.col("top.first")))
+    kept = grams.join(least, "lang").filter((F.col("n") >= F.col("least")) | dealt_in).drop("least", "top").toArrow()
+    languages = sorted(set(kept.column("lang").to_pylist()))
+    if not languages:
+        return _no_languages()
     number = {name: i for i, name in enumerate(languages)}
     counts = {
         c: np.ascontiguousarray(kept.column(c).to_numpy()).view(np.uint64) for c in (*_GRAMS, *_CONTEXTS)
@@ -298,7 +327,7 @@ def train_languages(
         "lang": np.array([number[x] for x in kept.column("lang").to_pylist()], dtype=np.int64),
     }
     model = _build(counts, languages)
-    return _calibrated(model, sample.filter(turn == 0))
+    return _calibrated(model, sample.filter(left_out))
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
