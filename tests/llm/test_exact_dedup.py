@@ -57,3 +57,20 @@ def test_cuts_follow_the_content():
 
 def test_nothing(no_documents):
     assert exact_groups(no_documents).count() == 0
+
+
+def test_another_split_of_the_input(spark, tmp_path):
+    """Rows are told apart by one numbering, however a later scan cuts the files."""
+    rows = [(i, f"text number {i % 150}") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    setting = "spark.sql.files.minPartitionNum"
+    for size in (1, 16):
+        try:
+            spark.conf.set(setting, "1")
+            kept = without_copies(docs, size)
+            spark.conf.set(setting, "8")
+            got = [r.text for r in kept.collect()]
+        finally:
+            spark.conf.unset(setting)
+        assert sorted(got) == sorted({t for _, t in rows})

@@ -128,18 +128,19 @@ def _occurrence_rows(size: int):
     return run
 
 
-def _verified(numbered: DataFrame, recipes: DataFrame, size: int) -> DataFrame:
-    """Recipes in which digests with several contents carry the ordinal of theirs."""
-    texts = numbered.select("text")
-    distinct = texts.mapInArrow(_chunk_rows(size), "digest binary, chunk binary")
+def _several(numbered: DataFrame, size: int) -> DataFrame:
+    """(digest, chunk, ordinal) of all but the first content of digests with several."""
+    distinct = numbered.select("text").mapInArrow(_chunk_rows(size), "digest binary, chunk binary")
     same = W.partitionBy("digest").orderBy("chunk")
     # Sorted by digest and bytes, neighbours tell whether a digest has one content.
     ordinal = F.dense_rank().over(same)
-    several = materialize(
+    return materialize(
         distinct.withColumn("ordinal", ordinal).filter("ordinal > 1").select("digest", "chunk", "ordinal").distinct(), "ordinals"
     )
-    if several.isEmpty():
-        return recipes
+
+
+def _marked(numbered: DataFrame, recipes: DataFrame, several: DataFrame, size: int) -> DataFrame:
+    """Recipes in which digests with several contents carry the ordinal of theirs."""
     parts = numbered.select("row", "text").mapInArrow(
         _occurrence_rows(size), "row long, place long, digest binary, chunk binary"
     )
@@ -163,16 +164,25 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     doc_id (rows without one last), then the first read. `row` numbers the rows as
     read. An empty table gives an empty result; other columns are ignored.
     """
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
-    )
+    return _groups(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), digest_bytes, written=False)
+
+
+def _groups(numbered: DataFrame, digest_bytes: int, written: bool) -> DataFrame:
+    """`exact_groups` of rows with a number; `written` tells that each scan finds the same numbers."""
+    numbered = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = _several(numbered, digest_bytes)
+    collide = not several.isEmpty()
+    # Numbers follow the split of a scan; rows read twice by number are written first.
+    if collide and not written:
+        numbered = materialize(numbered, "numbered")
     recipes = materialize(
         numbered.mapInArrow(
             _recipe_rows(digest_bytes), "row long, doc_id long, n_chars long, text_sha256 string, recipe binary"
         ),
         "recipes",
     )
-    recipes = _verified(numbered, recipes, digest_bytes)
+    if collide:
+        recipes = _marked(numbered, recipes, several, digest_bytes)
     rank = F.struct(
         (-F.col("n_chars")).alias("longest"), F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row")
     )
@@ -188,6 +198,7 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
 
 def without_copies(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     """The kept rows of `docs`, with all their columns."""
-    kept = exact_groups(docs, digest_bytes).filter("kept").select(F.col("row").alias("_row"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = _groups(numbered.select(F.col("_row").alias("row"), "doc_id", "text"), digest_bytes, written=True)
+    kept = groups.filter("kept").select(F.col("row").alias("_row"))
     return numbered.join(kept, "_row", "left_semi").drop("_row")
