@@ -1,7 +1,7 @@
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 from scenario import KEYED, scenario_steps, versions_frame
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tidemark.operators import batches as B
 from tidemark.sources.sinks import BatchLedger

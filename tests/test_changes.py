@@ -3,7 +3,7 @@ from decimal import Decimal
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from scenario import KEYED, Simulation, scenario_steps, versions_frame

@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from tidemark.operators import access as A
 from tidemark.operators import integrity as I

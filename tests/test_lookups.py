@@ -3,7 +3,7 @@
 from contextlib import contextmanager
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import fold_names

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import PySparkException
 
 from tidemark.operators import reconcile as R

@@ -5,7 +5,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 from scenario import KEYED, Simulation, scenario_steps, versions_frame
 

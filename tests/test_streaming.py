@@ -1,7 +1,7 @@
 import datetime as dt
 from decimal import Decimal as D
 
-from conftest import rows
+from helpers import rows
 from scenario import scenario_steps, versions_frame
 
 from tidemark.operators.replay import replay_changes, replay_final_state
