@@ -1,3 +1,48 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+AUDIT = """
+WITH words AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 10
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang
+), found AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), places AS (
+  SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), sums AS (
+  SELECT p.lang, p.source, coalesce(sum(f.n), 0)::HUGEINT AS n
+  FROM places p LEFT JOIN found f ON p.lang = f.lang AND p.source = f.source GROUP BY ALL
+), rates AS (
+  SELECT s.lang, s.source, k.term, coalesce(f.n, 0) AS n,
+    (1 + (1000000000::HUGEINT * (coalesce(f.n, 0) + 2)) // (s.n + 2 * z.v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (k.total + 2)) // (z.n + 2 * z.v))::BIGINT AS q
+  FROM sums s JOIN kept k ON s.lang = k.lang JOIN sizes z ON s.lang = z.lang
+  LEFT JOIN found f ON s.lang = f.lang AND s.source = f.source AND k.term = f.term
+), compared AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM rates a JOIN rates b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(c.value, 0)::BIGINT AS value
+  FROM places a JOIN places b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN compared c ON a.lang = c.lang AND a.source = c.source AND b.source = c.item
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM rates WHERE n > 0 AND p > q
+), parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value FROM terms
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op11_source_audit": AUDIT}

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries: name -> (spark, folder) -> DataFrame."""
+"""The operators and the pipeline as queries: name -> (spark, folder) -> DataFrame."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm.chat import format_conversations, read_target, read_turns
+from tidemark.llm.divergence import audit_sources
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.langid import identify_languages, train_languages
 from tidemark.llm.licenses import scan_licenses
@@ -167,6 +168,11 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(read(spark, folder, "documents"))
 
 
+@query
+def op11_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_sources(read(spark, folder, "documents"), least_docs=10, most_terms=10)
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
