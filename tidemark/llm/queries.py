@@ -17,6 +17,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.oracles import ORACLES
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.parity_join import jaccard_links
+from tidemark.llm.sharding import shard_documents
 from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import score_toxicity, train
 from tidemark.llm.url_filters import filter_urls, url_host, url_path
@@ -173,6 +174,22 @@ def op11_source_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_sources(read(spark, folder, "documents"), least_docs=10, most_terms=10)
 
 
+@query
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = read(spark, folder, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.sha2(text.cast("binary"), 256).alias("link"),
+    )
+    sharded = shard_documents(docs, F.col("link"), shards=24)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
