@@ -20,6 +20,7 @@ from tidemark.llm.parity_join import jaccard_links
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import score_toxicity, train
+from tidemark.llm.turn_trie import encode_turns, number_turns, turn_trie, with_shared_heads
 from tidemark.llm.url_filters import filter_urls, url_host, url_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,6 +191,13 @@ def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op13_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = encode_turns(number_turns(read(spark, folder, "conversations")))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return turn_trie(with_shared_heads(turns, F.col("conv_id") - F.col("conv_id") % 5, head, most=8))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
