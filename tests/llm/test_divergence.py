@@ -1,13 +1,12 @@
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
-from itertools import groupby
 
 import pytest
 from compare import difference, duck
 
 from tidemark.llm import divergence
-from tidemark.llm.divergence import GAP, audit_sources, heap_merge, word_frequencies, words_of
+from tidemark.llm.divergence import GAP, Piece, audit_sources, frequencies, heap_merge, word_frequencies, words_of
 from tidemark.llm.queries import LLM_ORACLES, LLM_QUERIES
 
 UPPER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -55,12 +54,10 @@ def audited(df, **options):
 
 
 def test_equals_brute_force_with_many_runs_and_squares(spark, documents, monkeypatch):
-    """Blocks of a few words, pieces of three, squares of four sources, few kept open."""
-    monkeypatch.setattr(divergence, "PIECE", 3)
-    monkeypatch.setattr(divergence, "SIDE", 4)
-    monkeypatch.setattr(divergence, "COUNTS", 2)
-    monkeypatch.setattr(divergence, "OPEN_SQUARES", 2)
-    monkeypatch.setattr(divergence, "ENTRY_BYTES", (1 << 20) // 50)
+    """Blocks of a few words, pieces of three, four sources a row, few sums kept open."""
+    for name, value in {"PIECE": 3, "STRETCH": 5, "SIDE": 4, "COUNTS": 2, "PAIRS": 50, "OPEN_PAIRS": 3}.items():
+        monkeypatch.setattr(divergence, name, value)
+    monkeypatch.setattr(divergence, "WORD_BYTES", (1 << 20) // 50)
     rows = [((d["text"] or "")[:400], d["lang"], d["source"]) for d in documents]
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
     assert audited(df, least_docs=3, most_terms=4, block_mb=1) == brute(rows, 3, 4)
@@ -94,33 +91,39 @@ def test_frequencies_ignore_how_blocks_fall(spark, documents, monkeypatch):
         return {(r["lang"], r["term"]): dict(zip(r["sources"], r["counts"])) for r in found}
 
     whole = lists()
-    monkeypatch.setattr(divergence, "ENTRY_BYTES", 128 * (1 << 20) // 300)
+    monkeypatch.setattr(divergence, "WORD_BYTES", 128 * (1 << 20) // 300)
     assert lists() == whole
 
 
-def test_heap_merge_opens_pieces_in_order():
+def test_heap_merge_keeps_a_key_in_one_list(monkeypatch):
+    monkeypatch.setattr(divergence, "STRETCH", 2)
     runs = [[(1, "acegik"), (2, "bd")], [(1, "abcdxyz")], [(2, "bz")], [(1, "k")]]
     pieces = []
     for number, run in enumerate(runs):
         for shard, letters in run:
             for i in range(0, len(letters), 2):
-                keys = [c.encode() for c in letters[i : i + 2]]
-                ends = list(range(1, len(keys) + 1))
-                pieces.append((shard, keys[0], number, keys, [1] * len(keys), ends, [f"s{number}"], [0] * len(keys), [2] * len(keys)))
+                keys = [bytes([shard]) + c.encode() for c in letters[i : i + 2]]
+                n = len(keys)
+                pieces.append((shard, keys[0], number, keys, [1] * n, range(1, n + 1), [f"s{number}"], [0] * n, [2] * n))
     pieces.sort(key=lambda p: p[:3])
-    out = [(key, docs, dict(found)) for key, docs, found in heap_merge(pieces)]
-    per_shard = [list(g) for _, g in groupby(out, key=lambda x: x[0] < b"zz")]
-    assert sum(n for _, n, _ in out) == sum(len(letters) for run in runs for _, letters in run)
-    first = [x for x in out if x[0] in (b"a", b"c", b"k", b"x")]
-    assert (b"a", 2, {"s0": 2, "s1": 2}) in first and (b"k", 2, {"s0": 2, "s3": 2}) in first
-    assert len(per_shard) == 1 and len(out) == len({(i, k) for i, (k, _, _) in enumerate(out)})
+    lists = list(heap_merge(Piece(*p) for p in pieces))
+    found = [(key, dict(zip(names, counts))) for x in lists for key, names, counts in frequencies(x, 1)]
+    want = defaultdict(dict)
+    for number, run in enumerate(runs):
+        for shard, letters in run:
+            for c in letters:
+                want[bytes([shard]) + c.encode()][f"s{number}"] = 2
+    assert len(lists) > 2
+    assert len(found) == len(want) and dict(found) == want
+    twice = [key for x in lists for key, *_ in frequencies(x, 2)]
+    assert sorted(twice) == sorted(k for k, v in want.items() if len(v) > 1)
 
 
 @pytest.mark.parametrize("step", [1, 2, 3, 7, 64])
 def test_steps_cut_no_word(step, monkeypatch):
     monkeypatch.setattr(divergence, "STEP", step)
     text = "Étude of the WORDS, aé中\U0001f600b--c 12x3 end".encode()
-    found = [w.decode() for part in words_of(text, divergence._lower()) for w in part]
+    found = [w.decode() for part in words_of(text, divergence._table()) for w in part]
     assert found == words(text.decode())
     assert GAP.search(b"a b").start() == 1
 

@@ -18,8 +18,8 @@ the rate of a word it lacks,
                 + sum over shared words of f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)
 
 The first two kinds follow from how often each count occurs in a source; only the
-last, the pair corrections, is streamed from the lists, into square blocks of sums
-that are handed on when too many are open. Rates are whole numbers and all
+last, the pair corrections, is streamed from the lists, into sums that are handed on
+when too many are open. Rates are whole numbers and all
 arithmetic is exact up to 10**14 words in a language.
 """
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -44,10 +45,14 @@ WORD = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 GAP = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 # Bytes of a text cut into words at a time.
 STEP = 1 << 20
-# Estimated bytes of one counted word, and counted words in a piece of a run.
-ENTRY_BYTES, PIECE = 160, 2048
-# Sources of a language are worked on in squares of this side; sums kept open at once.
-SIDE, OPEN_SQUARES = 256, 64
+# Bytes held for a word of a block and for one place where it stands.
+WORD_BYTES, POSTING_BYTES = 200, 8
+# Words in a piece of a run, and words of merged pieces that are added up at a time.
+PIECE, STRETCH = 2048, 1 << 16
+# Sources of a language in one row, when others meet them.
+SIDE = 256
+# Pairs of sources compared at a time, and pairs whose sums are held before they are handed on.
+PAIRS, OPEN_PAIRS = 1 << 20, 1 << 19
 # Counts of a source in one row, when they meet the other sources.
 COUNTS = 4096
 # No valid UTF-8 text holds this byte, so it parts word and language.
@@ -60,11 +65,13 @@ RUNS = (
 LISTS = "lang string, term string, total long, sources array<string>, counts array<long>"
 
 
-def _lower() -> bytes:
-    return bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+def _table() -> bytes:
+    """A-Z to lower case, every byte that parts words to a blank."""
+    blank = [GAP.match(bytes([b])) is not None for b in range(256)]
+    return bytes(b + 32 if 65 <= b <= 90 else 32 if blank[b] else b for b in range(256))
 
 
-def words_of(text: bytes, lower: bytes) -> Iterator[list[bytes]]:
+def words_of(text: bytes, table: bytes) -> Iterator[list[bytes]]:
     """Lists of a text's words, a step of the text at a time; no word is cut."""
     at, end = 0, len(text)
     while at < end:
@@ -72,62 +79,92 @@ def words_of(text: bytes, lower: bytes) -> Iterator[list[bytes]]:
         if stop < end:
             gap = GAP.search(text, stop)
             stop = gap.start() if gap else end
-        yield WORD.findall(text[at:stop].translate(lower))
+        yield text[at:stop].translate(table).split()
         at = stop
 
 
 # ---- runs ----
 
 
+class _Numbers(dict):
+    """Numbers things in the order they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 class Block:
-    """Counts of one block: per language the documents of a word, per source its occurrences."""
+    """Postings of one block: per language the numbers of the words in every text, and who said them."""
 
     def __init__(self) -> None:
-        self.docs: dict[str, Counter] = {}
-        self.counts: dict[tuple[str, str], Counter] = {}
-        self.entries = 0
-
-    def add(self, lang: str, source: str, text: bytes, lower: bytes) -> None:
-        counts = self.counts.setdefault((lang, source), Counter())
-        docs = self.docs.setdefault(lang, Counter())
-        before = len(counts) + len(docs)
-        met: set[bytes] = set()
-        for words in words_of(text, lower):
-            counts.update(words)
-            met.update(words)
-        docs.update(met)
-        self.entries += len(counts) + len(docs) - before
-
-    def run(self, shards: int) -> Iterator[tuple[int, list[tuple[bytes, int, list[tuple[str, int]]]]]]:
-        """(shard, piece) in order; a piece holds (key, docs, [(source, occurrences)]) sorted by key."""
-        lists: dict[bytes, list[tuple[str, int]]] = {}
-        for (lang, source), counts in self.counts.items():
+        self.words: dict[str, _Numbers] = {}
+        self.sources = _Numbers()
+        # Per language: arrays of word numbers, of distinct ones per text, and (source, length) of the former.
+        self.found: dict[str, list[np.ndarray]] = {}
+        self.met: dict[str, list[np.ndarray]] = {}
+        self.said: dict[str, list[tuple[int, int]]] = {}
+        self.held = 0
+
+    def add(self, lang: str, source: str, text: bytes, table: bytes) -> None:
+        numbers = self.words.setdefault(lang, _Numbers())
+        before, met = len(numbers), []
+        for words in words_of(text, table):
+            found = np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))
+            self.found.setdefault(lang, []).append(found)
+            self.said.setdefault(lang, []).append((self.sources[source], len(found)))
+            met.append(np.unique(found))
+            self.held += POSTING_BYTES * (len(found) + len(met[-1]))
+        if met:
+            self.met.setdefault(lang, []).append(met[0] if len(met) == 1 else np.unique(np.concatenate(met)))
+        self.held += WORD_BYTES * (len(numbers) - before)
+
+    def run(self, shards: int, number: int) -> Iterator[pa.RecordBatch]:
+        """The block's pieces as rows of RUNS, sorted by (shard, key); a key is a word and its language."""
+        keys, docs, sizes, sources, counts = [], [], [], [], []
+        width = max(1, len(self.sources))
+        for lang, numbers in self.words.items():
+            if not numbers:
+                continue
             end = PART + lang.encode()
-            for word, n in counts.items():
-                lists.setdefault(word + end, []).append((source, n))
-        dealt: dict[int, list[bytes]] = {}
-        for key in lists:
-            dealt.setdefault(zlib.crc32(key) % shards, []).append(key)
-        for shard in sorted(dealt):
-            keys = sorted(dealt[shard])
-            for i in range(0, len(keys), PIECE):
-                piece = []
-                for key in keys[i : i + PIECE]:
-                    word, lang = key.split(PART)
-                    piece.append((key, self.docs[lang.decode()][word], lists[key]))
-                yield shard, piece
-
-
-def _packed(shard: int, run: int, piece: list) -> tuple:
-    """A piece as the columns of RUNS; each source is named once."""
-    numbers: dict[str, int] = {}
-    sources, counts, ends = [], [], []
-    for _, _, found in piece:
-        for source, n in found:
-            sources.append(numbers.setdefault(source, len(numbers)))
+            keys += [word + end for word in numbers]
+            docs.append(np.bincount(np.concatenate(self.met[lang]), minlength=len(numbers)))
+            who, lengths = (np.array(x, dtype=np.int64) for x in zip(*self.said[lang]))
+            pairs, n = np.unique(
+                np.concatenate(self.found[lang]).astype(np.int64) * width + np.repeat(who, lengths), return_counts=True
+            )
+            sizes.append(np.bincount(pairs // width, minlength=len(numbers)))
+            sources.append(pairs % width)
             counts.append(n)
-        ends.append(len(counts))
-    return shard, piece[0][0], run, [x[0] for x in piece], [x[1] for x in piece], ends, list(numbers), sources, counts
+        if not keys:
+            return
+        docs, sizes, sources, counts = (np.concatenate(x) for x in (docs, sizes, sources, counts))
+        starts = np.cumsum(sizes) - sizes
+        shard = np.fromiter(map(zlib.crc32, keys), dtype=np.int64, count=len(keys)) % shards
+        order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
+        order = order[np.argsort(shard[order], kind="stable")].tolist()
+        shard = shard.tolist()
+        names = list(self.sources)
+        rows, entries, at = [], 0, 0
+        while at < len(order):
+            here = shard[order[at]]
+            stop = at
+            while stop < len(order) and stop - at < PIECE and shard[order[stop]] == here:
+                stop += 1
+            piece = np.array(order[at:stop])
+            reps = sizes[piece]
+            ends = np.cumsum(reps)
+            places = np.arange(ends[-1]) + np.repeat(starts[piece] - (ends - reps), reps)
+            used, local = np.unique(sources[places], return_inverse=True)
+            rows.append(
+                (here, keys[order[at]], number, [keys[i] for i in order[at:stop]], docs[piece], ends,
+                 [names[i] for i in used], local, counts[places])
+            )
+            entries += stop - at
+            at = stop
+            if entries >= 16 * PIECE or at == len(order):
+                yield _record(rows, _RUN_SCHEMA)
+                rows, entries = [], 0
 
 
 def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -151,31 +188,18 @@ _LIST_SCHEMA = pa.schema(
 
 
 def _spilled(docs: DataFrame, shards: int, block_mb: int) -> DataFrame:
-    most = block_mb * (1 << 20) // ENTRY_BYTES
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower, block = _lower(), Block()
+        table, block = _table(), Block()
         number = TaskContext.get().partitionId() << 32
-
-        def spill() -> Iterator[pa.RecordBatch]:
-            rows, entries = [], 0
-            for shard, piece in block.run(shards):
-                rows.append(_packed(shard, number, piece))
-                entries += len(piece)
-                if entries >= 16 * PIECE:
-                    yield _record(rows, _RUN_SCHEMA)
-                    rows, entries = [], 0
-            yield _record(rows, _RUN_SCHEMA)
-
         for batch in batches:
             langs, sources = (batch.column(c).to_pylist() for c in ("lang", "source"))
             texts = batch.column("text").cast(pa.binary())
             for lang, source, text in zip(langs, sources, texts):
-                block.add(lang, source, text.as_py(), lower)
-                if block.entries >= most:
-                    yield from spill()
+                block.add(lang, source, text.as_py(), table)
+                if block.held >= block_mb << 20:
+                    yield from block.run(shards, number)
                     block, number = Block(), number + 1
-        yield from spill()
+        yield from block.run(shards, number)
 
     return docs.mapInArrow(run, RUNS)
 
@@ -183,63 +207,94 @@ def _spilled(docs: DataFrame, shards: int, block_mb: int) -> DataFrame:
 # ---- merging ----
 
 
-def _entries(keys, docs, ends, names, sources, counts) -> Iterator[tuple[bytes, int, list[tuple[str, int]]]]:
-    at = 0
-    for key, n, end in zip(keys, docs, ends):
-        yield key, n, [(names[s], c) for s, c in zip(sources[at:end], counts[at:end])]
-        at = end
+class Piece:
+    """A piece of a run, and how far it has been merged."""
 
+    def __init__(self, shard, first, run, keys, docs, ends, names, sources, counts):
+        self.shard, self.first, self.keys, self.at = shard, first, keys, 0
+        self.docs, self.ends, self.sources, self.counts = (np.asarray(x, dtype=np.int64) for x in (docs, ends, sources, counts))
+        self.names = names
 
-def heap_merge(pieces: Iterable[tuple]) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-    """(key, docs, {source: occurrences}) summed over pieces `(shard, first, run, keys, ...)`.
 
-    Pieces come in the order of (shard, first). One is opened only once the heap
-    has reached its first entry, so the heap holds the pieces that overlap.
+def heap_merge(pieces: Iterable[Piece]) -> Iterator[list[tuple[Piece, int, int]]]:
+    """Stretches of pieces [(piece, from, to)]; every key is in one of the lists alone.
+
+    Pieces come in the order of (shard, first key). The heap holds the open ones by the
+    key they go on with. Before a piece is opened, all keys below its first are taken
+    from the pieces on top; no later piece can hold them.
     """
     heap: list[tuple] = []
-    opened, now, docs, found = 0, None, 0, Counter()
-
-    def advance(least: tuple | None) -> Iterator[tuple]:
-        nonlocal now, docs, found
-        while heap and (least is None or heap[0][:2] < least):
-            shard, key, number, n, lists, rest = heap[0]
-            if key != now:
-                if now is not None:
-                    yield now, docs, found
-                now, docs, found = key, 0, Counter()
-            docs += n
-            for source, count in lists:
-                found[source] += count
-            after = next(rest, None)
-            if after:
-                heapq.heapreplace(heap, (shard, after[0], number, after[1], after[2], rest))
-            else:
-                heapq.heappop(heap)
-
-    for shard, first, _, *columns in pieces:
-        yield from advance((shard, first))
-        rest = _entries(*columns)
-        key, n, lists = next(rest)
-        heapq.heappush(heap, (shard, key, opened, n, lists, rest))
-        opened += 1
-    yield from advance(None)
-    if now is not None:
-        yield now, docs, found
+    ready, words = [], 0
+
+    def advance(shard: int, key: bytes) -> int:
+        taken = 0
+        while heap and heap[0][:2] < (shard, key):
+            *_, number, piece = heapq.heappop(heap)
+            stop = len(piece.keys) if piece.shard < shard else bisect_left(piece.keys, key, piece.at)
+            ready.append((piece, piece.at, stop))
+            taken += stop - piece.at
+            piece.at = stop
+            if stop < len(piece.keys):
+                heapq.heappush(heap, (piece.shard, piece.keys[stop], number, piece))
+        return taken
+
+    for number, piece in enumerate(pieces):
+        words += advance(piece.shard, piece.first)
+        if words >= STRETCH:
+            yield ready
+            ready, words = [], 0
+        heapq.heappush(heap, (piece.shard, piece.first, number, piece))
+    ready += [(piece, piece.at, len(piece.keys)) for *_, piece in heap]
+    if ready:
+        yield ready
+
+
+def frequencies(stretches: list[tuple[Piece, int, int]], least_docs: int) -> list[tuple[bytes, list[str], list[int]]]:
+    """(key, sources, occurrences) of the keys in at least `least_docs` documents."""
+    keys, names = _Numbers(), _Numbers()
+    ids, docs, sizes, sources, counts = [], [], [], [], []
+    for piece, low, high in stretches:
+        ids.append(np.fromiter(map(keys.__getitem__, piece.keys[low:high]), dtype=np.int64, count=high - low))
+        docs.append(piece.docs[low:high])
+        ends = piece.ends[low:high]
+        start = piece.ends[low - 1] if low else 0
+        sizes.append(np.diff(ends, prepend=start))
+        local = np.array([names[n] for n in piece.names], dtype=np.int64)
+        sources.append(local[piece.sources[start : ends[-1]]] if high > low else ids[-1])
+        counts.append(piece.counts[start : ends[-1]] if high > low else ids[-1])
+    ids, docs, sizes, sources, counts = (np.concatenate(x) for x in (ids, docs, sizes, sources, counts))
+    total = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(total, ids, docs)
+    kept = np.repeat(total[ids] >= least_docs, sizes)
+    pairs, places = np.unique(
+        np.repeat(ids, sizes)[kept] * max(1, len(names)) + sources[kept], return_inverse=True
+    )
+    sums = np.zeros(len(pairs), dtype=np.int64)
+    np.add.at(sums, places, counts[kept])
+    word, who = np.divmod(pairs, max(1, len(names)))
+    cuts = np.flatnonzero(np.diff(word)) + 1
+    all_keys, all_names = list(keys), list(names)
+    return [
+        (all_keys[word[a]], [all_names[i] for i in who[a:b]], sums[a:b].tolist())
+        for a, b in zip([0, *cuts], [*cuts, len(word)])
+        if b > a
+    ]
 
 
 def _merged(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.RecordBatch]:
-    pieces = (row for b in batches for i in range(b.num_rows) for row in zip(*(c.to_pylist() for c in b.slice(i, 1))))
-    rows = []
-    for key, docs, found in heap_merge(pieces):
-        if docs >= least_docs:
+    def opened() -> Iterator[Piece]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = [column[i] for column in batch.columns]
+                lists = [x.values.to_numpy(zero_copy_only=False) for x in (row[4], row[5], row[7], row[8])]
+                yield Piece(row[0].as_py(), row[1].as_py(), None, row[3].as_py(), *lists[:2], row[6].as_py(), *lists[2:])
+
+    for stretches in heap_merge(opened()):
+        rows = []
+        for key, names, counts in frequencies(stretches, least_docs):
             word, lang = key.split(PART)
-            rows.append(
-                (lang.decode(), word.decode("utf-8", "replace"), sum(found.values()), list(found), list(found.values()))
-            )
-        if len(rows) == PIECE:
-            yield _record(rows, _LIST_SCHEMA)
-            rows = []
-    yield _record(rows, _LIST_SCHEMA)
+            rows.append((lang.decode(), word.decode("utf-8", "replace"), sum(counts), names, counts))
+        yield _record(rows, _LIST_SCHEMA)
 
 
 def word_frequencies(docs: DataFrame, least_docs: int = 10, block_mb: int = 128) -> DataFrame:
@@ -275,43 +330,55 @@ def _terms(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
-def _square_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pair corrections of lists (lang, places, rates, zero rates), summed in squares of sources."""
-    schema = pa.schema([("lang", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("value", pa.int64())])
-    squares: dict[tuple[str, int, int], np.ndarray] = {}
+_PAIR_SCHEMA = pa.schema([("lang", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("value", pa.int64())])
+
+
+def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair corrections of lists (lang, places, rates, zeros), summed per two sources.
+
+    Lists of one length are compared together, a bounded number of pairs at a time.
+    """
+    held: dict[str, Counter] = {}
 
     def handed_on() -> Iterator[pa.RecordBatch]:
-        for (lang, a, b), sums in squares.items():
-            i, j = np.nonzero(sums)
-            low, high, value = i + a * SIDE, j + b * SIDE, sums[i, j]
-            once = low < high
-            columns = [pa.array([lang] * int(once.sum()), pa.string()), low[once], high[once], value[once]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
-        squares.clear()
+        for lang, sums in held.items():
+            low, high = zip(*sums) if sums else ((), ())
+            columns = [[lang] * len(sums), low, high, list(sums.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIR_SCHEMA)], schema=_PAIR_SCHEMA)
+        held.clear()
+
+    def compared(lang: str, place: np.ndarray, p: np.ndarray, zero: np.ndarray) -> None:
+        i, j = np.triu_indices(place.shape[1], 1)
+        a, b, za, zb = p[:, i], p[:, j], zero[:, i], zero[:, j]
+        fix = _terms(a, b) - _terms(a, zb) - _terms(za, b) + _terms(za, zb)
+        low, high = np.minimum(place[:, i], place[:, j]).ravel(), np.maximum(place[:, i], place[:, j]).ravel()
+        wide = int(high.max()) + 1
+        pairs, at = np.unique(low * wide + high, return_inverse=True)
+        sums = np.zeros(len(pairs), dtype=np.int64)
+        np.add.at(sums, at, fix.ravel())
+        held.setdefault(lang, Counter()).update(
+            dict(zip(zip((pairs // wide).tolist(), (pairs % wide).tolist()), sums.tolist()))
+        )
 
     for batch in batches:
-        for i, lang in enumerate(batch.column("lang").to_pylist()):
-            place, p, zero = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("places", "rates", "zeros"))
-            order = np.argsort(place)
-            place, p, zero = place[order], p[order], zero[order]
-            cuts = np.flatnonzero(np.diff(place // SIDE)) + 1
-            parts = list(zip([0, *cuts], [*cuts, len(place)]))
-            for m, (a, b) in enumerate(parts):
-                for c, d in parts[m:]:
-                    left, right, zl, zr = p[a:b, None], p[None, c:d], zero[a:b, None], zero[None, c:d]
-                    fix = _terms(left, right) - _terms(left, zr) - _terms(zl, right) + _terms(zl, zr)
-                    at = (lang, int(place[a]) // SIDE, int(place[c]) // SIDE)
-                    if at not in squares:
-                        if len(squares) >= OPEN_SQUARES:
-                            yield from handed_on()
-                        squares[at] = np.zeros((SIDE, SIDE), dtype=np.int64)
-                    squares[at][np.ix_(place[a:b] % SIDE, place[c:d] % SIDE)] += fix
+        langs = batch.column("lang").to_pylist()
+        ends = batch.column("places").offsets.to_numpy()
+        flat = [batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("places", "rates", "zeros")]
+        alike: dict[tuple[str, int], list[int]] = {}
+        for i, lang in enumerate(langs):
+            alike.setdefault((lang, int(ends[i + 1] - ends[i])), []).append(int(ends[i]))
+        for (lang, length), starts in alike.items():
+            step = max(1, PAIRS // (length * length))
+            for k in range(0, len(starts), step):
+                at = np.array(starts[k : k + step])[:, None] + np.arange(length)
+                compared(lang, *(x[at] for x in flat))
+                if sum(map(len, held.values())) >= OPEN_PAIRS:
+                    yield from handed_on()
     yield from handed_on()
 
 
 def _outer_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per source and square side: V f(p0, q0) once a pair, and its counts against the others' p0."""
-    schema = pa.schema([("lang", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("value", pa.int64())])
+    """Per source and row of others: V f(p0, q0) once a pair, and its counts against the others' p0."""
     for batch in batches:
         for row in batch.to_pylist():
             others, zeros = np.array(row["others"], dtype=np.int64), np.array(row["zeros"], dtype=np.int64)
@@ -328,7 +395,7 @@ def _outer_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.maximum(others, place)),
                 pa.array(sums),
             ]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            yield pa.RecordBatch.from_arrays(columns, schema=_PAIR_SCHEMA)
 
 
 def _groups(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -387,7 +454,7 @@ def _pair_values(groups: DataFrame, rated: DataFrame) -> DataFrame:
     lists = shared.filter(F.size("x") > 1).select(
         "lang", F.col("x.place").alias("places"), F.col("x.rate").alias("rates"), F.col("x.zero").alias("zeros")
     )
-    fixes = lists.mapInArrow(_square_sums, pairs)
+    fixes = lists.mapInArrow(_corrections, pairs)
     return outer.unionByName(fixes).groupBy("lang", "low", "high").agg(F.sum("value").alias("value"))
 
 
