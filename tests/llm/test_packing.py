@@ -1,8 +1,10 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.packing import pack_documents, pack_examples
@@ -101,3 +103,18 @@ def test_words_alone_have_the_ids_of_the_text(text):
 
 def test_nothing(no_documents):
     assert pack_documents(no_documents, PATH).count() == 0
+
+
+@pytest.mark.parametrize("text", [None, "ab cd", "ab cd ef gh"])
+def test_many_tiny_documents_are_packed_tightly(spark, text):
+    """One token (the end id) to five a document, so hundreds to thousands share a sequence."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(text).cast("string").alias("text")).coalesce(1)
+    pieces = pack_documents(docs, PATH).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    sizes = Counter()
+    for p in pieces:
+        sizes[p.sequence_id] += p.length
+    padding = sum(2048 - n for n in sizes.values() if n & (n - 1))
+    assert padding <= 0.03 * sum(sizes.values())
+    assert max(sizes.values()) <= 2048
+    again = pack_documents(docs, PATH).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, pieces))

@@ -13,8 +13,10 @@ the same rows in the same order and forms the same sequences.
 
 from __future__ import annotations
 
+import os
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,41 +30,55 @@ from tidemark.llm.words import slices, worker_cache
 WINDOW = (1024, 2048)
 # Words whose token ids a worker remembers.
 CACHE_WORDS = 1_000_000
+# Texts whose unknown words are learned together.
+TEXTS = 4
 
 
 class _Waiting:
-    """Items waiting for a sequence: sizes as shares of the limits, and a payload each."""
+    """Items waiting for a sequence: a row per limit with the items' sizes, and a payload each."""
 
     def __init__(self, limits: tuple[int, int, int]):
         self.limits = np.array(limits, dtype=np.float64)
-        self.sizes = np.zeros((0, 3))
+        self.sizes = np.zeros((3, 0))
+        self.here = np.zeros(0, dtype=bool)
         self.items: list = []
+        self.count = 0
 
     def add(self, sizes: list[tuple[int, int, int]], items: list) -> None:
         if items:
-            self.sizes = np.concatenate((self.sizes, np.array(sizes, dtype=np.float64)))
+            self.sizes = np.concatenate((self.sizes, np.array(sizes, dtype=np.float64).T), axis=1)
+            self.here = np.concatenate((self.here, np.ones(len(items), dtype=bool)))
             self.items.extend(items)
+            self.count += len(items)
 
     def drop(self, picked: list[int]) -> None:
-        keep = np.ones(len(self.items), dtype=bool)
-        keep[picked] = False
-        self.sizes = self.sizes[keep]
-        self.items = [x for x, k in zip(self.items, keep) if k]
+        self.here[picked] = False
+        self.count -= len(picked)
+
+    def close_gaps(self) -> None:
+        self.items = [self.items[i] for i in np.flatnonzero(self.here)]
+        self.sizes = self.sizes[:, self.here]
+        self.here = np.ones(len(self.items), dtype=bool)
+
+    def longest(self) -> int:
+        return int(np.argmax(np.where(self.here, self.sizes[0], -1.0)))
 
     def fill(self) -> tuple[list[int], np.ndarray]:
         """The items of one sequence in order, and the room that is left."""
-        shares = self.sizes / self.limits
         room = self.limits.copy()
-        free = np.ones(len(self.items), dtype=bool)
+        free = np.flatnonzero(self.here)
+        sizes = self.sizes[:, free]
         picked: list[int] = []
         while True:
-            fits = np.flatnonzero(free & (self.sizes <= room).all(axis=1))
-            if not len(fits):
+            # Room only shrinks, so what does not fit once never will.
+            fits = (sizes[0] <= room[0]) & (sizes[1] <= room[1]) & (sizes[2] <= room[2])
+            free, sizes = free[fits], sizes[:, fits]
+            if not len(free):
                 return picked, room
-            best = int(fits[np.argmax(shares[fits] @ (room / self.limits))])
-            picked.append(best)
-            free[best] = False
-            room -= self.sizes[best]
+            best = int(np.argmax((room / self.limits**2) @ sizes))
+            picked.append(int(free[best]))
+            room -= sizes[:, best]
+            sizes[:, best] = np.inf
 
 
 def _sequence_ids() -> Iterator[int]:
@@ -97,13 +113,14 @@ def pack_examples(
 
         def placed(least: int) -> list[tuple]:
             rows = []
-            while len(waiting.items) > least:
+            while waiting.count > least:
                 picked, _ = waiting.fill()
                 number, offset = next(ids), 0
                 for i in picked:
                     rows.append((*waiting.items[i], number, offset))
                     offset += waiting.items[i][1]
                 waiting.drop(picked)
+            waiting.close_gaps()
             return rows
 
         names = ["example_id", "n_tokens", "n_loss_tokens", "sequence_id", "offset"]
@@ -115,7 +132,7 @@ def pack_examples(
                     rows.append((*item, None, None))
                     continue
                 waiting.add([(tokens, 1, loss)], [item])
-                if len(waiting.items) >= WINDOW[1]:
+                if waiting.count >= WINDOW[1]:
                     rows += placed(WINDOW[0])
             yield table(rows)
         yield table(placed(0))
@@ -137,6 +154,8 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        # Tasks share the cores already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -147,57 +166,64 @@ class WordTokens:
 
     @staticmethod
     def _bytes(ids: Iterable[int]) -> bytes:
-        return np.fromiter(ids, dtype="<u4").tobytes()
+        made = array("I", ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
 
-    def _alone(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        known, plain, letters = self.known, {}, []
+        known, plain, letters, alone = self.known, {}, [], []
+        tokenize, to_bytes = self.tokenizer.model.tokenize, self._bytes
         for word in words:
             core = word.rstrip(b".,;:!?")
             if core != word and core[-1:].isalnum():
                 end = word[len(core) :]
                 if end not in known:
-                    known[end] = self._alone(end.decode())
+                    known[end] = self._alone([end.decode()])[0]
                 plain[word] = (core, end)
                 word = core
             if word in known:
                 continue
             known[word] = b""
             if word.isalpha():  # ASCII letters only
-                known[word] = self._bytes(t.id for t in self.tokenizer.model.tokenize(word.decode()))
+                known[word] = to_bytes([t.id for t in tokenize(word.decode())])
             else:
-                letters.append(word)
-        texts = [w.decode("utf-8", "replace") for w in letters]
-        single = [i for i, t in enumerate(texts) if t.isalpha()]
-        ids = self.tokenizer.encode(" ".join(texts[i] for i in single), add_special_tokens=False).ids if single else []
+                (letters if word.decode("utf-8", "replace").isalpha() else alone).append(word)
+        joined = " ".join(x.decode("utf-8", "replace") for x in letters)
+        ids = self.tokenizer.encode(joined, add_special_tokens=False).ids if letters else []
         cut = [i + 1 for i, x in enumerate(ids) if x in self.ends]
-        if len(cut) == len(single):
-            for i, a, b in zip(single, [0, *cut], cut):
-                known[letters[i]] = self._bytes(ids[a:b])
+        if len(cut) == len(letters):
+            for word, a, b in zip(letters, [0, *cut], cut):
+                known[word] = to_bytes(ids[a:b])
         else:
-            single = []
-        done = set(single)
-        for i, text in enumerate(texts):
-            if i not in done:
-                known[letters[i]] = self._alone(text)
+            alone += letters
+        known.update(zip(alone, self._alone([x.decode("utf-8", "replace") for x in alone])))
         for word, (core, end) in plain.items():
             known[word] = known[core] + known[end]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        made = []
-        for text in texts:
-            if text and any(s in text for s in self.special):
-                made.append(self._alone(text.decode("utf-8", "replace")))
-                continue
-            words = (text or b"").lower().split()
-            missing = set(words).difference(self.known)
-            if missing:
-                self._learn(missing)
-            made.append(b"".join(map(self.known.__getitem__, words)))
+        made: list[bytes] = []
+        for i in range(0, len(texts), TEXTS):
+            made += self._encode_some(texts[i : i + TEXTS])
+        return made
+
+    def _encode_some(self, texts: list[bytes | None]) -> list[bytes]:
+        special = [i for i, t in enumerate(texts) if t and any(s in t for s in self.special)]
+        words = [(t or b"").lower().split() for t in texts]
+        for i in special:
+            words[i] = []
+        missing = set().union(*words).difference(self.known)
+        if missing:
+            self._learn(missing)
+        of = self.known.__getitem__
+        made = [b"".join(map(of, x)) for x in words]
+        for i in special:
+            made[i] = self._alone([texts[i].decode("utf-8", "replace")])[0]
         return made
 
 
@@ -206,7 +232,7 @@ def pack_documents(
     tokenizer_path: str,
     end_id: int = 1,
     max_tokens: int = 2048,
-    max_segments: int = 512,
+    max_segments: int = 2048,
     max_loss_tokens: int = 2048,
     cut_from: int = 32,
 ) -> DataFrame:
@@ -247,7 +273,7 @@ def pack_documents(
 
         def placed(least: int) -> list[tuple]:
             rows = []
-            while len(waiting.items) > least:
+            while waiting.count > least:
                 picked, room = waiting.fill()
                 number, offset = next(numbers), 0
                 for i in picked:
@@ -255,14 +281,15 @@ def pack_documents(
                     offset += len(waiting.items[i][2]) // 4
                 waiting.drop(picked)
                 gap = int(min(room[0], room[2] + 1))
-                if gap >= cut_from and room[1] >= 1 and len(waiting.items):
+                if gap >= cut_from and room[1] >= 1 and waiting.count:
                     # Nothing that waits fits whole: fill up with the head of the longest.
-                    i = int(np.argmax(waiting.sizes[:, 0]))
+                    i = waiting.longest()
                     doc_id, start, ids, total = waiting.items[i]
                     rows.append(piece((doc_id, start, ids[: 4 * gap], total), number, offset))
                     waiting.drop([i])
                     rest = (doc_id, start + gap, ids[4 * gap :], total)
                     waiting.add([sizes(rest)], [rest])
+            waiting.close_gaps()
             return rows
 
         for batch in batches:
@@ -279,7 +306,7 @@ def pack_documents(
                     if start < total:
                         found.append((doc_id, start, ids[4 * start :], total))
                 waiting.add([sizes(x) for x in found], found)
-                if len(waiting.items) >= WINDOW[1]:
+                if waiting.count >= WINDOW[1]:
                     rows += placed(WINDOW[0])
                 yield table(rows)
         yield table(placed(0))
