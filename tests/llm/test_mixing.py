@@ -1,8 +1,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm.mixing import emit_copies, mix_sources
+from tidemark.llm.mixing import emit_copies, mix_sources, mixed_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,3 +62,25 @@ def test_small_sources_stop(spark):
 
 def test_nothing(no_documents):
     assert mix_sources(no_documents).count() == 0
+
+
+def test_columns_of_helper_names_stay(spark, odd_documents):
+    clash = ["size", "source_size", "target", "copies", "_none", "_source", "_rate", "_copy", "__kept_0"]
+    docs = odd_documents.select("doc_id", "text", "source", *[F.lit(f"{c}!").alias(c) for c in clash])
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert {r[c] for r in rows for c in clash} == {f"{c}!" for c in clash}
+    assert len(rows) == sum(m.copies for m in mix_sources(odd_documents.select("doc_id", "text", "source")).collect())
+
+
+def test_rows_without_id_throw_their_own_coins(spark):
+    """A source of rows without doc_id comes near its target, not all or nothing."""
+    rows = [(None if i % 2 else 7, f"t{i} " * 10, "a") for i in range(400)] + [(i, "x " * 10, "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = {}, {}
+    for m in mix_sources(docs).collect():
+        taken[m.source] = taken.get(m.source, 0) + m.size * m.copies
+        target[m.source] = m.target
+    for source in "ab":
+        assert taken[source] == pytest.approx(target[source], rel=0.12)

@@ -78,9 +78,20 @@ def test_odd_documents(odd_documents):
     assert _got(odd_documents, 4, 85) == _brute(odd_documents.collect(), 4, 85)
     kept = one_of_each(odd_documents, 4, 85)
     assert kept.columns == odd_documents.columns
-    # 2 copies 1, and 7 nearly copies 6.
-    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 1, 3, 4, 5, 6, 6, 8, 9]
-    assert kept.filter("doc_id is null").count() == 2
+    # 2, the second 1 and one row without doc_id copy 1, and 7 nearly copies 6.
+    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 6, 8, 9]
+    assert [r.text for r in kept.filter("doc_id is null").collect()] == [None]
+
+
+def test_two_texts_of_one_id(spark):
+    """As documents they are one; of near copies one text each must stay."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(1, a), (5, [*a, "more"]), (5, b), (9, [*b, "more"]), (None, [*b, "less"]), (None, ["alone"])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    assert _got(docs, 4, 85) == _brute(docs.collect(), 4, 85)
+    assert {r.doc_id: r.component_id for r in jaccard_links(docs, 4, 85).collect() if r.doc_id} == {1: 1, 5: 1, 9: 1}
+    kept = sorted(((r.doc_id, r.text) for r in one_of_each(docs, 5, 80).collect()), key=repr)
+    assert kept == sorted([(1, " ".join(a)), (5, " ".join(b)), (None, "alone")], key=repr)
 
 
 def test_nothing(no_documents):

@@ -103,8 +103,19 @@ def test_odd_urls_and_lists(spark):
     assert (5, "a.example.com", None, None, None, None, False) in got
     assert (6, "a.example.com", None, None, None, None, False) in got
     assert (4, "b.org", None, None, None, None, False) in got and (3, None, None, None, None, None, False) in got
+    assert (None, "b.org", "b.org", "block", 3, None, True) in got
     spans = {(i.pattern, i.valid_from): (i.action, i.valid_to) for i in list_intervals(entries).collect()}
     assert spans[("example.com", 2)] == ("block", 8) and spans[("a.example.com/x", 4)] == ("allow", None)
     assert filter_urls(captures.limit(0), entries).count() == 0
     assert not any(g.blocked for g in filter_urls(captures, entries.limit(0)).collect())
     assert spark.range(1).select(url_host(F.lit("https://x.Y./p"))).first()[0] == "x.y"
+
+
+def test_captures_that_share_an_id_are_judged_alone(spark):
+    captures = spark.createDataFrame(
+        [(1, "http://a.org/", 5), (1, "http://b.org/", 5), (None, "http://a.org/", 5), (None, "http://b.org/", 5), (1, "http://b.org/", 2)],
+        "capture_id long, url string, fetched_on int",
+    )
+    entries = spark.createDataFrame([("b.org", 3, "block")], "pattern string, listed_on int, action string")
+    got = sorted(((g.capture_id, g.host, g.blocked) for g in filter_urls(captures, entries).collect()), key=repr)
+    assert got == sorted([(1, "a.org", False), (1, "b.org", True), (None, "a.org", False), (None, "b.org", True), (1, "b.org", False)], key=repr)

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import free_name
 from tidemark.llm.words import STEP, mix, slices
 from tidemark.operators.lookups import lookup
 from tidemark.sources.scratch import materialize
@@ -197,8 +198,9 @@ def _groups(numbered: DataFrame, digest_bytes: int, written: bool) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    """The kept rows of `docs`, with all their columns."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = _groups(numbered.select(F.col("_row").alias("row"), "doc_id", "text"), digest_bytes, written=True)
-    kept = groups.filter("kept").select(F.col("row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    """The kept rows of `docs`, with all their columns, whatever these are called."""
+    number = free_name(docs, "_row")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    groups = _groups(numbered.select(F.col(number).alias("row"), "doc_id", "text"), digest_bytes, written=True)
+    kept = groups.filter("kept").select(F.col("row").alias(number))
+    return numbered.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

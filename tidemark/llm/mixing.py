@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import set_aside
 from tidemark.operators.lookups import lookup
 from tidemark.operators.ordered import row_numbers, running_total
 from tidemark.sources.scratch import materialize
@@ -27,9 +28,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def coin(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) that follows from the seed and the id alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")) ))
+def coin(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) that follows from the seed, the id and the text, so that rows
+    without an id, or texts that share one, throw coins of their own."""
+    known = [F.coalesce(c, F.lit("")) for c in (doc_id.cast("string"), F.xxhash64(text).cast("string"))]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *known))
     digits = F.substring(digest, 1, _HASH_BITS // 4)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << _HASH_BITS))
 
@@ -62,9 +65,9 @@ def mix_sources(
     """`docs` with size, source_size, target and copies: how often the mix takes each row.
 
     Weights go to the sources in code point order, NULL last, over and over. A NULL
-    or empty text has size 0; a source of size 0 has target 0 and no copies. Equal
-    rows get equal copies; so do rows without doc_id within one source. Columns named
-    like the added ones are replaced; an empty table gives an empty result.
+    or empty text has size 0; a source of size 0 has target 0 and no copies. Rows equal
+    in source, doc_id and text get equal copies. Columns named like the added ones are
+    replaced (`mixed_documents` keeps them); an empty table gives an empty result.
     """
     added = ["size", "source_size", "target", "copies"]
     sized = docs.drop(*added).withColumn("size", word_count(F.col("text")))
@@ -76,7 +79,7 @@ def mix_sources(
         F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most_copies)))
     ).otherwise(0.0)
     joined = lookup(left, right, ["_none", "_source"], "inner").withColumn("_rate", rate)
-    extra = (coin(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
+    extra = (coin(F.col("doc_id"), F.col("text"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
     return joined.withColumn("copies", F.floor("_rate") + extra).drop("_none", "_source", "_rate")
 
 
@@ -84,3 +87,12 @@ def emit_copies(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row of `mix_sources` as often as it is taken, without the added columns."""
     taken = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.drop("_copy", "size", "source_size", "target", "copies")
+
+
+def mixed_documents(
+    docs: DataFrame, weights: list[int] = (5, 2, 1), most_copies: int = 3, seed: str = "mix"
+) -> DataFrame:
+    """Rows of `docs` as often as the mix takes them, with all columns, whatever these are called."""
+    plain, back = set_aside(docs, ["doc_id", "text", "source"])
+    mixed = emit_copies(mix_sources(plain, weights, most_copies, seed)).withColumnsRenamed(back)
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import free_name
 from tidemark.llm.components import components
 from tidemark.llm.words import mix, separators, shingle_sets, slices
 from tidemark.operators.lookups import lookup
@@ -431,14 +432,22 @@ def _pivots(alive: DataFrame) -> DataFrame:
     return alive.groupBy("key").agg(F.max_by("class", rank).alias("pivot"))
 
 
+def _of_one_id(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of texts that share a doc_id, as a star around the least."""
+    known = sets.filter("doc_id is not null and n_shingles > 0").select("doc_id", "class")
+    several = known.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("high")).filter("a <> high")
+    stars = lookup(known, several.select("doc_id", "a"), ["doc_id"], "inner")
+    return stars.filter("a <> class").select("a", F.col("class").alias("b")).distinct()
+
+
 def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs(doc_id, text)`.
 
     `component_id` is the smallest doc_id a row reaches by links, its own included.
     Texts that are NULL or have no words have 0 shingles and link with nothing.
     Texts of fewer than `width` words have one shingle, the whole sequence. Equal
-    rows stay rows; rows that repeat a doc_id with another text bring that text's
-    links to the same id. A row without doc_id takes no part and has a NULL
+    rows stay rows; texts that share a doc_id are one document, so what links with
+    one of them reaches them all. A row without doc_id takes no part and has a NULL
     component. Other columns are ignored; an empty table gives an empty result.
     """
     sets = materialize(
@@ -449,7 +458,7 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     alive = _shared_blocks(given, known, width, percent)
     met = lookup(alive.select("key", "class"), _pivots(alive), ["key"], "inner")
     pairs = materialize(met.filter("class <> pivot").select("pivot", "class").distinct(), "pairs")
-    links = materialize(_verify(pairs, given, known, width, percent), "links")
+    links = materialize(_verify(pairs, given, known, width, percent).union(_of_one_id(sets)), "links")
     labels = components(links)
     named = lookup(alive.select("key", "class"), labels.withColumnRenamed("node", "class"), ["class"], "left").withColumn(
         "label", F.coalesce("label", "class")
@@ -475,11 +484,22 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` without near copies: of each component the row with the smallest doc_id stays.
+    """`docs` without near copies: of each component of texts one row stays.
 
-    Rows that cannot be compared (no doc_id, no words) stay. Rows repeating a kept
-    doc_id stay too.
+    It is the one with the smallest doc_id, rows without one last, then the first as
+    read. Rows are numbered once and written; links join row numbers, so neither rows
+    that share a doc_id nor rows without one are taken for each other. Rows without
+    words stay. All columns stay, whatever these are called.
     """
-    links = jaccard_links(docs.select("doc_id", "text"), width, percent)
-    gone = links.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    number = free_name(docs, "_row")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(number).alias("doc_id"), "text")
+    links = materialize(jaccard_links(rows, width, percent).filter("n_shingles > 0"), "components")
+    ids = numbered.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    met = links.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    best = met.groupBy("component_id").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"))
+    several = best.filter("n > 1").select("component_id", F.col("best.row").alias("kept"))
+    gone = lookup(met.select("row", "component_id"), several, ["component_id"], "inner").filter("row <> kept")
+    left = numbered.join(gone.select(F.col("row").alias(number)), number, "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -71,16 +71,22 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     any, pattern to valid_to are NULL and blocked is false. So are captures whose URL
     has no host or that have no fetch time. An entry holds from its own day on, and
     one with an action other than 'block' and 'allow' takes its pattern off the list.
-    Equal captures are judged each, so capture_id should tell rows apart; rows that
-    share one share the verdict of the longest pattern of any of them. Other columns
-    are ignored; empty tables give an empty result or one without matches.
+    Captures are told apart by a written row number, so equal ones, ones without a
+    capture_id and ones that share it are judged each by their own URL and time. Other
+    columns are ignored; empty tables give an empty result or one without matches.
     """
     intervals = materialize(list_intervals(entries), "intervals")
-    seen = captures.select("capture_id", "fetched_on", url_host(F.col("url")).alias("host"), "url")
+    seen = materialize(
+        captures.select(
+            F.monotonically_increasing_id().alias("row"), "capture_id", "fetched_on", url_host(F.col("url")).alias("host"), "url"
+        ),
+        "captures",
+    )
     asked = seen.filter("fetched_on is not null").select(
-        "capture_id", "fetched_on", F.explode(url_patterns(F.col("url"))).alias("pattern")
+        "row", "fetched_on", F.explode(url_patterns(F.col("url"))).alias("pattern")
     )
-    listed = asked.join(intervals.select("pattern").distinct(), "pattern", "left_semi")
+    # Every URL has its top-level domain among its patterns, so this side has hot keys.
+    listed = lookup(asked, intervals.select("pattern").distinct(), ["pattern"], "left_semi")
     pairs = listed.select("pattern", F.col("fetched_on").alias("at"), F.lit(None).cast(intervals.schema["valid_from"].dataType).alias("valid_from")).distinct()
     starts = intervals.select("pattern", F.col("valid_from").alias("at"), "valid_from")
     # An entry comes before the captures of its own time.
@@ -92,10 +98,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     ).filter(F.col("action").isin(BLOCK, ALLOW))
     matches = lookup(listed, active, ["pattern", "fetched_on"], "inner")
     length = F.length("pattern")
-    best = matches.groupBy("capture_id").agg(
+    best = matches.groupBy("row").agg(
         F.min(F.struct((-length).alias("order"), "pattern", "action", "since", "valid_to")).alias("best")
     )
-    judged = lookup(seen.select("capture_id", "host"), best, ["capture_id"], "left")
+    judged = lookup(seen.select("row", "capture_id", "host"), best, ["row"], "left")
     return judged.select(
         "capture_id",
         "host",
