@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.exact_dedup import without_copies
-from tidemark.llm.mixing import emit_copies, mix_sources
+from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.parity_join import one_of_each
 from tidemark.llm.toxicity import train, without_toxic
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 5, 2, 1, repeating; no document more than three times."""
-    return emit_copies(mix_sources(docs, weights=[5, 2, 1], most_copies=3)).select(*docs.columns)
+    return mixed_documents(docs, weights=[5, 2, 1], most_copies=3)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
