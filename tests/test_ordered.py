@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import latest_value, previous_value, row_numbers, running_total
+from tidemark.operators.ordered import history, latest_value, previous_value, row_numbers, running_total
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +117,17 @@ def test_names_that_clash_are_refused(skewed):
 def test_empty_input(skewed):
     assert running_total(skewed.limit(0), ["k"], ORDER(), "t", F.col("w")).count() == 0
     assert row_numbers(skewed.limit(0), [], ORDER(), "n").count() == 0
+
+
+def test_history(skewed):
+    """Previous value, lowest and highest measure before each row, in one cut."""
+
+    def fold(members, out):
+        seen = []
+        for r in members:
+            out[r["id"]] = (seen[-1]["id"] if seen else None, *[f((x["w"] for x in seen), default=None) for f in (min, max)])
+            seen.append(r)
+
+    got = history(skewed, ["k"], ORDER(), F.col("id"), F.col("w"), "p", "low", "high")
+    assert got.columns == [*skewed.columns, "p", "low", "high"]
+    assert {r["id"]: (r["p"], r["low"], r["high"]) for r in got.collect()} == _expected(skewed, True, fold)

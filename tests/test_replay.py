@@ -96,3 +96,43 @@ def test_case_blind_replay(spark):
     state = R.replay_final_state(steps, versions, log, case_sensitive=False)
     assert rows(state.versions, "version") == [(Decimal(10001),)]
     assert state.steps.filter("completed = 1").count() == 26
+
+
+def test_requests_without_id_or_time_run_their_steps(spark):
+    """Steps, flags and versions tell one story, and requests that tie are taken by version."""
+    later = START + dt.timedelta(minutes=1)
+    log = [(None, None, 10), (None, START, 30), (None, START, 20), (7, START, 40), (None, later, 25), (None, later, 25)]
+    requests = [(i, ts, "s", "k", Decimal(to)) for i, ts, to in log]
+    steps = [
+        (n + 1, "s", "k", Decimal(v), up, 0, "d", "p", 0) for n, (v, up) in enumerate((v, up) for v in (10, 20, 25, 30, 40) for up in (1, 0))
+    ]
+    s, v, r = spark.createDataFrame(steps, STEP), versions_frame(spark), spark.createDataFrame(requests, REQUEST)
+    machine = Simulation([dict(zip(STEP.fieldNames(), x)) for x in steps], 0)
+    oldest = START - dt.timedelta(days=1)
+    ran = []
+    for i, ts, to in sorted(log, key=lambda x: (x[1] or oldest, -1 if x[0] is None else x[0], x[2])):
+        ran += [(i, ts, to, step) for step in machine.request(to)]
+    state = R.replay_final_state(s, v, r)
+    got = [(x["request_id"], x["ts"], int(x["to_version"]), x["step_id"]) for x in R.replay_changes(s, v, r).collect()]
+    assert sorted(got, key=repr) == sorted(ran, key=repr) and len(ran) > 5
+    assert {x["id"]: x["completed"] for x in state.steps.collect()} == {i: x["completed"] for i, x in machine.steps.items()}
+    assert rows(state.versions, "version") == [(Decimal(25),)]
+
+
+def test_swings_over_upgrade_steps_form_no_more_rows_than_steps_run(spark):
+    """1,000 swings over 1,000 levels cross a million levels, and run each step once."""
+    n = 1000
+    steps = spark.range(1, n + 1).select(
+        "id", F.lit("s").alias("schema_name"), F.lit("k").alias("application_name"), F.col("id").cast("decimal(38,0)").alias("version"),
+        F.lit(1).alias("upgrade"), F.lit(0).alias("sequence"), F.lit("d").alias("description"), F.lit("p").alias("procedure_name"), F.lit(0).alias("completed"),
+    )
+    up = F.when(F.col("id") % 2 == 0, F.least(F.lit(n), F.col("id") + 2)).otherwise(0)
+    requests = spark.range(n).select(
+        F.col("id").alias("request_id"), F.lit(START).alias("ts"), F.lit("s").alias("schema_name"), F.lit("k").alias("application_name"),
+        up.cast("decimal(38,0)").alias("to_version"),
+    )
+    plan = R.plan_replay(steps, versions_frame(spark), requests)
+    ran = R.executed_steps(plan).count()
+    assert ran == n
+    assert R.crossings(plan.moves).count() == 0
+    assert R.records(plan.moves).count() == ran

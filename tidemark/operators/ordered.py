@@ -123,6 +123,50 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: C
     )
 
 
+def history(
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, measure: Column, out: str, low: str, high: str
+) -> DataFrame:
+    """`value` of the row before each row of its group, and the smallest and largest
+    `measure` among all rows before it; NULL for the first. One cut serves all three."""
+    chunks = _chunked(df.withColumn(_VALUE, F.struct(value.alias("value"), measure.alias("measure"))), keys, order)
+    inside = _inside(keys, order)
+    earlier = inside.rowsBetween(W.unboundedPreceding, -1)
+    measured = F.col(f"{_VALUE}.measure")
+    local = chunks.withColumns(
+        {
+            out: F.lag(F.col(f"{_VALUE}.value")).over(inside),
+            low: F.min(measured).over(earlier),
+            high: F.max(measured).over(earlier),
+            _EDGE: F.row_number().over(inside) == 1,
+        }
+    )
+    bounds = chunks.groupBy(_CHUNK, *keys).agg(F.min(measured).alias("__ordered_low"), F.max(measured).alias("__ordered_high"))
+    ends = _last_of_each(chunks, keys, order, _VALUE)
+    by_chunk = W.partitionBy(*keys).orderBy(_CHUNK)
+    before = by_chunk.rowsBetween(W.unboundedPreceding, -1)
+    same = [ends[_CHUNK] == bounds[_CHUNK], *[ends[k].eqNullSafe(bounds[k]) for k in keys]]
+    summary = ends.join(bounds, same).select(ends[_CHUNK], *[ends[k] for k in keys], _VALUE, "__ordered_low", "__ordered_high")
+    summary = summary.withColumn(
+        _BEFORE,
+        F.struct(
+            F.lag(F.col(f"{_VALUE}.value")).over(by_chunk).alias("value"),
+            F.min("__ordered_low").over(before).alias("low"),
+            F.max("__ordered_high").over(before).alias("high"),
+        ),
+    )
+    return (
+        _join_summary(local, summary, keys)
+        .withColumns(
+            {
+                out: F.when(F.col(_EDGE), F.col(f"{_BEFORE}.value")).otherwise(F.col(out)),
+                low: F.least(low, f"{_BEFORE}.low"),
+                high: F.greatest(high, f"{_BEFORE}.high"),
+            }
+        )
+        .drop(_CHUNK, _TIE, _BEFORE, _EDGE, _VALUE)
+    )
+
+
 def latest_value(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """The last `value` that is not NULL among the rows of a group up to each row, its own included."""
     chunks = _chunked(df.withColumn(_VALUE, value), keys, order)

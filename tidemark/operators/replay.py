@@ -2,9 +2,7 @@
 
 How it works. Number the distinct step versions of a key 1, 2, 3, ... A request
 that moves the version from a to b crosses exactly the numbers between the
-positions of a and b, so `explode(sequence(..))` lists the crossed versions and
-an equi-join on (key, number) finds their steps: no pair is formed that does
-not become a result, and a hot key spreads over its version numbers.
+positions of a and b, its levels.
 
 Which crossings run a step. Crossings of one version alternate between up and
 down, starting with the direction given by the key's first version. At one
@@ -19,6 +17,14 @@ side. Hence
   ran the first time (an open one, or one re-opened by a lead step).
 
 This holds for any starting flags, so no step-by-step state is needed.
+
+Which rows are formed. A level is crossed first by a request that goes beyond all
+places its key has been at, a record: with the highest and lowest level so far known
+at every request, the records' ranges of new levels meet every level at most once.
+That is all most levels need. Only levels where steps run again, or where a follow
+step runs without any lead, are numbered a second time, and only their crossings are
+listed. So a registry without downgrade steps that starts below its steps lists
+nothing but first crossings, however often its version swings.
 """
 
 from __future__ import annotations
@@ -30,21 +36,26 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import fold_names, unfold_names
 from tidemark.operators.lookups import lookup
-from tidemark.operators.ordered import previous_value, running_total
+from tidemark.operators.ordered import history, running_total
 from tidemark.operators.versions import set_version
 from tidemark.schemas import KEY, VERSION_TYPE
 from tidemark.sources.scratch import materialize
 
 WHEN = ["ts", "request_id"]
+# The order of a key's requests; of two with one time and id the lower version comes first.
+TURN = [*WHEN, "to_version"]
 SLOT = [*KEY, "version", "sequence"]
-# Columns `_located` adds to a step.
-_FACTS = ["level", "leads", "has_lead", "lead_runs", "follow_runs"]
+# Facts about a slot, and what `_located` adds to a step.
+_SLOT_FACTS = ["has_lead", "lead_runs", "follow_runs", "again"]
+_FACTS = ["level", "again_level", "leads", *_SLOT_FACTS]
+# Two counts in one running total.
+_SHIFT = 1 << 31
 
 
 class ReplayPlan(NamedTuple):
     """Requests as moves between level numbers, and the steps placed on them."""
 
-    moves: DataFrame  # key, ts, request_id, from_version, to_version, from_level, to_level
+    moves: DataFrame  # key, ts, request_id, versions, levels and repeating levels from and to, lowest and highest before
     located: DataFrame  # steps of the requested keys with the facts that decide their runs
     untouched: DataFrame  # steps of all other keys
 
@@ -57,35 +68,15 @@ def _starts(versions: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def _points(steps: DataFrame, starts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Distinct (key, version) points: step versions, requested ones and starts.
-
-    One aggregate reduces all three on the map side.
-    """
-    def marked(df: DataFrame, level: int, start: bool) -> DataFrame:
-        return df.select(*KEY, "version", F.lit(level).alias("is_level"), F.lit(start).alias("is_start"))
-
-    stepped = lookup(steps.select(*KEY, "version"), starts.select(*KEY), KEY, "left_semi")
-    asked = requests.select(*KEY, F.col("to_version").alias("version"))
-    return (
-        marked(stepped, 1, False)
-        .unionByName(marked(asked, 0, False))
-        .unionByName(marked(starts, 0, True))
-        .groupBy(*KEY, "version")
-        .agg(F.max("is_level").alias("is_level"), F.max("is_start").alias("is_start"))
-    )
-
+def _led(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """Steps of the requested keys with `leads`: above the start a version is first crossed upwards."""
+    lead = F.when(F.col("version") > F.col("_start"), 1).otherwise(0)
+    begun = lookup(steps, starts.select(*KEY, F.col("version").alias("_start")), KEY, "inner")
+    return begun.withColumn("leads", F.col("upgrade") == lead).drop("_start")
 
-def _located(steps: DataFrame, placed: DataFrame) -> DataFrame:
-    """Steps of the requested keys with the facts about their (version, sequence).
 
-    Levels are joined to the facts, one row per (version, sequence), so a step's
-    own row moves only to meet its key's start and then its facts.
-    """
-    starts = placed.filter("is_start").select(*KEY, F.col("version").alias("_start"))
-    # Above the start a version is first crossed upwards, else downwards.
-    lead = F.when(F.col("version") > F.col("_start"), 1).otherwise(0)
-    led = steps.join(starts, KEY).withColumn("leads", F.col("upgrade") == lead).drop("_start")
+def _slots(led: DataFrame) -> DataFrame:
+    """The facts of each (version, sequence); `again` marks those whose first crossing is not all."""
     open_step = F.col("completed") == 0
     slots = led.groupBy(*SLOT).agg(
         F.max(F.col("leads")).alias("has_lead"),
@@ -94,62 +85,111 @@ def _located(steps: DataFrame, placed: DataFrame) -> DataFrame:
         F.max(~F.col("leads") & open_step).alias("_follow_open"),
     )
     follow_runs = F.col("_has_follow") & (F.col("lead_runs") | F.col("_follow_open"))
-    levels = placed.filter("is_level = 1").select(*KEY, "version", "level")
-    facts = slots.join(levels, [*KEY, "version"]).select(
-        *SLOT, "level", "has_lead", "lead_runs", follow_runs.alias("follow_runs")
+    return slots.select(*SLOT, "has_lead", "lead_runs", follow_runs.alias("follow_runs"), follow_runs.alias("again"))
+
+
+def _points(slots: DataFrame, starts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Distinct (key, version) points: step versions, requested ones and starts.
+
+    One aggregate reduces all three on the map side.
+    """
+    def marked(df: DataFrame, level: Column, again: Column, start: bool) -> DataFrame:
+        marks = [level.cast("int").alias("is_level"), again.cast("int").alias("is_again"), F.lit(start).alias("is_start")]
+        return df.select(*KEY, "version", *marks)
+
+    no, yes = F.lit(0), F.lit(1)
+    asked = requests.select(*KEY, F.col("to_version").alias("version"))
+    return (
+        marked(slots, yes, F.col("again"), False)
+        .unionByName(marked(asked, no, no, False))
+        .unionByName(marked(starts, no, no, True))
+        .groupBy(*KEY, "version")
+        .agg(F.max("is_level").alias("is_level"), F.max("is_again").alias("is_again"), F.max("is_start").alias("is_start"))
     )
-    return lookup(led, facts, SLOT, "inner").select(*steps.columns, *_FACTS)
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    """Points with the number of step versions, and of those that run again, up to each."""
+    both = F.col("is_level").cast("long") * _SHIFT + F.col("is_again")
+    counted = running_total(points, KEY, [F.col("version")], "_both", both)
+    return counted.withColumns(
+        {"level": F.call_function("div", F.col("_both"), F.lit(_SHIFT).cast("long")), "again_level": F.col("_both") % _SHIFT}
+    ).drop("_both")
 
 
 def plan_replay(steps: DataFrame, versions: DataFrame, requests: DataFrame) -> ReplayPlan:
     """Place every request and every step version on the level numbers of its key.
 
     A request for a NULL version is an error that changes nothing, so it is left
-    out. Only keys with requests are worked on. The tables are written once,
-    since the runs, the flags and the counts all start from them.
+    out. One without a time or an id is applied like any other, before those that
+    have one. Only keys with requests are worked on. Tables that are read more than
+    once are written.
     """
-    requests = requests.filter(F.col("to_version").isNotNull()).select(*KEY, *WHEN, "to_version")
-    points = _points(steps, _starts(versions, requests), requests)
-    placed = running_total(points, KEY, [F.col("version")], "level", F.col("is_level"))
-    placed = materialize(placed, "levels")
+    requests = requests.filter(F.col("to_version").isNotNull()).select(*KEY, *TURN)
+    first = _starts(versions, requests)
+    led = _led(steps, first)
+    slots = materialize(_slots(led), "slots")
+    placed = materialize(_placed(_points(slots, first, requests)), "levels")
+
+    # Levels are joined to the facts, one row per slot, so a step's own row moves only
+    # to meet its key's start and then its facts.
+    levels = placed.filter("is_level = 1").select(*KEY, "version", "level", "again_level", "is_again")
+    facts = slots.drop("again").join(levels, [*KEY, "version"]).withColumn("again", F.col("is_again") == 1).drop("is_again")
+    located = lookup(led, facts, SLOT, "inner").select(*steps.columns, *_FACTS)
 
-    # A key's start leads its requests: both its time and its request are NULL.
     types = dict(requests.dtypes)
-    at = placed.select(*KEY, F.col("version").alias("to_version"), F.col("level").alias("to_level"))
+    place = [F.col(c).alias(f"to_{c}") for c in ("level", "again_level")]
+    at = placed.select(*KEY, F.col("version").alias("to_version"), *place)
     starts = placed.filter("is_start").select(
-        *KEY, *[F.lit(None).cast(types[c]).alias(c) for c in WHEN],
-        F.col("version").alias("to_version"), F.col("level").alias("to_level"),
+        *KEY, *[F.lit(None).cast(types[c]).alias(c) for c in WHEN], F.col("version").alias("to_version"), *place
+    )
+    timeline = (
+        lookup(requests, at, [*KEY, "to_version"], "inner")
+        .withColumn("_is_start", F.lit(0))
+        .unionByName(starts.withColumn("_is_start", F.lit(1)))
     )
-    timeline = requests.join(at, [*KEY, "to_version"]).unionByName(starts)
-    order = [F.col("ts").asc_nulls_first(), F.col("request_id").asc_nulls_first()]
-    here = F.struct("to_version", "to_level")
-    chained = previous_value(timeline, KEY, order, here, "_from")
-    moves = chained.filter(F.col("request_id").isNotNull()).select(
+    order = [F.col("_is_start").desc(), *[F.col(c).asc_nulls_first() for c in TURN]]
+    here = F.struct("to_version", "to_level", "to_again_level")
+    chained = history(timeline, KEY, order, here, F.col("to_level"), "_from", "lowest", "highest")
+    moves = chained.filter("_is_start = 0").select(
         *KEY,
         *WHEN,
         F.col("_from.to_version").alias("from_version"),
         "to_version",
         F.col("_from.to_level").alias("from_level"),
         "to_level",
+        F.col("_from.to_again_level").alias("from_again"),
+        F.col("to_again_level").alias("to_again"),
+        "lowest",
+        "highest",
     )
     return ReplayPlan(
         materialize(moves, "moves"),
-        materialize(_located(steps, placed), "located"),
+        materialize(located, "located"),
         steps.join(starts.select(*KEY), KEY, "left_anti"),
     )
 
 
+def records(moves: DataFrame) -> DataFrame:
+    """One row per (request, level) that a key crosses for the first time."""
+    higher = F.col("to_level") > F.col("highest")
+    low = F.when(higher, F.col("highest")).otherwise(F.col("to_level"))
+    high = F.when(higher, F.col("to_level")).otherwise(F.col("lowest"))
+    return moves.filter(higher | (F.col("to_level") < F.col("lowest"))).select(
+        *KEY, *WHEN, "from_version", "to_version", F.explode(F.sequence(low + 1, high)).alias("level")
+    )
+
+
 def crossings(moves: DataFrame) -> DataFrame:
-    """One row per (request, version crossed)."""
-    moving = moves.filter("from_level <> to_level")
-    low, high = F.least("from_level", "to_level"), F.greatest("from_level", "to_level")
-    return moving.select(
+    """One row per (request, level crossed) of the levels that run again, by their own numbers."""
+    low, high = F.least("from_again", "to_again"), F.greatest("from_again", "to_again")
+    return moves.filter("from_again <> to_again").select(
         *KEY,
         *WHEN,
         "from_version",
         "to_version",
-        F.when(F.col("to_level") > F.col("from_level"), 1).otherwise(0).alias("upgrade"),
-        F.explode(F.sequence(low + 1, high)).alias("level"),
+        F.when(F.col("to_again") > F.col("from_again"), 1).otherwise(0).alias("upgrade"),
+        F.explode(F.sequence(low + 1, high)).alias("again_level"),
     )
 
 
@@ -165,25 +205,26 @@ def _run_later() -> Column:
 def executed_steps(plan: ReplayPlan) -> DataFrame:
     """One row per step run, with the request that ran it.
 
-    First crossings meet their steps one to one. All crossings meet only the
-    steps that run again, so a registry without downgrade steps forms no pair
-    beyond its results.
+    At levels that run once, lead steps meet their level's record one to one. The
+    crossings of the others are listed, and each of them runs a step.
     """
-    crossed = crossings(plan.moves)
-    place = [*KEY, "level", "upgrade"]
-    request = F.struct(*WHEN, "from_version", "to_version")
-    first = crossed.groupBy(*place).agg(F.min_by(request, F.struct(*WHEN)).alias("first"))
-    shown = [*KEY, "id", "version", "sequence", "upgrade", "description", "procedure_name"]
     located = plan.located.withColumns({"run_first": _run_first(), "run_later": _run_later()})
-    once = lookup(located.filter("run_first"), first, place, "inner").select(*shown, "first.*")
-    firsts = first.select(*place, F.col("first.ts").alias("_ts"), F.col("first.request_id").alias("_id"))
-    repeats = lookup(located.filter("run_later"), firsts, place, "inner")
+    request = [*WHEN, "from_version", "to_version"]
+    shown = [*KEY, "id", "version", "sequence", "upgrade", "description", "procedure_name"]
+    single = located.filter("run_first and leads and not again").select(*shown, "level")
+    once = lookup(single, records(plan.moves), [*KEY, "level"], "inner").select(*shown, *request)
+
+    crossed = crossings(plan.moves)
+    place = [*KEY, "again_level", "upgrade"]
+    first = crossed.groupBy(*place).agg(F.min_by(F.struct(*request), F.struct(*TURN)).alias("first"))
+    several = located.filter("again")
+    begun = lookup(several.filter("run_first"), first, place, "inner").select(*shown, "first.*")
+    firsts = first.select(*place, F.struct(*[F.col(f"first.{c}").alias(c) for c in TURN]).alias("_first"))
+    repeats = lookup(several.filter("run_later"), firsts, place, "inner")
     again = (
-        lookup(repeats, crossed.select(*place, *WHEN, "from_version", "to_version"), place, "inner")
-        .filter(F.struct(*WHEN) > F.struct("_ts", "_id"))
-        .select(*shown, *WHEN, "from_version", "to_version")
+        lookup(repeats, crossed, place, "inner").filter(F.struct(*TURN) > F.col("_first")).select(*shown, *request)
     )
-    return once.unionByName(again).select(
+    return once.unionByName(begun).unionByName(again).select(
         "request_id", "ts", *KEY, "from_version", "to_version",
         F.col("id").alias("step_id"), F.col("version").alias("step_version"),
         F.col("sequence").alias("step_sequence"), F.col("description").alias("step_description"),
@@ -244,7 +285,7 @@ def final_versions(versions: DataFrame, requests: DataFrame) -> DataFrame:
     last = (
         requests.filter(F.col("to_version").isNotNull())
         .groupBy(*KEY)
-        .agg(F.max_by("to_version", F.struct(*WHEN)).alias("version"))
+        .agg(F.max_by("to_version", F.struct(*TURN)).alias("version"))
     )
     return set_version(versions, last)
 

@@ -394,6 +394,38 @@ _EXECUTED = """
          , step_description, step_procedure, upgrade
     from executed"""
 
+# One request of every key after the other; each round carries all flags on to the next.
+_ANY_FLAGS = """
+    select * from (
+      with recursive turns as (
+        select *, row_number() over (partition by schema_name, application_name order by ts, request_id) as k
+        from fx_request where to_version is not null
+      ), moves as (
+        select t.*, coalesce(lag(t.to_version) over (partition by t.schema_name, t.application_name order by t.k), v.version, 0) as from_version
+        from turns t left join fx_version v on v.schema_name = t.schema_name and v.application_name = t.application_name
+      ), state as (
+        select s.id, s.schema_name, s.application_name, s.version, s.sequence, s.upgrade, s.completed, cast(0 as bigint) as k, false as ran
+        from fx_step s
+        where exists (select 1 from moves m where m.schema_name = s.schema_name and m.application_name = s.application_name)
+        union all
+        select id, schema_name, application_name, version, sequence, upgrade
+             , case when ran then 1 when partner then 0 else completed end, k, ran
+        from (
+          select *, max(ran) over (partition by schema_name, application_name, version, sequence) and not ran
+             and upgrade <> direction as partner
+          from (
+            select s.id, s.schema_name, s.application_name, s.version, s.sequence, s.upgrade, s.completed, m.k
+                 , case when m.from_version < m.to_version then 1 else 0 end as direction
+                 , s.completed = 0 and s.upgrade = case when m.from_version < m.to_version then 1 else 0 end
+                   and s.version > least(m.from_version, m.to_version) and s.version <= greatest(m.from_version, m.to_version) as ran
+            from state s join moves m on m.schema_name = s.schema_name and m.application_name = s.application_name and m.k = s.k + 1) r) p
+      )
+      select m.request_id, m.ts, s.schema_name, s.application_name, m.from_version, m.to_version, s.id as step_id, s.version as step_version
+           , s.sequence as step_sequence, f.description as step_description, f.procedure_name as step_procedure, s.upgrade
+      from state s join moves m on m.schema_name = s.schema_name and m.application_name = s.application_name and m.k = s.k
+      join fx_step f on f.id = s.id
+      where s.ran) q"""
+
 ORACLES: dict[str, str] = {
     "split_items": """
         select p_partkey, cast(unnest(range(1, len(l) + 1)) as int) as item_number, unnest(l) as item
@@ -469,6 +501,7 @@ ORACLES: dict[str, str] = {
         from fx_version v full outer join (select * from changes where to_version is not null and not {_FAILED_KEYS}) c
           on c.schema_name = v.schema_name and c.application_name = v.application_name"""),
     "replay_changes": _sql(_EXECUTED),
+    "replay_changes_any_flags": _sql(_ANY_FLAGS),
     "stream_version_changes": _sql(_EXECUTED),
     "replay_final_state": _sql("""
         select s.id, s.upgrade
