@@ -24,7 +24,7 @@ from tidemark.sources.sinks import BatchLedger
 from tidemark.sources.state import StateStore
 from tidemark.sources.units import read_bundle, write_bundle
 from tidemark.streaming.audit import stream_audit as start_audit
-from tidemark.streaming.version_changes import stream_version_changes as start_changes
+from tidemark.streaming.version_changes import KEYS as CHANGE_KEYS, stream_version_changes as start_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
@@ -596,11 +596,19 @@ def _event_stream(fx: Fixtures) -> DataFrame:
 
 @query
 def stream_version_changes(fx: Fixtures) -> DataFrame:
+    """The requests arrive in three parts, by time; the stream is stopped and started again between them."""
+    events = fx.table("events")
+    cuts = events.agg(F.percentile_approx("ts", [1 / 3, 2 / 3])).first()[0] or []
+    part = sum([(F.col("ts") >= F.lit(cut)).cast("int") for cut in cuts], F.lit(0))
     store = StateStore(fx.spark, new_path(fx.spark, "store"))
-    store.commit({"step": _fresh(fx), "version": fx.version()})
-    executed, checkpoint = new_path(fx.spark, "executed"), new_path(fx.spark, "stream")
-    start_changes(fx.request(_event_stream(fx)), store, executed, checkpoint).awaitTermination()
-    return fx.spark.read.parquet(executed).drop("batch")
+    store.commit({"step": _fresh(fx), "version": fx.version()}, keys=CHANGE_KEYS)
+    arrived, executed, checkpoint = (new_path(fx.spark, x) for x in ("arrived", "executed", "stream"))
+    for number in range(len(cuts) + 1):
+        late = F.col("ts").isNull() if number == 0 else F.lit(False)
+        events.filter(F.coalesce(part == number, late)).write.mode("append").parquet(arrived)
+        stream = fx.spark.readStream.schema(events.schema).parquet(arrived)
+        start_changes(fx.request(stream), store, executed, checkpoint).awaitTermination()
+    return fx.spark.read.option("recursiveFileLookup", "true").parquet(executed)
 
 
 @query

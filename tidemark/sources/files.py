@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +21,51 @@ def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder this library wrote, if it is there."""
     hadoop_path, fs = file_system(spark, path)
     fs.delete(hadoop_path, True)
+
+
+def names_below(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, sorted; none if it does not exist."""
+    hadoop_path, fs = file_system(spark, path)
+    if not fs.exists(hadoop_path):
+        return []
+    return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    hadoop_path, fs = file_system(spark, path)
+    stream = fs.create(hadoop_path, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    hadoop_path, fs = file_system(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def rename_if_absent(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder unless the target is there already; whether it was done.
+
+    One rename of the file system decides, so of several writers one wins.
+    """
+    jvm = spark._jvm
+    old, fs = file_system(spark, source)
+    new, _ = file_system(spark, target)
+    fs.mkdirs(new.getParent())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration())
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    try:
+        context.rename(fs.makeQualified(old), fs.makeQualified(new), options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in str(error.java_exception):
+            return False
+        raise
+    return True
