@@ -600,7 +600,7 @@ def stream_version_changes(fx: Fixtures) -> DataFrame:
     events = fx.table("events")
     cuts = events.agg(F.percentile_approx("ts", [1 / 3, 2 / 3])).first()[0] or []
     part = sum([(F.col("ts") >= F.lit(cut)).cast("int") for cut in cuts], F.lit(0))
-    store = StateStore(fx.spark, new_path(fx.spark, "store"))
+    store = StateStore(fx.spark, new_path(fx.spark, "store"), buckets=16)
     store.commit({"step": _fresh(fx), "version": fx.version()}, keys=CHANGE_KEYS)
     arrived, executed, checkpoint = (new_path(fx.spark, x) for x in ("arrived", "executed", "stream"))
     for number in range(len(cuts) + 1):
