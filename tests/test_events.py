@@ -5,7 +5,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import events as E
-from tidemark.sources.sinks import export_events
+from tidemark.sources.event_files import export_events, read_event_files
 
 DEADLOCK = '<event name="xml_deadlock_report" timestamp="{0}"><data name="xml_report">{1}</data></event>'
 
@@ -49,8 +49,11 @@ def test_export_replaces_files_of_the_same_name(spark, recorded, tmp_path):
     named = E.event_file_names(E.extract_events(recorded), "srv", literal_clock=True)
     export_events(named.filter("event_id in (1, 5)"), path)
     export_events(named.filter("event_id <> 5"), path)
-    kept = spark.read.text(path)
-    assert rows(kept, "file_name", "value") == [
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.suffix == ".xdl") == [
+        "srv-deadlock-20240101-010203.xdl", "srv-deadlock-20240102-120000.xdl"
+    ]
+    kept = read_event_files(spark, path)
+    assert rows(kept, "file_name", "fragment") == [
         ("srv-deadlock-20240101-010203.xdl", "<deadlock id='c'/>"), ("srv-deadlock-20240102-120000.xdl", "<a>1</a><b/>")
     ]
 
@@ -65,6 +68,21 @@ def test_events_without_time_keep_a_file_each(spark, tmp_path):
     # Another event of the same second, exported later.
     later = spark.createDataFrame([(9, dt.datetime(2024, 1, 1), "d")], frame.schema)
     export_events(E.event_file_names(later, "srv", with_id=True), path)
-    assert rows(spark.read.text(path), "value") == [("a",), ("b",), ("c",), ("d",)]
+    assert rows(read_event_files(spark, path), "fragment") == [("a",), ("b",), ("c",), ("d",)]
     with pytest.raises(Exception, match="no file name"):
         export_events(frame.withColumn("file_name", F.lit(None).cast("string")), path)
+
+
+def test_a_failed_export_leaves_nothing(spark, tmp_path):
+    """Some tasks write their files before another fails; none of them shows, old files stay."""
+    path = tmp_path / "out"
+    schema = "event_id int, event_time timestamp, fragment string, file_name string"
+    good = [(i, dt.datetime(2024, 1, 1), f"<e{i}/>", f"e{i}.xdl") for i in range(40)]
+    export_events(spark.createDataFrame(good[:1], schema), str(path))
+    with pytest.raises(Exception, match="no file can be called"):
+        export_events(spark.createDataFrame([*[(i, t, "new", n) for i, t, _, n in good], (99, None, "", "a/b.xdl")], schema), str(path))
+    assert [p.name for p in path.iterdir() if not p.name.startswith(".")] == ["e0.xdl"]
+    assert (path / "e0.xdl").read_text() == "<e0/>" and not list(path.glob(".staged-*"))
+    export_events(spark.createDataFrame([(1, None, "", "empty.xdl"), (2, None, "é\n", "a b.xdl")], schema), str(path))
+    assert rows(read_event_files(spark, str(path))) == [("a b.xdl", "é\n"), ("e0.xdl", "<e0/>")]
+    assert (path / "empty.xdl").read_bytes() == b""

@@ -39,6 +39,24 @@ def missing_procedure(qualified: str) -> str:
     return f"specified procedure {qualified} does not exists in the schema"
 
 
+def missing_procedure_of(qualified: Column) -> Column:
+    return _text("specified procedure ", qualified, " does not exists in the schema")
+
+
+def too_long(column: str, longest: int) -> str:
+    return f"String or binary data would be truncated in column '{column}' of {longest} characters."
+
+
+def register_error_of(direction: str, schema: Column, application: Column, message: Column) -> Column:
+    """`register_error` with a key and a message per row."""
+    word = "upgrade" if direction == "up" else "downgrade"
+    empty = F.lit("")
+    return _text(
+        f"Error while registering {word} step in {REGISTER_ROUTINE[direction]} for \"", F.coalesce(application, empty),
+        '" application within [', F.coalesce(schema, empty), f"] schema. Error (severity={SEVERITY}): ", message,
+    )
+
+
 def register_error(direction: str, schema: str | None, application: str | None, message: str) -> str:
     word = "upgrade" if direction == "up" else "downgrade"
     return (

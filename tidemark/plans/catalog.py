@@ -19,6 +19,7 @@ from tidemark.functions.names import qualified_name as bracketed
 from tidemark.plans.deploy import deploy_run as publish, version_change
 from tidemark.plans.fixtures import Fixtures
 from tidemark.schemas import KEY, VERSION_TYPE
+from tidemark.sources.event_files import export_events as write_event_files, read_event_files
 from tidemark.sources.scratch import materialize, new_path
 from tidemark.sources.sinks import BatchLedger
 from tidemark.sources.state import StateStore
@@ -147,6 +148,24 @@ def register_steps_report(fx: Fixtures) -> DataFrame:
     return registry.register_steps(fx.step(), _batch(fx, 1, False), "up").report
 
 
+@query
+def register_batch(fx: Fixtures) -> DataFrame:
+    """A fleet's batch in which some keys break a rule each; keys asked for include some without steps."""
+    batch = _batch(fx, 1, True)
+    number = F.substring("schema_name", 2, 10).cast("int")
+    procedure = F.substring("procedure_name", 3, 20).cast("long")
+    broken = (
+        batch.withColumn("description", F.when((number % 7 == 1) & (procedure % 17 == 0), F.repeat("description", F.lit(20))).otherwise(F.col("description")))
+        .withColumn("version", F.when((number % 7 == 2) & (procedure % 13 == 0), F.lit(None)).otherwise(F.col("version")))
+        .withColumn("application_name", F.when((number % 7 == 3) & (procedure % 19 == 0), F.lit(None)).otherwise(F.col("application_name")))
+    )
+    twice = batch.filter((number % 7 == 4) & (procedure % 23 == 0))
+    catalog = fx.step().select("schema_name", "procedure_name").filter((number % 7 != 5) | (procedure % 29 != 0)).distinct()
+    asked = fx.target().select(*KEY)
+    made = registry.register_batch(fx.step(), broken.unionByName(twice), catalog, "up", asked)
+    return made.outcomes
+
+
 @query
 def merge_source_duplicates(fx: Fixtures) -> DataFrame:
     lines = fx.table("lineitem")
@@ -586,6 +605,15 @@ def event_file_names_with_id(fx: Fixtures) -> DataFrame:
     return named.select("event_id", "file_name")
 
 
+@query
+def export_events(fx: Fixtures) -> DataFrame:
+    """Written as files of their names, and read back by name."""
+    named = events.event_file_names(events.extract_events(fx.event_xml()), "(localdb)\\Projects")
+    folder = new_path(fx.spark, "events")
+    write_event_files(named, folder)
+    return read_event_files(fx.spark, folder)
+
+
 # ---- streams ----
 
 

@@ -212,6 +212,59 @@ def _batch(upgrade: int, some_schemas: bool) -> str:
         {own} and {place} % 10 = 7"""
 
 
+_NO = "cast(substr(schema_name, 2) as int)"
+_PROC = "cast(substr(procedure_name, 3) as bigint)"
+_REGISTER_BATCH = f"""
+    with given as ({_batch(1, True)}), batch as (
+      select schema_name, case when {_NO} % 7 = 3 and {_PROC} % 19 = 0 then null else application_name end as application_name
+           , case when {_NO} % 7 = 2 and {_PROC} % 13 = 0 then null else version end as version, sequence
+           , case when {_NO} % 7 = 1 and {_PROC} % 17 = 0 then repeat(description, 20) else description end as description, procedure_name
+      from given
+      union all select schema_name, application_name, version, sequence, description, procedure_name from given
+      where {_NO} % 7 = 4 and {_PROC} % 23 = 0
+    ), known as (
+      select distinct schema_name, procedure_name from fx_step where {_NO} % 7 <> 5 or {_PROC} % 29 <> 0
+    ), checked as (
+      select b.*, k.procedure_name is null as lacking, count(*) over (partition by b.schema_name, b.application_name, b.version
+               , b.sequence, b.procedure_name) > 1 and exists (select 1 from fx_step s where s.upgrade = 1 and s.schema_name = b.schema_name
+               and s.application_name = b.application_name and s.version = b.version and s.sequence = b.sequence
+               and s.procedure_name = b.procedure_name) as doubled
+      from batch b left join known k on k.schema_name = b.schema_name and k.procedure_name = b.procedure_name
+    ), per_key as (
+      select schema_name, application_name
+           , case when application_name is null then 'null argument value at @application_name is not expected'
+                  when bool_or(lacking) then concat('specified procedure ', min(case when lacking then concat(schema_name, '.', procedure_name) end), ' does not exists in the schema')
+                  when bool_or(version is null) then 'null argument value at @step.version is not expected'
+                  when max(length(description)) > 128 then 'String or binary data would be truncated in column ''description'' of 128 characters.'
+                  when bool_or(doubled) then 'the source holds more than one row for a matched merge key' end as reason
+      from checked group by 1, 2
+      union all
+      select schema_name, application_name, 'null argument value at @step is not expected' from fx_target t
+      where not exists (select 1 from batch b where b.schema_name = t.schema_name and b.application_name = t.application_name)
+    ), accepted as (
+      select b.* from batch b join per_key p on p.reason is null and p.schema_name = b.schema_name and p.application_name = b.application_name
+    ), held as (
+      select s.schema_name, s.application_name, b.schema_name is not null as here
+      from (select * from fx_step where upgrade = 1) s left join accepted b on b.schema_name = s.schema_name and b.application_name = s.application_name
+       and b.version = s.version and b.sequence = s.sequence and b.procedure_name = s.procedure_name
+    ), acts as (
+      select schema_name, application_name, count(*) filter (where here) as updated, count(*) filter (where not here) as deleted, 0 as inserted
+      from held group by 1, 2
+      union all
+      select schema_name, application_name, 0, 0, count(*) from accepted b
+      where not exists (select 1 from fx_step s where s.upgrade = 1 and s.schema_name = b.schema_name and s.application_name = b.application_name
+        and s.version = b.version and s.sequence = b.sequence and s.procedure_name = b.procedure_name) group by 1, 2
+    )
+    select p.schema_name, p.application_name, case when reason is null then 'accepted' else 'refused' end as outcome
+         , case when reason is not null then concat('Error while registering upgrade step in register_upgrade_step for "', coalesce(p.application_name, '')
+                , '" application within [', p.schema_name, '] schema. Error (severity=16): ', reason) end as message
+         , cast(case when reason is null then coalesce(sum(a.inserted), 0) else 0 end as bigint) as inserted
+         , cast(case when reason is null then coalesce(sum(a.updated), 0) else 0 end as bigint) as updated
+         , cast(case when reason is null then coalesce(sum(a.deleted), 0) else 0 end as bigint) as deleted
+    from per_key p left join acts a on a.schema_name = p.schema_name and a.application_name = p.application_name
+    group by p.schema_name, p.application_name, reason"""
+
+
 _MERGE = "schema_name, application_name, version, sequence, procedure_name"
 
 
@@ -460,6 +513,7 @@ ORACLES: dict[str, str] = {
         where not exists (select 1 from orders o where o.o_orderkey % 11 <> 0
           and {_SCHEMA.format('o.o_custkey', 30)} = s.schema_name and concat('p_', cast(o.o_orderkey as varchar)) = s.procedure_name)"""),
     "register_upgrade_steps": _register(1, True, False),
+    "register_batch": _sql(f"select * from ({_REGISTER_BATCH}) q"),
     "register_downgrade_steps": _register(0, True, False),
     "register_upgrade_steps_all_keys": _register(1, True, True),
     "register_steps_report": _sql(f"""
@@ -610,6 +664,11 @@ ORACLES: dict[str, str] = {
         select event_id, concat('localdb-Projects-deadlock-', stamp, case when copy = 1 then '' else concat('-', cast(copy as varchar)) end, '.xdl') as file_name
         from (select *, row_number() over (partition by stamp order by event_id) as copy
               from (select *, strftime(event_time, '%Y%m%d-%H%M%S') as stamp from deadlocks))"""),
+    "export_events": _sql("""
+        select concat('localdb-Projects-deadlock-', stamp, case when copy = 1 then '' else concat('-', cast(copy as varchar)) end, '.xdl') as file_name
+             , fragment
+        from (select *, row_number() over (partition by stamp order by event_id) as copy
+              from (select *, strftime(event_time, '%Y%m%d-%H%M%S') as stamp from deadlocks))"""),
     "event_file_names_literal_clock": _sql("""
         select event_id, concat('localdb-Projects-deadlock-', strftime(event_time, '%Y%m%d-%I%M%S'), '.xdl') as file_name from deadlocks"""),
     "event_file_names_with_id": _sql("""

@@ -50,25 +50,6 @@ def write_plan_reports(plan: DataFrame, summary_path: str, details_path: str) ->
         )
 
 
-def export_events(named: DataFrame, directory: str) -> None:
-    """One file per event under `file_name=<name>/`, replacing what bore that name.
-
-    Of events that share a name the latest is kept, as a later write would
-    replace an earlier one. An event without a name fails the export.
-    """
-    name = F.coalesce("file_name", F.raise_error("an event has no file name"))
-    latest = named.withColumn("file_name", name).groupBy("file_name").agg(
-        F.max_by("fragment", F.struct("event_time", "event_id")).alias("fragment")
-    )
-    (
-        latest.select("fragment", "file_name")
-        .write.option("partitionOverwriteMode", "dynamic")
-        .partitionBy("file_name")
-        .mode("overwrite")
-        .text(directory)
-    )
-
-
 class BatchLedger:
     """Finished batches of one target and run, so a failed run can go on."""
 
