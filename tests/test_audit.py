@@ -82,3 +82,23 @@ def test_append_goes_on_from_the_largest_id(spark, tmp_path):
     log = spark.read.parquet(path)
     assert rows(log, "id", "session_id", "message") == [(0, 4, "a"), (1, 4, "b"), (2, 5, "c")]
     assert log.filter("when is null or user_login is null or user_identity is null").count() == 0
+
+
+def test_two_writers_get_ids_of_their_own(spark, tmp_path, monkeypatch):
+    """Both start from one base; the second starts while the first is about to reserve."""
+    path = str(tmp_path / "log")
+    events = spark.createDataFrame([("here", c) for c in "abc"], "from string, message string")
+    A.append_audit(events, path, ["message"])
+    real, raced = A.audit_rows, []
+
+    def audit_rows(*given):
+        if not raced:
+            raced.append(True)
+            A.append_audit(events.limit(2), path, ["message"], session_id=2)
+        return real(*given)
+
+    monkeypatch.setattr(A, "audit_rows", audit_rows)
+    A.append_audit(events, path, ["message"], session_id=1)
+    got = spark.read.parquet(path)
+    assert sorted(r["id"] for r in got.collect()) == list(range(8))
+    assert rows(got.filter("session_id = 2"), "id") == [(3,), (4,)]

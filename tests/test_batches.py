@@ -2,6 +2,7 @@ import pytest
 from helpers import rows
 
 from tidemark.operators import batches as B
+from tidemark.sources import sinks
 from tidemark.sources.sinks import BatchLedger
 
 SCHEMA = "step_no long, step_type string, external_parts array<string>, name_parts array<string>, category string, batch_count int"
@@ -57,6 +58,22 @@ def test_interrupted_run_resumes(spark, plan, tmp_path):
     assert not (tmp_path / "__completedBatches_db_r1").exists()
 
 
+def test_two_writers_record_a_batch_once(spark, plan, tmp_path, monkeypatch):
+    batches = B.number_batches(plan)
+    one, two = (BatchLedger(spark, str(tmp_path), "db", "r1") for _ in range(2))
+    real, raced = sinks.record_batches, []
+
+    def record_batches(*given):
+        if not raced:
+            raced.append(True)
+            two.record(batches.filter("batch_id in (1, 2)"))
+        return real(*given)
+
+    monkeypatch.setattr(sinks, "record_batches", record_batches)
+    one.record(batches.filter("batch_id < 2"))
+    assert rows(one.read(), "batch_id") == [(0,), (1,), (2,)]
+
+
 def test_lookups(plan):
     assert rows(B.steps_of_type(plan, "CreateElementStep"), "step_no") == [(1,), (3,), (9,)]
     assert rows(B.first_of_type(plan, "CreateElementStep"), "step_no") == [(1,)]

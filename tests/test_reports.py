@@ -1,3 +1,5 @@
+from xml.etree import ElementTree
+
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -92,8 +94,10 @@ def test_qualified_name(spark):
 def test_xml_sinks(spark, tmp_path, elements):
     path = str(tmp_path / "stats")
     write_statistics_xml(R.statistics_report(R.summarize(elements, "kind", "My Elements")), path)
-    back = spark.read.format("xml").option("rowTag", "Statistic").load(path)
-    assert ("MyElements", "total_items", 3) in rows(back, "_category", "_name", "_VALUE")
+    back = spark.read.format("xml").option("rowTag", "MyElements").load(path)
+    assert (3, 1, 2) in rows(back, "total_items", "Table", "View")
+    document = spark.read.text(path, wholetext=True).first()[0]
+    assert [x.tag for x in ElementTree.fromstring(document.split("?>")[1])] == ["MyElements"]
     summary, details = str(tmp_path / "s"), str(tmp_path / "d")
     write_plan_reports(_plan(spark), summary, details)
     back = spark.read.format("xml").option("rowTag", "Operation").load(details)

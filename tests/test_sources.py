@@ -5,10 +5,11 @@ from helpers import rows
 from pyspark.sql import functions as F
 from scenario import KEYED, scenario_steps, versions_frame
 
+from tidemark.operators.audit import audit_runs
 from tidemark.operators.reconcile import Unit
 from tidemark.plans.deploy import PublishError, commit_publish, deploy_run
 from tidemark.sources import scratch
-from tidemark.sources.state import StateStore
+from tidemark.sources.state import StateConflict, StateStore
 from tidemark.sources.units import read_bundle, read_static_units, write_bundle
 
 
@@ -76,7 +77,11 @@ def test_publish(spark, tmp_path):
     # Down to 1.0 and up again in one publish, as on every redeploy.
     second = deploy_run(store.read("step"), store.read("version"), _texts(spark, "1.0"), _texts(spark, "2.1"), weight_base=10000)
     assert second.downgrade.outcomes.count() == 15 and second.upgrade.outcomes.count() == 21
-    commit_publish(store, second)
+    commit_publish(store, second, str(tmp_path / "audit"), session_id=1)
+    runs = audit_runs(spark.read.parquet(str(tmp_path / "audit")))
+    assert rows(runs, "session_id", "from_version", "to_version", "steps_run", "outcome") == [
+        (0, D(0), D(20000), 20, "completed"), (1, D(10000), D(20001), 21, "completed"), (1, D(20000), D(10000), 15, "completed")
+    ]
     assert rows(store.read("version"), "version") == [(D(20001),)]
     assert store.read("step").filter("completed = 1 and upgrade = 1").count() == 26
 
@@ -98,3 +103,18 @@ def test_publish_base_differs_from_the_default(spark):
     publish = deploy_run(scenario_steps(spark), versions_frame(spark), _texts(spark, "NULL"), _texts(spark, "1.0"))
     assert publish.upgrade.outcomes.count() == 0
     assert rows(publish.versions, "version") == [(D(1000),)]
+
+
+def test_a_publish_from_an_old_state_is_refused(spark, tmp_path):
+    store, other = (StateStore(spark, str(tmp_path / "state")) for _ in range(2))
+    store.commit({"step": scenario_steps(spark), "version": versions_frame(spark)})
+    mine, theirs = (
+        deploy_run(s.read("step"), s.read("version"), _texts(spark, "NULL"), _texts(spark, to), weight_base=10000)
+        for s, to in ((store, "2.0"), (other, "2.1"))
+    )
+    commit_publish(store, mine)
+    with pytest.raises(StateConflict):
+        commit_publish(other, theirs, str(tmp_path / "audit"))
+    assert rows(other.read("version"), "version") == [(D(20000),)]
+    # What the refused publish did is on record.
+    assert spark.read.parquet(str(tmp_path / "audit")).count() > 0

@@ -11,6 +11,8 @@ from tidemark.operators.ordered import running_total
 from tidemark.operators.registry import assign_identity, fill_defaults
 from tidemark.schemas import AUDIT_EVENT, AUDIT_SEED, KEY
 from tidemark.sources.files import exists
+from tidemark.sources.scratch import materialize
+from tidemark.sources.state import StateStore
 
 
 def audit_rows(
@@ -39,12 +41,18 @@ def append_audit(
 ) -> None:
     """Appends events to the audit log at `path`, ids going on from its largest.
 
-    The log is its own sink: rows of a failed change stay.
+    The log is its own sink: rows of a failed change stay. The ids are reserved first,
+    by a commit that one of several writers wins, so writers that append at the same
+    time get blocks of their own; a block that a failed append reserved is not used again.
     """
     spark = events.sparkSession
-    existing = spark.read.schema(AUDIT_EVENT).parquet(path) if exists(spark, path) else None
-    rows = audit_rows(events, order, session_id, existing)
-    rows.write.mode("append").parquet(path)
+    largest = None
+    if exists(spark, path):
+        largest = spark.read.schema(AUDIT_EVENT).parquet(path).agg(F.max("id")).first()[0]
+    rows = materialize(audit_rows(events, order, session_id), "audit")
+    counter = StateStore(spark, f"{path.rstrip('/')}/_reserved", keep=2)
+    first = counter.reserve("id", rows.count(), AUDIT_SEED if largest is None else largest + 1)
+    rows.withColumn("id", (F.col("id") - AUDIT_SEED + first).cast("long")).write.mode("append").parquet(path)
 
 
 def _line(position: Column, routine: str, message: Column) -> Column:

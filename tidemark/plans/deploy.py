@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import versions as V
 from tidemark.functions.names import fold_names, unfold_names
-from tidemark.operators.audit import audit_trace
+from tidemark.operators.audit import append_audit, audit_trace
 from tidemark.operators.changes import (
     advance_version,
     apply_change,
@@ -120,14 +120,17 @@ def require_success(publish: Publish) -> None:
         )
 
 
-def commit_publish(store: StateStore, publish: Publish, audit_path: str | None = None) -> int:
+def commit_publish(store: StateStore, publish: Publish, audit_path: str | None = None, session_id: int = 0) -> int:
     """Switch every table of a successful publish at once.
 
-    The trace is written first and stays when the publish is refused.
+    The trace goes to the audit log first and stays when the publish is refused, by a
+    failed step or because another writer changed the tables meanwhile. Runs of one log
+    are told apart by `session_id`.
     """
     if audit_path is not None:
-        for part, change in (("downgrade", publish.downgrade), ("upgrade", publish.upgrade)):
-            trace = change_trace(change).withColumn("part", F.lit(part))
-            trace.write.mode("append").parquet(audit_path)
+        traces = [
+            change_trace(change).withColumn("_part", F.lit(part)) for part, change in enumerate((publish.downgrade, publish.upgrade))
+        ]
+        append_audit(traces[0].unionByName(traces[1]), audit_path, ["_part", *KEY, "position"], session_id)
     require_success(publish)
     return store.commit({"step": publish.steps, "version": publish.versions, **publish.tables})
