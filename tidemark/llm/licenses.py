@@ -5,7 +5,9 @@ the places of the same k-grams in known notices. A match at word i of a text and
 word j of a notice votes for the diagonal i - j. One diagonal with a vote for every
 k-gram of the notice is a verbatim place. Votes of neighbouring diagonals, which
 differ by a few words put in or left out, are merged, and the merged spans are
-verified by the share of the notice's k-grams they cover and by their length.
+verified by the share of the notice's k-grams they cover and by their length. Texts
+are read once: each also votes for a notice that does not exist, which brings its id
+and its number of words along.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ NOTICES = [
 GRAM = 3
 # Words put in or left out between two votes of one span.
 DRIFT = 2
+# A k-gram of this no-word stands once in every text, so that each text comes through
+# the votes, with or without a license, and the texts are read once.
+NO_WORD, NO_TEMPLATE = "\0", -1
 # Share of a notice's k-grams a span must cover, and its length in notices.
 COVER = 0.6
 LONGEST = 1.5
@@ -50,6 +55,7 @@ def template_grams(spark: SparkSession, width: int) -> DataFrame:
         words = phrase.split()
         places = len(words) - width + 1
         rows += [(number, label, base, places, len(words), words[i : i + width], i) for i in range(places)]
+    rows.append((NO_TEMPLATE, None, False, 1, width, [NO_WORD] * width, 0))
     table = spark.createDataFrame(
         rows, "template int, label string, base boolean, places int, length int, words array<string>, place int"
     )
@@ -58,12 +64,14 @@ def template_grams(spark: SparkSession, width: int) -> DataFrame:
 
 
 def license_votes(docs: DataFrame, width: int = GRAM) -> DataFrame:
-    """Votes (doc, template, ..., place, at) of `docs(doc, words)`: k-grams that are equal word by word."""
+    """Votes (doc, template, ..., place, at) of `docs(doc, words)`: k-grams that are equal word by word.
+
+    Every text also has one vote for `NO_TEMPLATE`. `doc` may be a struct.
+    """
     count = F.greatest(F.size("words") - (width - 1), F.lit(0))
-    zipped = F.arrays_zip(*[F.slice("words", F.lit(i + 1), count) for i in range(width)])
-    rolled = docs.select("doc", F.posexplode(zipped).alias("at", "g")).select(
-        "doc", "at", *[F.col("g")[str(i)].alias(f"d{i}") for i in range(width)]
-    )
+    grams = [F.slice("words", F.lit(i + 1), count) for i in range(width)]
+    zipped = F.arrays_zip(*[F.concat(g, F.array(F.lit(NO_WORD))).alias(f"d{i}") for i, g in enumerate(grams)])
+    rolled = docs.select("doc", F.posexplode(zipped).alias("at", "g")).select("doc", "at", "g.*")
     hashed = rolled.withColumn("gram", F.xxhash64(*[f"d{i}" for i in range(width)]))
     known = template_grams(docs.sparkSession, width)
     # The notices are a fixed list in this module, so this side has a fixed size.
@@ -124,9 +132,11 @@ def scan_licenses(docs: DataFrame, width: int = GRAM) -> DataFrame:
     lowered = F.translate(
         F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     )
-    words = F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
-    read = docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", words.alias("words"))
-    spans = license_spans(license_votes(read.select("doc", "words"), width))
+    read = docs.select("doc_id", F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)).alias("words")).select(
+        F.struct(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words")).alias("doc"),
+        "words",
+    )
+    spans = license_spans(license_votes(read, width))
     verbatim = F.col("base") & F.col("verbatim")
     found = spans.groupBy("doc").agg(
         F.count(F.when(verbatim, 1)).alias("n_base"),
@@ -134,15 +144,15 @@ def scan_licenses(docs: DataFrame, width: int = GRAM) -> DataFrame:
         F.max(F.when(verbatim, F.col("first_word"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(verbatim, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("score").alias("score"),
+        F.max(F.when(F.col("template") != NO_TEMPLATE, F.col("score"))).alias("score"),
     )
-    return read.select("doc", "doc_id", F.size("words").cast("long").alias("n_words")).join(found, "doc", "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_base", F.lit(0)).alias("n_base"),
+    return found.select(
+        "doc.doc_id",
+        "doc.n_words",
+        "n_base",
         "first_word",
         "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-        F.coalesce("labels", F.lit("")).alias("labels"),
+        "base_labels",
+        "labels",
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
