@@ -23,6 +23,8 @@ from tidemark.sources.event_files import export_events as write_event_files, rea
 from tidemark.sources.scratch import materialize, new_path
 from tidemark.sources.sinks import BatchLedger
 from tidemark.sources.state import StateStore
+from tidemark.operators.unit_sync import reconcile_units
+from tidemark.sources.unit_data import UnitFile, read_unit_rows, write_manifest
 from tidemark.sources.units import read_bundle, write_bundle
 from tidemark.streaming.audit import stream_audit as start_audit
 from tidemark.streaming.version_changes import KEYS as CHANGE_KEYS, stream_version_changes as start_changes
@@ -333,6 +335,37 @@ def reconcile_many(fx: Fixtures) -> DataFrame:
     return report
 
 
+@query
+def reconcile_unit_files(fx: Fixtures) -> DataFrame:
+    """Unit files and their manifest are written, read back and applied; two units share a target."""
+    supplier = fx.table("supplier").select(*_SUPPLIER)
+    last, key = F.col("s_suppkey") % 10, F.col("c_custkey") % 10
+    segments = fx.static_src().filter(key != 1).select(
+        "c_custkey", F.when(key == 7, F.lit("THIRD")).otherwise(F.col("c_mktsegment")).alias("c_mktsegment")
+    )
+    contents = {
+        UnitFile("010 customer.data.sql", "customer", ("c_custkey",), tuple(_CUSTOMER)): fx.static_src(),
+        UnitFile("020+supplier.DATA.sql", "supplier", ("s_name",), tuple(_SUPPLIER), ("s_suppkey",)): supplier.filter(last != 3)
+        .withColumn("s_nationkey", F.when(last == 5, F.lit(None)).otherwise(F.col("s_nationkey")))
+        .withColumn("s_suppkey", F.col("s_suppkey") + 500000),
+        UnitFile("030_segments.data.sql", "customer", ("c_custkey",), ("c_custkey", "c_mktsegment")): segments,
+    }
+    folder = new_path(fx.spark, "units")
+    for unit, rows in contents.items():
+        rows.select(F.to_json(F.struct(*rows.columns))).write.text(f"{folder}/{unit.file_name}")
+    write_manifest(fx.spark, folder, list(contents))
+    units, lines = read_unit_rows(fx.spark, folder)
+    report = reconcile_units({"customer": _customers(fx), "supplier": supplier}, units, lines).report
+    names = F.map_keys(F.coalesce("new", "previous"))
+    return report.select(
+        "unit_no", "file_name", "action", "table_name", F.array_join("row_key", ",").alias("row_key"),
+        F.explode(names).alias("column_name"), "new", "previous",
+    ).select(
+        "unit_no", "file_name", "action", "table_name", "row_key", "column_name",
+        F.col("new")[F.col("column_name")].alias("value"), F.col("previous")[F.col("column_name")].alias("previous_value"),
+    )
+
+
 @query
 def bundle_round_trip(fx: Fixtures) -> DataFrame:
     units = fx.table("documents").select(

@@ -595,6 +595,37 @@ ORACLES: dict[str, str] = {
              , case when s_suppkey % 10 = 5 then s_name end as s_name, s_name as previous_s_name
              , cast(null as int) as s_nationkey, s_nationkey as previous_s_nationkey, 2 as unit_no
         from supplier where s_suppkey % 10 in (3, 5)"""),
+    "reconcile_unit_files": _sql("""
+        select * from (with second as (
+            select s_name, s_suppkey, s_nationkey, s_suppkey % 10 = 3 as gone from supplier where s_suppkey % 10 = 3
+               or (s_suppkey % 10 = 5 and s_nationkey is not null))
+           , third as (
+            select cast(c_custkey as varchar) as row_key, c_mktsegment, c_custkey % 10 = 1 as gone from fx_static_src
+            where c_custkey % 10 = 1 or (c_custkey % 10 = 7 and c_mktsegment is distinct from 'THIRD'))
+           , first as (
+            select action, cast(coalesce(c_custkey, previous_c_custkey) as varchar) as row_key, unnest([
+                     {'c': 'c_custkey', 'v': cast(c_custkey as varchar), 'p': cast(previous_c_custkey as varchar)},
+                     {'c': 'c_name', 'v': c_name, 'p': previous_c_name},
+                     {'c': 'c_nationkey', 'v': cast(c_nationkey as varchar), 'p': cast(previous_c_nationkey as varchar)},
+                     {'c': 'c_mktsegment', 'v': c_mktsegment, 'p': previous_c_mktsegment}]) as x
+            from report)
+           , later as (
+            select 2 as unit_no, '020+supplier.DATA.sql' as file_name, 'supplier' as table_name, s_name as row_key, gone, unnest([
+                     {'c': 's_suppkey', 'v': cast(s_suppkey as varchar), 'p': cast(s_suppkey as varchar)},
+                     {'c': 's_name', 'v': s_name, 'p': s_name},
+                     {'c': 's_nationkey', 'v': cast(null as varchar), 'p': cast(s_nationkey as varchar)}]) as x
+            from second
+            union all
+            select 3, '030_segments.data.sql', 'customer', row_key, gone, unnest([
+                     {'c': 'c_custkey', 'v': row_key, 'p': row_key}, {'c': 'c_mktsegment', 'v': 'THIRD', 'p': c_mktsegment}])
+            from third)
+        select 1 as unit_no, '010 customer.data.sql' as file_name, action, 'customer' as table_name, row_key
+             , x.c as column_name, x.v as value, x.p as previous_value
+        from first
+        union all
+        select unit_no, file_name, case when gone then 'DELETE' else 'UPDATE' end, table_name, row_key
+             , x.c, case when not gone then x.v end, x.p
+        from later)"""),
     "bundle_round_trip": """
         select doc_id as position, concat(lang, '-', cast(doc_id as varchar), '.data.sql') as file_name, text as content from documents""",
     "append_audit": """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -31,6 +33,23 @@ def names_below(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path))
 
 
+def named_below(spark: SparkSession, path: str, wanted: Callable[[str], bool]) -> list[str]:
+    """Names of files and folders below `path` that are wanted, empty ones too, sorted.
+
+    It does not look into a wanted folder, nor at hidden ones.
+    """
+    waiting, found = [path], []
+    while waiting:
+        hadoop_path, fs = file_system(spark, waiting.pop())
+        for status in fs.listStatus(hadoop_path):
+            name = status.getPath().getName()
+            if wanted(name):
+                found.append(name)
+            elif status.isDirectory() and not name.startswith((".", "_")):
+                waiting.append(status.getPath().toString())
+    return sorted(found)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     hadoop_path, fs = file_system(spark, path)
     stream = fs.create(hadoop_path, True)
