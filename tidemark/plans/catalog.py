@@ -16,6 +16,7 @@ from tidemark.operators import (
     access, audit, batches, changes, events, integrity, reconcile as rec, registry, replay, reports, versions as ver,
 )
 from tidemark.functions.names import qualified_name as bracketed
+from tidemark.plans.bucket_sync import keep_table, sync_table
 from tidemark.plans.deploy import deploy_run as publish, version_change
 from tidemark.plans.fixtures import Fixtures
 from tidemark.schemas import KEY, VERSION_TYPE
@@ -366,6 +367,21 @@ def reconcile_unit_files(fx: Fixtures) -> DataFrame:
     )
 
 
+@query
+def reconcile_buckets(fx: Fixtures) -> DataFrame:
+    """A kept table is brought in line twice; the second source changes few buckets."""
+    store = StateStore(fx.spark, new_path(fx.spark, "kept"), buckets=64)
+    keep_table(store, "customer", _customers(fx), ["c_custkey"])
+    few = F.col("c_custkey") % 997 == 5
+    reports = []
+    for number, src in enumerate(
+        (fx.static_src(), fx.static_src().withColumn("c_mktsegment", F.when(few, "FEW").otherwise(F.col("c_mktsegment")))), start=1
+    ):
+        synced = sync_table(store, "customer", src, new_path(fx.spark, "report"))
+        reports.append(synced.report.withColumn("pass", F.lit(number)))
+    return reports[0].unionByName(reports[1])
+
+
 @query
 def bundle_round_trip(fx: Fixtures) -> DataFrame:
     units = fx.table("documents").select(

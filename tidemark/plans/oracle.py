@@ -626,6 +626,12 @@ ORACLES: dict[str, str] = {
         select unit_no, file_name, case when gone then 'DELETE' else 'UPDATE' end, table_name, row_key
              , x.c, case when not gone then x.v end, x.p
         from later)"""),
+    "reconcile_buckets": _sql("""
+        select *, 1 as pass from report
+        union all by name
+        select 'UPDATE' as action, 'customer' as table_name, c_custkey, c_custkey as previous_c_custkey, c_name, c_name as previous_c_name
+             , c_nationkey, c_nationkey as previous_c_nationkey, 'FEW' as c_mktsegment, c_mktsegment as previous_c_mktsegment, 2 as pass
+        from fx_static_src where c_custkey % 997 = 5 and c_mktsegment is distinct from 'FEW'"""),
     "bundle_round_trip": """
         select doc_id as position, concat(lang, '-', cast(doc_id as varchar), '.data.sql') as file_name, text as content from documents""",
     "append_audit": """
