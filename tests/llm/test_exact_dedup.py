@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tidemark.llm.exact_dedup import _chunks, exact_groups, without_copies
+from tidemark.llm.exact_dedup import _again, _chunks, _colliding, _recipes, exact_groups, without_copies
 
 WHITE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -36,6 +36,24 @@ def test_digests_that_collide(spark, digest_bytes):
     _check(spark.createDataFrame(rows, "doc_id long, text string"), digest_bytes=digest_bytes)
 
 
+# A filter of few bits lets all bytes through; the groups are the same.
+@pytest.mark.parametrize("filter_bits", [1, 9, 1 << 15, 1 << 27])
+def test_filters_of_any_size(spark, filter_bits):
+    rows = [(i, f"text number {i % 250}") for i in range(400)]
+    _check(spark.createDataFrame(rows, "doc_id long, text string"), digest_bytes=2, filter_bits=filter_bits)
+
+
+def test_bytes_move_only_for_digests_that_occur_again(spark, tmp_path):
+    """Texts without copies send none to be verified, and a common one sends one row a task."""
+    alone = spark.createDataFrame([(i, f"text number {i}") for i in range(500)], "row long, text string")
+    copies = spark.createDataFrame([(500 + i, "the same text") for i in range(500)], "row long, text string")
+    for docs, parts in ((alone, 0), (alone.unionByName(copies).repartition(4), 1)):
+        numbered = docs.withColumn("doc_id", docs.row)
+        recipes = _recipes(numbered, 16)
+        assert _again(recipes, 16, 1 << 27).count() == parts
+        assert _colliding(numbered, recipes, 16, 1 << 27).count() == 0
+
+
 def test_odd_documents(spark, odd_documents, tmp_path):
     _check(odd_documents)
     odd_documents.write.parquet(str(tmp_path / "docs"))

@@ -2,10 +2,11 @@
 
 A text is cut where a rolling hash of its last bytes says so, which depends on the
 content only; equal texts therefore have equal chunks. Chunks get identifiers: a
-digest, and an ordinal that tells different chunks of one digest apart. Their bytes
-are moved once, one row per digest and task, to verify that a digest has one
-content. A document is then its recipe, the ordered list of its chunk identifiers;
-texts are equal when their recipes are, and only recipes are compared.
+digest, and an ordinal that tells different chunks of one digest apart. A document is
+its recipe, the ordered list of its chunk identifiers; texts are equal when their
+recipes are, and only recipes are compared. Digests are counted first: one that occurs
+once has one content, and its bytes stay where they are. The bytes of the others are
+moved once, one row per digest and batch, to verify that a digest has one content.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ WINDOW = 16
 MEAN_BITS = 11
 MOST = 1 << 16
 
+# Bits of the filter that says which digests occur again; a broadcast of an eighth as many
+# bytes, at most. A bit that two digests share sends bytes to be verified for nothing,
+# never too few: with n digests that occur again, about n / FILTER_BITS of the others.
+FILTER_BITS = 1 << 27
+
 
 def _places(data: np.ndarray) -> np.ndarray:
     """Ends of chunks of one text, the last one being its length."""
@@ -129,15 +135,41 @@ def _occurrence_rows(size: int):
     return run
 
 
-def _several(numbered: DataFrame, size: int) -> DataFrame:
-    """(digest, chunk, ordinal) of all but the first content of digests with several."""
-    distinct = numbered.select("text").mapInArrow(_chunk_rows(size), "digest binary, chunk binary")
-    same = W.partitionBy("digest").orderBy("chunk")
-    # Sorted by digest and bytes, neighbours tell whether a digest has one content.
-    ordinal = F.dense_rank().over(same)
-    return materialize(
-        distinct.withColumn("ordinal", ordinal).filter("ordinal > 1").select("digest", "chunk", "ordinal").distinct(), "ordinals"
+def _again(recipes: DataFrame, size: int, bits: int) -> DataFrame:
+    """(part, bitmap) of the filter: bits of all digests that occur more than once."""
+    digests = F.expr(f"transform(sequence(0, length(recipe) div {size} - 1), i -> substring(recipe, cast(i * {size} + 1 as int), {size}))")
+    counted = recipes.select(F.explode(digests).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    placed = counted.filter("n > 1").select(*_bit(bits)).distinct()
+    return placed.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def _bit(bits: int) -> list[Column]:
+    """Part of the filter that a digest's bit is in, and its place there."""
+    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    return [F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")]
+
+
+def _colliding(numbered: DataFrame, recipes: DataFrame, size: int, bits: int) -> DataFrame:
+    """Digests with several contents, by the bytes of all chunks whose digest occurs again."""
+    chunks = numbered.select("text").mapInArrow(_chunk_rows(size), "digest binary, chunk binary")
+    octet = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    part, bit = _bit(bits)
+    # The filter has `bits` bits at most, so its size is bounded whatever the input.
+    again = (
+        chunks.withColumns({"part": part, "bit": bit}).join(F.broadcast(_again(recipes, size, bits)), "part")
+        .filter(octet.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
     )
+    # Least and greatest bytes meet on the map side, one row per digest and task.
+    ends = again.groupBy("digest").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
+    return materialize(ends.filter("least <> greatest").select("digest"), "colliding")
+
+
+def _several(numbered: DataFrame, colliding: DataFrame, size: int) -> DataFrame:
+    """(digest, chunk, ordinal) of all but the first content of digests with several."""
+    chunks = numbered.select("text").mapInArrow(_chunk_rows(size), "digest binary, chunk binary")
+    contents = chunks.join(colliding, "digest", "left_semi").distinct()
+    ordinal = F.row_number().over(W.partitionBy("digest").orderBy("chunk"))
+    return materialize(contents.withColumn("ordinal", ordinal).filter("ordinal > 1"), "ordinals")
 
 
 def _marked(numbered: DataFrame, recipes: DataFrame, several: DataFrame, size: int) -> DataFrame:
@@ -157,7 +189,7 @@ def _marked(numbered: DataFrame, recipes: DataFrame, several: DataFrame, size: i
     ).drop("suffix")
 
 
-def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, digest_bytes: int = 16, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(row, doc_id, n_chars, text_sha256, keep_id, group_size, kept) of every row of `docs(doc_id, text)`.
 
     Texts are equal when they are after deleting white space; NULL counts as empty.
@@ -165,25 +197,27 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     doc_id (rows without one last), then the first read. `row` numbers the rows as
     read. An empty table gives an empty result; other columns are ignored.
     """
-    return _groups(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), digest_bytes, written=False)
+    return _groups(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), digest_bytes, filter_bits, written=False)
 
 
-def _groups(numbered: DataFrame, digest_bytes: int, written: bool) -> DataFrame:
-    """`exact_groups` of rows with a number; `written` tells that each scan finds the same numbers."""
-    numbered = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    several = _several(numbered, digest_bytes)
-    collide = not several.isEmpty()
-    # Numbers follow the split of a scan; rows read twice by number are written first.
-    if collide and not written:
-        numbered = materialize(numbered, "numbered")
-    recipes = materialize(
-        numbered.mapInArrow(
-            _recipe_rows(digest_bytes), "row long, doc_id long, n_chars long, text_sha256 string, recipe binary"
-        ),
+def _recipes(numbered: DataFrame, size: int) -> DataFrame:
+    return materialize(
+        numbered.mapInArrow(_recipe_rows(size), "row long, doc_id long, n_chars long, text_sha256 string, recipe binary"),
         "recipes",
     )
-    if collide:
-        recipes = _marked(numbered, recipes, several, digest_bytes)
+
+
+def _groups(numbered: DataFrame, digest_bytes: int, filter_bits: int, written: bool) -> DataFrame:
+    """`exact_groups` of rows with a number; `written` tells that each scan finds the same numbers."""
+    numbered = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    recipes = _recipes(numbered, digest_bytes)
+    colliding = _colliding(numbered, recipes, digest_bytes, filter_bits)
+    if not colliding.isEmpty():
+        if not written:
+            # Numbers follow the split of a scan; rows read twice by number are written first.
+            numbered = materialize(numbered, "numbered")
+            recipes = _recipes(numbered, digest_bytes)
+        recipes = _marked(numbered, recipes, _several(numbered, colliding, digest_bytes), digest_bytes)
     rank = F.struct(
         (-F.col("n_chars")).alias("longest"), F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row")
     )
@@ -197,10 +231,10 @@ def _groups(numbered: DataFrame, digest_bytes: int, written: bool) -> DataFrame:
     )
 
 
-def without_copies(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
+def without_copies(docs: DataFrame, digest_bytes: int = 16, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The kept rows of `docs`, with all their columns, whatever these are called."""
     number = free_name(docs, "_row")
     numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    groups = _groups(numbered.select(F.col(number).alias("row"), "doc_id", "text"), digest_bytes, written=True)
+    groups = _groups(numbered.select(F.col(number).alias("row"), "doc_id", "text"), digest_bytes, filter_bits, written=True)
     kept = groups.filter("kept").select(F.col("row").alias(number))
     return numbered.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
