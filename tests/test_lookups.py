@@ -66,3 +66,16 @@ def test_keys_of_different_width_meet(spark):
     left = spark.createDataFrame([(1, "x")], "k int, n string")
     right = spark.createDataFrame([(1, "y")], "k long, m string")
     assert rows(lookup(left, right, ["k"]), "n", "m") == [("x", "y")]
+
+
+def test_a_side_that_grows_is_not_broadcast_for_its_small_files(spark, tmp_path):
+    """200,000 rows with decimals fit in small files of repeated values, yet take many times that in the driver."""
+    path = str(tmp_path / "side")
+    spark.range(200_000).select(
+        F.lit("s1").alias("k"), (F.col("id") % 7).cast("decimal(38,0)").alias("v"), F.lit("x" * 100).alias("m")
+    ).write.parquet(path)
+    left, right = spark.read.parquet(path).withColumnRenamed("m", "n"), spark.read.parquet(path).distinct()
+    plan = {grows: lookup(left, right, ["k", "v"], "inner", grows=grows) for grows in (False, True)}
+    text = {grows: df._jdf.queryExecution().executedPlan().toString() for grows, df in plan.items()}
+    assert "BroadcastExchange" in text[False] and "BroadcastExchange" not in text[True]
+    assert plan[True].count() == 200_000

@@ -86,6 +86,17 @@ def test_replay_forms_no_pair_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_replay_sends_no_side_that_grows_to_the_driver(spark):
+    """Written steps, levels and first crossings are small files of many rows; none of them is broadcast."""
+    r = spark.createDataFrame([(1, START, "dbo", "test_app", Decimal(20001))], REQUEST)
+    made = R.plan_replay(scenario_steps(spark), versions_frame(spark), r)
+    for df in (R.executed_steps(made), R.final_steps(made)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        # What `running_total` adds from its summary, one row per range and key, may be broadcast.
+        assert all("__ordered_" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+
+
 def test_case_blind_replay(spark):
     log = spark.createDataFrame(
         [(i, START, name, "test_app", Decimal(to)) for i, (name, to) in enumerate([("dbo", 20001), ("DBO ", 10001)])], REQUEST

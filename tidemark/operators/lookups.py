@@ -7,6 +7,11 @@ share of the left rows then meets it in one task. `lookup` joins on the keys and
 a value computed from them. That changes no match, but it asks for a shuffle of
 both inputs (the reduced one is the cheap one), and so lets the skew join work;
 a side that proves small at run time is broadcast as ever.
+
+Before anything has run, a written table counts as its files, and files of repeated
+keys and decimals can be a twentieth of their rows in memory. A side that grows with
+the tables is therefore named as such and merged: else the driver collects and builds
+all of it while its files are still below the threshold for a broadcast.
 """
 
 from __future__ import annotations
@@ -24,8 +29,13 @@ def _exact(df: DataFrame, keys: list[str]) -> bool:
     return all(kind == T.StringType() for kind in kinds if isinstance(kind, T.StringType))
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """`left.join(right, keys, how)` for a `right` that was reduced by the same keys."""
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", grows: bool = False) -> DataFrame:
+    """`left.join(right, keys, how)` for a `right` that was reduced by the same keys.
+
+    With `grows` neither side is ever broadcast.
+    """
+    if grows:
+        right = right.hint("merge")
     if not (_exact(left, keys) and _exact(right, keys)):
         return left.join(right, keys, how)
     # Both sides hash the same types, or equal keys would part ways.

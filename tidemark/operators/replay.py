@@ -63,7 +63,7 @@ class ReplayPlan(NamedTuple):
 def _starts(versions: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per requested key with the version it starts from."""
     keys = requests.select(*KEY).distinct()
-    return keys.join(versions.select(*KEY, "version"), KEY, "left").select(
+    return lookup(keys, versions.select(*KEY, "version"), KEY, grows=True).select(
         *KEY, F.coalesce("version", F.lit(0).cast(VERSION_TYPE)).alias("version")
     )
 
@@ -71,7 +71,7 @@ def _starts(versions: DataFrame, requests: DataFrame) -> DataFrame:
 def _led(steps: DataFrame, starts: DataFrame) -> DataFrame:
     """Steps of the requested keys with `leads`: above the start a version is first crossed upwards."""
     lead = F.when(F.col("version") > F.col("_start"), 1).otherwise(0)
-    begun = lookup(steps, starts.select(*KEY, F.col("version").alias("_start")), KEY, "inner")
+    begun = lookup(steps, starts.select(*KEY, F.col("version").alias("_start")), KEY, "inner", grows=True)
     return begun.withColumn("leads", F.col("upgrade") == lead).drop("_start")
 
 
@@ -134,8 +134,8 @@ def plan_replay(steps: DataFrame, versions: DataFrame, requests: DataFrame) -> R
     # Levels are joined to the facts, one row per slot, so a step's own row moves only
     # to meet its key's start and then its facts.
     levels = placed.filter("is_level = 1").select(*KEY, "version", "level", "again_level", "is_again")
-    facts = slots.drop("again").join(levels, [*KEY, "version"]).withColumn("again", F.col("is_again") == 1).drop("is_again")
-    located = lookup(led, facts, SLOT, "inner").select(*steps.columns, *_FACTS)
+    facts = lookup(slots.drop("again"), levels, [*KEY, "version"], "inner", grows=True).withColumn("again", F.col("is_again") == 1).drop("is_again")
+    located = lookup(led, facts, SLOT, "inner", grows=True).select(*steps.columns, *_FACTS)
 
     types = dict(requests.dtypes)
     place = [F.col(c).alias(f"to_{c}") for c in ("level", "again_level")]
@@ -144,7 +144,7 @@ def plan_replay(steps: DataFrame, versions: DataFrame, requests: DataFrame) -> R
         *KEY, *[F.lit(None).cast(types[c]).alias(c) for c in WHEN], F.col("version").alias("to_version"), *place
     )
     timeline = (
-        lookup(requests, at, [*KEY, "to_version"], "inner")
+        lookup(requests, at, [*KEY, "to_version"], "inner", grows=True)
         .withColumn("_is_start", F.lit(0))
         .unionByName(starts.withColumn("_is_start", F.lit(1)))
     )
@@ -166,7 +166,7 @@ def plan_replay(steps: DataFrame, versions: DataFrame, requests: DataFrame) -> R
     return ReplayPlan(
         materialize(moves, "moves"),
         materialize(located, "located"),
-        steps.join(starts.select(*KEY), KEY, "left_anti"),
+        lookup(steps, starts.select(*KEY), KEY, "left_anti", grows=True),
     )
 
 
@@ -212,17 +212,17 @@ def executed_steps(plan: ReplayPlan) -> DataFrame:
     request = [*WHEN, "from_version", "to_version"]
     shown = [*KEY, "id", "version", "sequence", "upgrade", "description", "procedure_name"]
     single = located.filter("run_first and leads and not again").select(*shown, "level")
-    once = lookup(single, records(plan.moves), [*KEY, "level"], "inner").select(*shown, *request)
+    once = lookup(single, records(plan.moves), [*KEY, "level"], "inner", grows=True).select(*shown, *request)
 
     crossed = crossings(plan.moves)
     place = [*KEY, "again_level", "upgrade"]
     first = crossed.groupBy(*place).agg(F.min_by(F.struct(*request), F.struct(*TURN)).alias("first"))
     several = located.filter("again")
-    begun = lookup(several.filter("run_first"), first, place, "inner").select(*shown, "first.*")
+    begun = lookup(several.filter("run_first"), first, place, "inner", grows=True).select(*shown, "first.*")
     firsts = first.select(*place, F.struct(*[F.col(f"first.{c}").alias(c) for c in TURN]).alias("_first"))
-    repeats = lookup(several.filter("run_later"), firsts, place, "inner")
+    repeats = lookup(several.filter("run_later"), firsts, place, "inner", grows=True)
     again = (
-        lookup(repeats, crossed, place, "inner").filter(F.struct(*TURN) > F.col("_first")).select(*shown, *request)
+        lookup(repeats, crossed, place, "inner", grows=True).filter(F.struct(*TURN) > F.col("_first")).select(*shown, *request)
     )
     return once.unionByName(begun).unionByName(again).select(
         "request_id", "ts", *KEY, "from_version", "to_version",
@@ -265,7 +265,7 @@ def _crossing_counts(plan: ReplayPlan) -> DataFrame:
 
 def final_steps(plan: ReplayPlan) -> DataFrame:
     """Every step with the flag it has after the whole log."""
-    counted = lookup(plan.located, _crossing_counts(plan), [*KEY, "level"])
+    counted = lookup(plan.located, _crossing_counts(plan), [*KEY, "level"], grows=True)
     n = F.coalesce("crossed", F.lit(0))
     lead_last = n % 2 == 1
     lead_flag = F.when(n == 0, F.col("completed")).when(lead_last, 1).when(F.col("follow_runs"), 0).otherwise(1)
