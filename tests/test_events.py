@@ -86,3 +86,21 @@ def test_a_failed_export_leaves_nothing(spark, tmp_path):
     export_events(spark.createDataFrame([(1, None, "", "empty.xdl"), (2, None, "é\n", "a b.xdl")], schema), str(path))
     assert rows(read_event_files(spark, str(path))) == [("a b.xdl", "é\n"), ("e0.xdl", "<e0/>")]
     assert (path / "empty.xdl").read_bytes() == b""
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """5,000 files of some bytes: written by every partition of a shuffle, read by a few tasks, whole."""
+    path = tmp_path / "out"
+    frame = spark.range(5000).select(
+        F.col("id").alias("event_id"), F.lit(None).cast("timestamp").alias("event_time"),
+        F.concat(F.lit("<é"), F.col("id").cast("string"), F.lit("/>")).alias("fragment"),
+        F.concat(F.lit("a+b%20 "), F.col("id").cast("string"), F.lit(".xdl")).alias("file_name"),
+    )
+    export_events(frame, str(path))
+    for hidden in ("_x.xdl", ".x.xdl", "x.txt"):
+        (path / hidden).write_text("no event")
+    kept = read_event_files(spark, str(path))
+    assert kept.rdd.getNumPartitions() <= 4
+    assert rows(kept, "file_name", "fragment") == rows(frame, "file_name", "fragment")
+    (tmp_path / "none").mkdir()
+    assert rows(read_event_files(spark, str(tmp_path / "none"))) == []

@@ -1,9 +1,13 @@
-"""Event files under the names they were given: a data source that writes one file per row.
+"""Event files under the names they were given: a data source of one file per row.
 
 Tasks write into a folder of their own attempt below a staging folder, so a failed or
 repeated task leaves nothing behind that counts. The commit moves the files of the
 attempts that count to their names, each in one rename that replaces what bore the
 name before; an aborted job removes its staging folder.
+
+What such files cost is not their bytes but their number, so work is cut by it: files
+are written by as many tasks as a shuffle has, moved in slices, and read some thousands
+to a task. Spark's own file readers count each file as 4 MB and so read 32 in a task.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 # The writer travels with its tasks, so executors need no installed copy of it.
@@ -25,6 +29,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FORMAT = "event_files"
 MOVES_AT_A_TIME = 16
+FILES_A_TASK = 2048
+
+
+def _open(path: str):
+    """(file system, path on it); a path without a scheme is a local or mounted one."""
+    from pyarrow import fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
 
 
 @dataclass
@@ -41,17 +55,9 @@ class EventFileWriter(DataSourceWriter):
         self.path = path
         self.staging = f"{path.rstrip('/')}/.staged-{uuid.uuid4().hex}"
 
-    def _open(self, path: str):
-        """(file system, path on it); a path without a scheme is a local or mounted one."""
-        from pyarrow import fs
-
-        if "://" in path:
-            return fs.FileSystem.from_uri(path)
-        return fs.LocalFileSystem(), path.removeprefix("file:")
-
     def write(self, iterator: Iterator[Row]) -> Attempt:
         folder = f"{self.staging}/{TaskContext.get().taskAttemptId()}"
-        files, place = self._open(folder)
+        files, place = _open(folder)
         files.create_dir(place, recursive=True)
         for row in iterator:
             name = row["file_name"]
@@ -64,26 +70,60 @@ class EventFileWriter(DataSourceWriter):
     def commit(self, messages: list[Attempt | None]) -> None:
         from pyarrow import fs
 
-        files, target = self._open(self.path.rstrip("/"))
+        files, target = _open(self.path.rstrip("/"))
 
-        def move(info) -> None:
-            files.move(info.path, f"{target}/{info.base_name}")
+        def move(some: list) -> None:
+            for info in some:
+                files.move(info.path, f"{target}/{info.base_name}")
 
         with ThreadPoolExecutor(MOVES_AT_A_TIME) as pool:
             for message in messages:
                 if message is not None:
-                    _, place = self._open(message.folder)
-                    list(pool.map(move, files.get_file_info(fs.FileSelector(place))))
+                    _, place = _open(message.folder)
+                    found = files.get_file_info(fs.FileSelector(place))
+                    list(pool.map(move, [found[k::MOVES_AT_A_TIME] for k in range(MOVES_AT_A_TIME)]))
         self.abort(messages)
 
     def abort(self, messages: list[Attempt | None]) -> None:
-        files, place = self._open(self.staging)
+        files, place = _open(self.staging)
         if files.get_file_info(place).type.name != "NotFound":
             files.delete_dir(place)
 
 
+@dataclass
+class Some(InputPartition):
+    """The files that one task reads."""
+
+    names: list[str]
+
+
+class EventFileReader(DataSourceReader):
+    """The `.xdl` files of a folder that are not empty, nor hidden as Spark's readers take it."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def partitions(self) -> list[Some]:
+        from pyarrow import fs
+
+        files, place = _open(self.path)
+        found = [
+            info.base_name
+            for info in files.get_file_info(fs.FileSelector(place))
+            if info.type == fs.FileType.File and info.size and info.base_name.endswith(".xdl")
+            and not info.base_name.startswith(".") and not (info.base_name.startswith("_") and "=" not in info.base_name)
+        ]
+        return [Some(found[k : k + FILES_A_TASK]) for k in range(0, len(found), FILES_A_TASK)]
+
+    def read(self, partition: Some | None) -> Iterator[tuple[str, str]]:
+        files, place = _open(self.path)
+        for name in partition.names if partition else []:
+            with files.open_input_stream(f"{place}/{name}") as held:
+                yield name, held.read().decode("utf-8")
+
+
 class EventFiles(DataSource):
-    """`df.write.format("event_files").mode("append").save(path)`."""
+    """`df.write.format("event_files").mode("append").save(path)`, and `spark.read.format("event_files").load(path)`."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,6 +132,9 @@ class EventFiles(DataSource):
     def schema(self) -> str:
         return "file_name string, fragment string"
 
+    def reader(self, schema: StructType) -> EventFileReader:
+        return EventFileReader(self.options["path"])
+
     def writer(self, schema: StructType, overwrite: bool) -> EventFileWriter:
         return EventFileWriter(self.options["path"])
 
@@ -108,12 +151,13 @@ def export_events(named: DataFrame, directory: str) -> None:
     latest = named.withColumn("file_name", name).groupBy("file_name").agg(
         F.max_by("fragment", F.struct("event_time", "event_id")).alias("fragment")
     )
-    latest.select("file_name", "fragment").write.format(FORMAT).mode("append").save(directory)
+    # A given number of partitions, which adaptive execution does not join by their bytes.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = latest.select("file_name", "fragment").repartition(tasks, "file_name")
+    spread.write.format(FORMAT).mode("append").save(directory)
 
 
 def read_event_files(spark: SparkSession, directory: str) -> DataFrame:
-    """(file_name, fragment) of the event files in a folder; empty files, which Spark's readers skip, are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xdl").load(directory)
-    return files.select(
-        F.url_decode(F.col("_metadata.file_name")).alias("file_name"), F.decode("content", "UTF-8").alias("fragment")
-    )
+    """(file_name, fragment) of the event files in a folder; empty files are left out."""
+    spark.dataSource.register(EventFiles)
+    return spark.read.format(FORMAT).load(directory)
