@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from scenario import KEYED, Simulation, scenario_steps, versions_frame
 
 from tidemark.operators import replay as R
@@ -147,3 +148,49 @@ def test_swings_over_upgrade_steps_form_no_more_rows_than_steps_run(spark):
     assert ran == n
     assert R.crossings(plan.moves).count() == 0
     assert R.records(plan.moves).count() == ran
+
+
+def _shuffled(df):
+    """Rows that went through the shuffles of a query."""
+    df.collect()
+
+    def below(node):
+        name = node.getClass().getSimpleName()
+        if name == "ReusedExchangeExec":
+            return 0
+        if name == "AdaptiveSparkPlanExec":
+            return below(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return below(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        children = node.children()
+        return own + sum(below(children.apply(i)) for i in range(children.size()))
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("done", [0, 1])
+def test_steps_run_again_are_not_shuffled_crossing_by_crossing(spark, done):
+    """60 swings over 400 levels: 24,000 runs or nearly, from 800 steps and 60 requests; flags end without a shuffle of steps."""
+    n, swings = 400, 60
+    steps = [(2 * v + up, "s", "k", Decimal(v), up, 0, "d", "p", done * up) for v in range(1, n + 1) for up in (0, 1)]
+    requests = [(i, START + dt.timedelta(seconds=i), "s", "k", Decimal(n if i % 2 == 0 else 0)) for i in range(swings)]
+    s, v, r = spark.createDataFrame(steps, STEP), versions_frame(spark), spark.createDataFrame(requests, REQUEST)
+    ran, flags, _ = _simulate(steps, [], requests)
+    plan = R.plan_replay(s, v, r)
+    executed, final = R.executed_steps(plan), R.final_steps(plan)
+    assert _shuffled(executed) < n * swings / 3
+    assert _shuffled(final) < n
+    assert rows(executed, "request_id", "step_id") == sorted(ran, key=repr) and len(ran) >= n * (swings - 1)
+    assert {x["id"]: x["completed"] for x in final.collect()} == flags
+
+
+def test_steps_without_version_or_sequence_stay_if_their_key_was_not_asked(spark):
+    """As before: of a requested key they are left out, whatever the other steps meet."""
+    steps = [(i, "s", key, version, 1, sequence, "d", "p", 0) for i, (key, version, sequence) in enumerate(
+        [("k", Decimal(1), 0), ("k", None, 0), ("k", Decimal(1), None), ("other", None, 0), ("other", Decimal(1), None), (None, Decimal(1), 0), (None, None, 0)]
+    )]
+    requests = spark.createDataFrame([(1, START, "s", "k", Decimal(1))], REQUEST)
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in STEP.fields])
+    plan = R.plan_replay(spark.createDataFrame(steps, nullable), versions_frame(spark), requests)
+    assert rows(R.final_steps(plan), "id", "completed") == [(0, 1), (3, 0), (4, 0), (5, 0), (6, 0)]

@@ -22,9 +22,15 @@ Which rows are formed. A level is crossed first by a request that goes beyond al
 places its key has been at, a record: with the highest and lowest level so far known
 at every request, the records' ranges of new levels meet every level at most once.
 That is all most levels need. Only levels where steps run again, or where a follow
-step runs without any lead, are numbered a second time, and only their crossings are
-listed. So a registry without downgrade steps that starts below its steps lists
-nothing but first crossings, however often its version swings.
+step runs without any lead, are numbered a second time, and only their crossings meet
+steps: a request goes to each block of these levels that it reaches, and is paired there
+with the steps it crosses. So a registry without downgrade steps that starts below its
+steps forms nothing but first crossings, however often its version swings, and rows on
+the way to a join are requests and steps, not crossings.
+
+How flags end. A level is crossed if the key's versions reach its other side, and an odd
+number of times if the last of them stays there. That decides almost every flag; the
+others need to know one crossing from three, and for these alone crossings are counted.
 """
 
 from __future__ import annotations
@@ -45,9 +51,13 @@ WHEN = ["ts", "request_id"]
 # The order of a key's requests; of two with one time and id the lower version comes first.
 TURN = [*WHEN, "to_version"]
 SLOT = [*KEY, "version", "sequence"]
-# Facts about a slot, and what `_located` adds to a step.
-_SLOT_FACTS = ["has_lead", "lead_runs", "follow_runs", "again"]
-_FACTS = ["level", "again_level", "leads", *_SLOT_FACTS]
+# Facts about a slot, and what `plan_replay` adds to a step.
+_SLOT_FACTS = ["has_lead", "lead_runs", "follow_runs", "crossed"]
+_FACTS = ["level", "again_level", "leads", *_SLOT_FACTS, "again"]
+# How often a level is crossed: never, an odd number of times, an even one.
+_NEVER, _ODD, _EVEN = 0, 1, 2
+# Levels of a block; a request is sent to each block that it reaches.
+_BLOCK = 16
 # Two counts in one running total.
 _SHIFT = 1 << 31
 
@@ -61,31 +71,47 @@ class ReplayPlan(NamedTuple):
 
 
 def _starts(versions: DataFrame, requests: DataFrame) -> DataFrame:
-    """One row per requested key with the version it starts from."""
-    keys = requests.select(*KEY).distinct()
-    return lookup(keys, versions.select(*KEY, "version"), KEY, grows=True).select(
-        *KEY, F.coalesce("version", F.lit(0).cast(VERSION_TYPE)).alias("version")
+    """One row per requested key: the versions it starts from, ends at, and goes between."""
+    start = F.coalesce("version", F.lit(0).cast(VERSION_TYPE))
+    asked = requests.groupBy(*KEY).agg(
+        F.max_by("to_version", F.struct(*TURN)).alias("last"), F.min("to_version").alias("lowest"), F.max("to_version").alias("highest")
+    )
+    return lookup(asked, versions.select(*KEY, "version"), KEY, grows=True).select(
+        *KEY, start.alias("version"), "last", F.least("lowest", start).alias("lowest"), F.greatest("highest", start).alias("highest")
     )
 
 
 def _led(steps: DataFrame, starts: DataFrame) -> DataFrame:
-    """Steps of the requested keys with `leads`: above the start a version is first crossed upwards."""
-    lead = F.when(F.col("version") > F.col("_start"), 1).otherwise(0)
-    begun = lookup(steps, starts.select(*KEY, F.col("version").alias("_start")), KEY, "inner", grows=True)
-    return begun.withColumn("leads", F.col("upgrade") == lead).drop("_start")
+    """Steps of the requested keys, with the side of the start they are on and how often they are crossed."""
+    key = starts.select(*KEY, F.col("version").alias("_start"), *[F.col(c).alias(f"_{c}") for c in ("last", "lowest", "highest")])
+    begun = lookup(steps.select(*SLOT, "upgrade", "completed"), key, KEY, "inner", grows=True)
+    version, above = F.col("version"), F.col("version") > F.col("_start")
+    reached = F.when(above, F.col("_highest") >= version).otherwise(F.col("_lowest") < version)
+    stays = above != (F.col("_last") < version)
+    crossed = F.when(~reached, _NEVER).when(stays, _ODD).otherwise(_EVEN)
+    return begun.select(*SLOT, "upgrade", "completed", above.alias("above"), crossed.alias("crossed"))
+
+
+def _leads(above: str) -> Column:
+    """Above the start a version is first crossed upwards."""
+    return F.col("upgrade") == F.when(F.col(above), 1).otherwise(0)
 
 
 def _slots(led: DataFrame) -> DataFrame:
     """The facts of each (version, sequence); `again` marks those whose first crossing is not all."""
     open_step = F.col("completed") == 0
-    slots = led.groupBy(*SLOT).agg(
+    slots = led.withColumn("leads", _leads("above")).groupBy(*SLOT).agg(
+        F.max("above").alias("above"),
+        F.max("crossed").alias("crossed"),
         F.max(F.col("leads")).alias("has_lead"),
         F.max(~F.col("leads")).alias("_has_follow"),
         F.max(F.col("leads") & open_step).alias("lead_runs"),
         F.max(~F.col("leads") & open_step).alias("_follow_open"),
     )
     follow_runs = F.col("_has_follow") & (F.col("lead_runs") | F.col("_follow_open"))
-    return slots.select(*SLOT, "has_lead", "lead_runs", follow_runs.alias("follow_runs"), follow_runs.alias("again"))
+    return slots.select(
+        *SLOT, "above", "crossed", "has_lead", "lead_runs", follow_runs.alias("follow_runs"), follow_runs.alias("again")
+    )
 
 
 def _points(slots: DataFrame, starts: DataFrame, requests: DataFrame) -> DataFrame:
@@ -93,18 +119,18 @@ def _points(slots: DataFrame, starts: DataFrame, requests: DataFrame) -> DataFra
 
     One aggregate reduces all three on the map side.
     """
-    def marked(df: DataFrame, level: Column, again: Column, start: bool) -> DataFrame:
-        marks = [level.cast("int").alias("is_level"), again.cast("int").alias("is_again"), F.lit(start).alias("is_start")]
-        return df.select(*KEY, "version", *marks)
+    def marked(df: DataFrame, level: Column, again: Column, start: bool, asked: bool) -> DataFrame:
+        marks = [level.cast("int").alias("is_level"), again.cast("int").alias("is_again")]
+        return df.select(*KEY, "version", *marks, F.lit(start).alias("is_start"), F.lit(asked).alias("is_asked"))
 
     no, yes = F.lit(0), F.lit(1)
     asked = requests.select(*KEY, F.col("to_version").alias("version"))
     return (
-        marked(slots, yes, F.col("again"), False)
-        .unionByName(marked(asked, no, no, False))
-        .unionByName(marked(starts, no, no, True))
+        marked(slots, yes, F.col("again"), False, False)
+        .unionByName(marked(asked, no, no, False, True))
+        .unionByName(marked(starts, no, no, True, False))
         .groupBy(*KEY, "version")
-        .agg(F.max("is_level").alias("is_level"), F.max("is_again").alias("is_again"), F.max("is_start").alias("is_start"))
+        .agg(*[F.max(mark).alias(mark) for mark in ("is_level", "is_again", "is_start", "is_asked")])
     )
 
 
@@ -127,19 +153,24 @@ def plan_replay(steps: DataFrame, versions: DataFrame, requests: DataFrame) -> R
     """
     requests = requests.filter(F.col("to_version").isNotNull()).select(*KEY, *TURN)
     first = _starts(versions, requests)
-    led = _led(steps, first)
-    slots = materialize(_slots(led), "slots")
+    slots = materialize(_slots(_led(steps, first)), "slots")
     placed = materialize(_placed(_points(slots, first, requests)), "levels")
 
     # Levels are joined to the facts, one row per slot, so a step's own row moves only
-    # to meet its key's start and then its facts.
+    # to meet its facts; a step that meets none belongs to another key.
     levels = placed.filter("is_level = 1").select(*KEY, "version", "level", "again_level", "is_again")
     facts = lookup(slots.drop("again"), levels, [*KEY, "version"], "inner", grows=True).withColumn("again", F.col("is_again") == 1).drop("is_again")
-    located = lookup(led, facts, SLOT, "inner", grows=True).select(*steps.columns, *_FACTS)
+    met = lookup(steps, facts, SLOT, grows=True).withColumn("leads", F.when(F.col("level").isNotNull(), _leads("above")))
+    located = materialize(met.select(*steps.columns, *_FACTS), "located")
+    # A step without a version or sequence meets no facts whatever its key.
+    whole = F.col("version").isNotNull() & F.col("sequence").isNotNull()
+    untouched = located.filter(F.col("level").isNull() & whole).unionByName(
+        lookup(located.filter(~whole), first.select(*KEY), KEY, "left_anti", grows=True)
+    )
 
     types = dict(requests.dtypes)
     place = [F.col(c).alias(f"to_{c}") for c in ("level", "again_level")]
-    at = placed.select(*KEY, F.col("version").alias("to_version"), *place)
+    at = placed.filter("is_asked").select(*KEY, F.col("version").alias("to_version"), *place)
     starts = placed.filter("is_start").select(
         *KEY, *[F.lit(None).cast(types[c]).alias(c) for c in WHEN], F.col("version").alias("to_version"), *place
     )
@@ -165,8 +196,8 @@ def plan_replay(steps: DataFrame, versions: DataFrame, requests: DataFrame) -> R
     )
     return ReplayPlan(
         materialize(moves, "moves"),
-        materialize(located, "located"),
-        lookup(steps, starts.select(*KEY), KEY, "left_anti", grows=True),
+        located.filter(F.col("level").isNotNull()),
+        untouched.select(*steps.columns),
     )
 
 
@@ -180,19 +211,40 @@ def records(moves: DataFrame) -> DataFrame:
     )
 
 
-def crossings(moves: DataFrame) -> DataFrame:
-    """One row per (request, level crossed) of the levels that run again, by their own numbers."""
-    low, high = F.least("from_again", "to_again"), F.greatest("from_again", "to_again")
+def _crossing(moves: DataFrame) -> DataFrame:
+    """Requests that cross levels that run again: those after `low` up to `high`, by their own numbers."""
     return moves.filter("from_again <> to_again").select(
         *KEY,
         *WHEN,
         "from_version",
         "to_version",
         F.when(F.col("to_again") > F.col("from_again"), 1).otherwise(0).alias("upgrade"),
-        F.explode(F.sequence(low + 1, high)).alias("again_level"),
+        F.least("from_again", "to_again").alias("low"),
+        F.greatest("from_again", "to_again").alias("high"),
     )
 
 
+def crossings(moves: DataFrame) -> DataFrame:
+    """One row per (request, level crossed) of the levels that run again."""
+    levels = F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("again_level")
+    return _crossing(moves).withColumn("again_level", levels).drop("low", "high")
+
+
+def _block(again_level: Column) -> Column:
+    return F.call_function("div", again_level - 1, F.lit(_BLOCK).cast("long"))
+
+
+def _crossed_by(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """`rows` of levels that run again, once per request that crosses them in their direction.
+
+    A request is sent to the blocks it reaches, not to every level it crosses.
+    """
+    low, high = F.col("low"), F.col("high")
+    sent = _crossing(moves).withColumn("_block", F.explode(F.sequence(_block(low + 1), _block(high))))
+    met = lookup(rows.withColumn("_block", _block(F.col("again_level"))), sent, [*KEY, "_block", "upgrade"], "inner", grows=True)
+    return met.filter((F.col("again_level") > low) & (F.col("again_level") <= high)).drop("_block", "low", "high")
+
+
 def _run_first() -> Column:
     open_step = F.col("completed") == 0
     return F.when(F.col("leads"), open_step).otherwise(open_step | F.col("lead_runs"))
@@ -205,8 +257,8 @@ def _run_later() -> Column:
 def executed_steps(plan: ReplayPlan) -> DataFrame:
     """One row per step run, with the request that ran it.
 
-    At levels that run once, lead steps meet their level's record one to one. The
-    crossings of the others are listed, and each of them runs a step.
+    At levels that run once, lead steps meet their level's record one to one. Most of
+    the others run at every crossing in their direction, some at the first or at all but it.
     """
     located = plan.located.withColumns({"run_first": _run_first(), "run_later": _run_later()})
     request = [*WHEN, "from_version", "to_version"]
@@ -214,17 +266,16 @@ def executed_steps(plan: ReplayPlan) -> DataFrame:
     single = located.filter("run_first and leads and not again").select(*shown, "level")
     once = lookup(single, records(plan.moves), [*KEY, "level"], "inner", grows=True).select(*shown, *request)
 
-    crossed = crossings(plan.moves)
-    place = [*KEY, "again_level", "upgrade"]
-    first = crossed.groupBy(*place).agg(F.min_by(F.struct(*request), F.struct(*TURN)).alias("first"))
     several = located.filter("again")
-    begun = lookup(several.filter("run_first"), first, place, "inner", grows=True).select(*shown, "first.*")
-    firsts = first.select(*place, F.struct(*[F.col(f"first.{c}").alias(c) for c in TURN]).alias("_first"))
-    repeats = lookup(several.filter("run_later"), firsts, place, "inner", grows=True)
-    again = (
-        lookup(repeats, crossed, place, "inner", grows=True).filter(F.struct(*TURN) > F.col("_first")).select(*shown, *request)
-    )
-    return once.unionByName(begun).unionByName(again).select(
+    every = _crossed_by(several.filter("run_first and run_later").select(*shown, "again_level"), plan.moves).select(*shown, *request)
+    # The others need their level's first crossing in their direction.
+    place = [*KEY, "again_level", "upgrade"]
+    some = several.filter("run_first <> run_later").select(*shown, "again_level", "run_first")
+    turn = F.struct(*TURN)
+    first = _crossed_by(some.select(*place).distinct(), plan.moves).groupBy(*place).agg(F.min(turn).alias("_first"))
+    after = _crossed_by(lookup(some, first, place, "inner", grows=True), plan.moves)
+    part = after.filter(F.when(F.col("run_first"), turn == F.col("_first")).otherwise(turn > F.col("_first"))).select(*shown, *request)
+    return once.unionByName(every).unionByName(part).select(
         "request_id", "ts", *KEY, "from_version", "to_version",
         F.col("id").alias("step_id"), F.col("version").alias("step_version"),
         F.col("sequence").alias("step_sequence"), F.col("description").alias("step_description"),
@@ -243,9 +294,9 @@ def replay_changes(
     return unfold_names(executed_steps(plan_replay(steps, versions, requests)), KEY, case_sensitive)
 
 
-def _crossing_counts(plan: ReplayPlan) -> DataFrame:
-    """How often each level is crossed, from where moves start and end only."""
-    moving = plan.moves.filter("from_level <> to_level")
+def _crossing_counts(moves: DataFrame, steps: DataFrame) -> DataFrame:
+    """How often the levels of `steps` are crossed, from where moves start and end only."""
+    moving = lookup(moves.filter("from_level <> to_level"), steps.select(*KEY).distinct(), KEY, "left_semi", grows=True)
     low, high = F.least("from_level", "to_level"), F.greatest("from_level", "to_level")
     # +1 where a move's range of levels opens, -1 after it closes; reduced to one
     # row per level before the running total.
@@ -258,26 +309,28 @@ def _crossing_counts(plan: ReplayPlan) -> DataFrame:
             )
         ).alias("edge"),
     ).select(*KEY, "edge.*")
-    levels = plan.located.select(*KEY, "level", F.lit(0).alias("change"))
+    levels = steps.select(*KEY, "level", F.lit(0).alias("change"))
     changes = edges.unionByName(levels).groupBy(*KEY, "level").agg(F.sum("change").alias("change"))
-    return running_total(changes, KEY, [F.col("level")], "crossed", F.col("change")).select(*KEY, "level", "crossed")
+    return running_total(changes, KEY, [F.col("level")], "times", F.col("change")).select(*KEY, "level", "times")
 
 
 def final_steps(plan: ReplayPlan) -> DataFrame:
     """Every step with the flag it has after the whole log."""
-    counted = lookup(plan.located, _crossing_counts(plan), [*KEY, "level"], grows=True)
-    n = F.coalesce("crossed", F.lit(0))
-    lead_last = n % 2 == 1
-    lead_flag = F.when(n == 0, F.col("completed")).when(lead_last, 1).when(F.col("follow_runs"), 0).otherwise(1)
-    follow_flag = (
-        F.when(n == 0, F.col("completed"))
-        .when(n == 1, F.when(F.col("lead_runs"), 0).otherwise(F.col("completed")))
-        .when(lead_last & _run_later(), 0)
-        .otherwise(1)
-    )
     columns = plan.untouched.columns
-    flagged = counted.withColumn("completed", F.when(F.col("leads"), lead_flag).otherwise(follow_flag))
-    return flagged.select(*columns).unionByName(plan.untouched)
+    crossed = F.col("crossed")
+    lead_flag = F.when(crossed == _ODD, 1).when(F.col("follow_runs"), 0).otherwise(1)
+    # A follow step after an odd number of crossings: after one, and after more.
+    after_one = F.when(F.col("lead_runs"), 0).otherwise(F.col("completed"))
+    after_more = F.when(_run_later(), 0).otherwise(1)
+    follow_flag = F.when(crossed == _ODD, after_one).otherwise(1)
+    flag = F.when(crossed == _NEVER, F.col("completed")).when(F.col("leads"), lead_flag).otherwise(follow_flag)
+    open_case = (crossed == _ODD) & ~F.coalesce("leads", F.lit(False)) & ~after_one.eqNullSafe(after_more)
+    located = plan.located.withColumn("_open_case", open_case)
+    told = located.filter("not _open_case").withColumn("completed", flag)
+    others = located.filter("_open_case")
+    counted = lookup(others, _crossing_counts(plan.moves, others), [*KEY, "level"], grows=True)
+    more = counted.withColumn("completed", F.when(F.col("times") == 1, after_one).otherwise(after_more))
+    return told.select(*columns).unionByName(more.select(*columns)).unionByName(plan.untouched)
 
 
 def final_versions(versions: DataFrame, requests: DataFrame) -> DataFrame:

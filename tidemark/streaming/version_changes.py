@@ -50,7 +50,7 @@ def apply_requests(batch: DataFrame, store: StateStore, executed_path: str) -> i
     ran = store.stage(executed_steps(plan), f"{executed_path.rstrip('/')}/batch={name}")
     states = {STEP_TABLE: final_steps(plan), VERSION_TABLE: final_versions(versions, fresh.rows)}
     try:
-        return store.commit(states, keys=KEYS, touched=touched, staged=[fresh, ran])
+        return store.commit(states, keys=KEYS, touched=touched, staged=[fresh, ran], as_dealt={STEP_TABLE})
     except StateConflict:
         store.drop_staged(fresh, ran)
         raise
