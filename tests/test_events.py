@@ -5,6 +5,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import events as E
+from tidemark.sources import event_files
 from tidemark.sources.event_files import export_events, read_event_files
 
 DEADLOCK = '<event name="xml_deadlock_report" timestamp="{0}"><data name="xml_report">{1}</data></event>'
@@ -104,3 +105,31 @@ def test_many_small_files_share_tasks(spark, tmp_path):
     assert rows(kept, "file_name", "fragment") == rows(frame, "file_name", "fragment")
     (tmp_path / "none").mkdir()
     assert rows(read_event_files(spark, str(tmp_path / "none"))) == []
+
+
+def test_files_are_listed_and_moved_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds no name: what it plans a read with does not grow with the files."""
+    path = tmp_path / "out"
+    kept = read_event_files(spark, str(path))
+    monkeypatch.setattr(event_files, "NAMES_AT_A_TIME", 30, raising=False)
+    monkeypatch.setattr(event_files, "READ_AT_A_TIME", 10, raising=False)
+    schema = "event_id int, event_time timestamp, fragment string, file_name string"
+    given = [(i, dt.datetime(2024, 1, 1), "" if i == 7 else f"<e{i}/>", f"{'e' * 200}{i}.xdl") for i in range(500)]
+    for _ in range(2):
+        export_events(spark.createDataFrame(given, schema), str(path))
+    assert {p.name for p in path.iterdir()} == {name for *_, name in given}
+    wanted = sorted((name, text) for _, _, text, name in given if text)
+    assert rows(kept) == wanted and rows(read_event_files(spark, str(path))) == wanted
+    partitions = kept._jdf.queryExecution().toRdd().partitions()
+    assert spark._jvm.org.apache.spark.util.SizeEstimator.estimate(partitions) < 10000
+
+
+def test_a_move_done_again_finds_what_is_left(tmp_path):
+    staged, target = tmp_path / "staged", tmp_path / "target"
+    for folder in (staged, target):
+        folder.mkdir()
+    (target / "moved.xdl").write_text("moved")
+    (staged / "left.xdl").write_text("left")
+    for _ in range(2):
+        event_files._mover(str(target))(str(staged))
+    assert {p.name: p.read_text() for p in target.iterdir()} == {"moved.xdl": "moved", "left.xdl": "left"}

@@ -1,35 +1,35 @@
-"""Event files under the names they were given: a data source of one file per row.
+"""Event files under the names they were given, one file per row.
 
 Tasks write into a folder of their own attempt below a staging folder, so a failed or
-repeated task leaves nothing behind that counts. The commit moves the files of the
-attempts that count to their names, each in one rename that replaces what bore the
-name before; an aborted job removes its staging folder.
+repeated task leaves nothing behind that counts. Once all have ended, the files of the
+attempts that count are moved to their names, each in one rename that replaces what bore
+the name before; if a task fails, the staging folder goes and nothing has changed.
 
 What such files cost is not their bytes but their number, so work is cut by it: files
-are written by as many tasks as a shuffle has, moved in slices, and read some thousands
-to a task. Spark's own file readers count each file as 4 MB and so read 32 in a task.
+are written, moved and read by as many tasks as a shuffle has. The driver learns one
+folder per task and never a file's name: a folder is listed by one task, name by name,
+and the names are dealt out from there. Spark's own file readers, and the partitions of
+a data source, list a folder in the driver.
 """
 
 from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
 
-# The writer travels with its tasks, so executors need no installed copy of it.
+# What runs in tasks travels with them, so executors need no installed copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FORMAT = "event_files"
-MOVES_AT_A_TIME = 16
-FILES_A_TASK = 2048
+# Names that a task lists before it goes on with them.
+NAMES_AT_A_TIME = 1 << 14
+# Characters that a task has read before it hands them on.
+READ_AT_A_TIME = 1 << 22
 
 
 def _open(path: str):
@@ -41,102 +41,112 @@ def _open(path: str):
     return fs.LocalFileSystem(), path.removeprefix("file:")
 
 
-@dataclass
-class Attempt(WriterCommitMessage):
-    """Where a task that counts has put its files."""
+def _names(folder: str) -> Iterator[str]:
+    """Names of the files in a folder; of a local or mounted one they are never held together."""
+    import os
 
-    folder: str
+    from pyarrow import fs
 
+    files, place = _open(folder)
+    if isinstance(files, fs.LocalFileSystem):
+        with os.scandir(place) as found:
+            yield from (entry.name for entry in found if entry.is_file())
+    else:
+        yield from (info.base_name for info in files.get_file_info(fs.FileSelector(place)) if info.type == fs.FileType.File)
 
-class EventFileWriter(DataSourceWriter):
-    """Rows (file_name, fragment) as files; names hold no folders."""
 
-    def __init__(self, path: str):
-        self.path = path
-        self.staging = f"{path.rstrip('/')}/.staged-{uuid.uuid4().hex}"
+def _delete(folder: str) -> None:
+    files, place = _open(folder)
+    if files.get_file_info(place).type.name != "NotFound":
+        files.delete_dir(place)
 
-    def write(self, iterator: Iterator[Row]) -> Attempt:
-        folder = f"{self.staging}/{TaskContext.get().taskAttemptId()}"
-        files, place = _open(folder)
-        files.create_dir(place, recursive=True)
-        for row in iterator:
-            name = row["file_name"]
-            if not name or "/" in name or name.startswith("."):
-                raise ValueError(f"no file can be called {name!r}")
-            with files.open_output_stream(f"{place}/{name}") as out:
-                out.write((row["fragment"] or "").encode("utf-8"))
-        return Attempt(folder)
 
-    def commit(self, messages: list[Attempt | None]) -> None:
-        from pyarrow import fs
+def _writer(staging: str) -> Callable[[Iterator], Iterator]:
+    """Rows (file_name, fragment) to files; the task returns the folder of its attempt."""
 
-        files, target = _open(self.path.rstrip("/"))
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        def move(some: list) -> None:
-            for info in some:
-                files.move(info.path, f"{target}/{info.base_name}")
+        folder = f"{staging}/{TaskContext.get().taskAttemptId()}"
+        files, place = _open(folder)
+        files.create_dir(place, recursive=True)
+        for batch in batches:
+            for name, fragment in zip(batch.column("file_name").to_pylist(), batch.column("fragment").to_pylist()):
+                if not name or "/" in name or name.startswith("."):
+                    raise ValueError(f"no file can be called {name!r}")
+                with files.open_output_stream(f"{place}/{name}") as out:
+                    out.write((fragment or "").encode("utf-8"))
+        yield pa.RecordBatch.from_pydict({"folder": [folder]})
+
+    return write
 
-        with ThreadPoolExecutor(MOVES_AT_A_TIME) as pool:
-            for message in messages:
-                if message is not None:
-                    _, place = _open(message.folder)
-                    found = files.get_file_info(fs.FileSelector(place))
-                    list(pool.map(move, [found[k::MOVES_AT_A_TIME] for k in range(MOVES_AT_A_TIME)]))
-        self.abort(messages)
 
-    def abort(self, messages: list[Attempt | None]) -> None:
-        files, place = _open(self.staging)
-        if files.get_file_info(place).type.name != "NotFound":
-            files.delete_dir(place)
+def _mover(directory: str) -> Callable[[str], None]:
+    """Moves what a folder holds to `directory`; done again, it finds what is left."""
 
+    def move(folder: str) -> None:
+        files, place = _open(folder)
+        _, target = _open(directory)
+        # A listing is not gone on with after its folder has changed.
+        while some := list(islice(_names(folder), NAMES_AT_A_TIME)):
+            for name in some:
+                try:
+                    files.move(f"{place}/{name}", f"{target}/{name}")
+                except FileNotFoundError:
+                    # Another attempt of this task may have been faster.
+                    if files.get_file_info(f"{target}/{name}").type.name == "NotFound":
+                        raise
 
-@dataclass
-class Some(InputPartition):
-    """The files that one task reads."""
+    return move
 
-    names: list[str]
 
+def _lister(directory: str) -> Callable[[Iterator], Iterator]:
+    """Names of the `.xdl` files of a folder that are not hidden as Spark's readers take it."""
 
-class EventFileReader(DataSourceReader):
-    """The `.xdl` files of a folder that are not empty, nor hidden as Spark's readers take it."""
+    def names(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+        for _ in batches:
+            shown = (
+                name for name in _names(directory)
+                if name.endswith(".xdl") and not name.startswith(".") and not (name.startswith("_") and "=" not in name)
+            )
+            while some := list(islice(shown, NAMES_AT_A_TIME)):
+                yield pa.RecordBatch.from_pydict({"file_name": some})
 
-    def partitions(self) -> list[Some]:
-        from pyarrow import fs
+    return names
 
-        files, place = _open(self.path)
-        found = [
-            info.base_name
-            for info in files.get_file_info(fs.FileSelector(place))
-            if info.type == fs.FileType.File and info.size and info.base_name.endswith(".xdl")
-            and not info.base_name.startswith(".") and not (info.base_name.startswith("_") and "=" not in info.base_name)
-        ]
-        return [Some(found[k : k + FILES_A_TASK]) for k in range(0, len(found), FILES_A_TASK)]
 
-    def read(self, partition: Some | None) -> Iterator[tuple[str, str]]:
-        files, place = _open(self.path)
-        for name in partition.names if partition else []:
-            with files.open_input_stream(f"{place}/{name}") as held:
-                yield name, held.read().decode("utf-8")
+def _reader(directory: str) -> Callable[[Iterator], Iterator]:
+    """Names to (file_name, fragment) of the files that are not empty."""
 
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-class EventFiles(DataSource):
-    """`df.write.format("event_files").mode("append").save(path)`, and `spark.read.format("event_files").load(path)`."""
+        def filled(names: list[str], texts: list[str]):
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["file_name", "fragment"])
 
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
+        files, place = _open(directory)
+        for batch in batches:
+            names, texts, size = [], [], 0
+            for name in batch.column("file_name").to_pylist():
+                with files.open_input_stream(f"{place}/{name}") as held:
+                    text = held.read().decode("utf-8")
+                if text:
+                    names.append(name)
+                    texts.append(text)
+                    size += len(text)
+                if size >= READ_AT_A_TIME:
+                    yield filled(names, texts)
+                    names, texts, size = [], [], 0
+            yield filled(names, texts)
 
-    def schema(self) -> str:
-        return "file_name string, fragment string"
+    return read
 
-    def reader(self, schema: StructType) -> EventFileReader:
-        return EventFileReader(self.options["path"])
 
-    def writer(self, schema: StructType, overwrite: bool) -> EventFileWriter:
-        return EventFileWriter(self.options["path"])
+def _tasks(spark: SparkSession) -> int:
+    """A given number of partitions, which adaptive execution does not join by their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def export_events(named: DataFrame, directory: str) -> None:
@@ -146,18 +156,25 @@ def export_events(named: DataFrame, directory: str) -> None:
     earlier one. An event without a name fails the export, which then changes nothing.
     """
     spark = named.sparkSession
-    spark.dataSource.register(EventFiles)
     name = F.coalesce("file_name", F.raise_error("an event has no file name"))
     latest = named.withColumn("file_name", name).groupBy("file_name").agg(
         F.max_by("fragment", F.struct("event_time", "event_id")).alias("fragment")
     )
-    # A given number of partitions, which adaptive execution does not join by their bytes.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = latest.select("file_name", "fragment").repartition(tasks, "file_name")
-    spread.write.format(FORMAT).mode("append").save(directory)
+    # By a hash of the name: rows already lie by name, so a repartition by it would be left out.
+    spread = latest.select("file_name", "fragment").repartition(_tasks(spark), F.xxhash64("file_name"))
+    directory = directory.rstrip("/")
+    staging = f"{directory}/.staged-{uuid.uuid4().hex}"
+    try:
+        # One row per task, of the attempt that counts.
+        folders = [row.folder for row in spread.mapInArrow(_writer(staging), "folder string").collect()]
+        spark.sparkContext.parallelize(folders, len(folders)).foreach(_mover(directory))
+    finally:
+        _delete(staging)
 
 
 def read_event_files(spark: SparkSession, directory: str) -> DataFrame:
     """(file_name, fragment) of the event files in a folder; empty files are left out."""
-    spark.dataSource.register(EventFiles)
-    return spark.read.format(FORMAT).load(directory)
+    directory = directory.rstrip("/")
+    listed = spark.range(1, numPartitions=1).mapInArrow(_lister(directory), "file_name string")
+    dealt = listed.repartition(_tasks(spark), "file_name")
+    return dealt.mapInArrow(_reader(directory), "file_name string, fragment string")
