@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import history, latest_value, previous_value, row_numbers, running_total
@@ -131,3 +132,16 @@ def test_history(skewed):
     got = history(skewed, ["k"], ORDER(), F.col("id"), F.col("w"), "p", "low", "high")
     assert got.columns == [*skewed.columns, "p", "low", "high"]
     assert {r["id"]: (r["p"], r["low"], r["high"]) for r in got.collect()} == _expected(skewed, True, fold)
+
+
+def test_rows_are_not_shuffled_again_for_what_comes_before_their_range(spark, skewed):
+    """Of the summary only groups that began in an earlier range are sent, however large it is."""
+    for keys in (["k"], []):
+        expected = rows(row_numbers(skewed, keys, ORDER(), "n"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            numbered = row_numbers(skewed, keys, ORDER(), "n")
+            assert "SortMergeJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+            assert rows(numbered) == expected
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 from decimal import Decimal
+from itertools import product
 
 import pytest
 from helpers import rows
@@ -194,3 +195,30 @@ def test_steps_without_version_or_sequence_stay_if_their_key_was_not_asked(spark
     nullable = T.StructType([T.StructField(f.name, f.dataType) for f in STEP.fields])
     plan = R.plan_replay(spark.createDataFrame(steps, nullable), versions_frame(spark), requests)
     assert rows(R.final_steps(plan), "id", "completed") == [(0, 1), (3, 0), (4, 0), (5, 0), (6, 0)]
+
+
+@pytest.mark.parametrize("above", [0, 10**30])
+def test_slots_and_requests_are_placed_in_one_cut(spark, monkeypatch, above):
+    """Several slots of one version, copies of requests, negative versions, and versions that no 64-bit integer holds."""
+    written, write = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, label: written.append(label) or write(df, label))
+    pick = random.Random(4)
+    wide = lambda v: Decimal(above + v)
+    steps = [
+        (i, "s", "k" + str(i % 2), wide(v), up, n, "d", "p", pick.randint(0, 1))
+        for i, (v, n, up, _) in enumerate(product((-20, -10, 10, 20, 30), (1, 2, 3), (0, 1), (0, 1)))
+        if pick.random() < 0.8
+    ]
+    requests = [(i, START + dt.timedelta(seconds=i), "s", "k" + str(pick.randint(0, 1)), wide(pick.randint(-4, 4) * 10)) for i in range(40)]
+    versions = [("s", "k0", above + 10), ("s", "k1", above - 10)]
+    ran, flags, _ = _simulate(steps, versions, requests)
+    s, r = spark.createDataFrame(steps, STEP), spark.createDataFrame([*requests, (None, None, None, None, wide(10))], REQUEST)
+    plan = R.plan_replay(s, versions_frame(spark, *versions), r)
+    assert written == ["levels", "located", "moves"]
+    assert plan.compact == (above == 0)
+    executed, final = R.executed_steps(plan), R.final_steps(plan)
+    assert rows(executed, "request_id", "step_id") == sorted(ran, key=repr) and len(ran) > 50
+    assert {x["id"]: x["completed"] for x in final.collect()} == flags
+    assert final.schema["version"].dataType == executed.schema["to_version"].dataType == STEP["version"].dataType
+    by_request = {i: v for i, _, _, _, v in requests}
+    assert all(x["to_version"] == by_request[x["request_id"]] for x in executed.collect())

@@ -3,10 +3,11 @@
 A window function sorts each group inside one task, which fails when one group
 holds a large share of all rows. Here rows are cut by (keys, order) into as many
 ranges as the session has shuffle partitions, each range is worked on alone, and
-what comes before a range is added from a summary with one row per (range, group).
-That is the one plan at every size: the number of ranges grows with the setting the
-cluster is run with, and a summary holds no more rows than there are groups and
-ranges.
+what comes before a range is added from a summary with one row per (range, group), of
+which only those of groups that began in an earlier range are sent to the rows: one a
+range at most. That is the one plan at every size: the number of ranges grows with the
+setting the cluster is run with, and a summary holds no more rows than there are groups
+and ranges.
 
 Ranges are written to the shared folder before use, so both readings of them see
 the same cut even when tasks are retried. Rows that tie in (keys, order) are told
@@ -54,8 +55,13 @@ def _inside(keys: list[str], order: list[Column]):
 
 
 def _join_summary(chunks: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the one summary row of each (chunk, group); NULL keys match too."""
-    renamed = summary.select(
+    """Attach the one summary row of each (chunk, group) that has rows in earlier chunks; NULL keys match too.
+
+    Ranges are cut by the keys first, so only the first group of a chunk can have begun
+    before it: these are no more rows than chunks, and the chunks stay where they are.
+    """
+    begun = summary.withColumn(_EDGE, F.lag(_CHUNK).over(W.partitionBy(*keys).orderBy(_CHUNK))).filter(F.col(_EDGE).isNotNull())
+    renamed = begun.select(
         F.col(_CHUNK).alias("__ordered_s"),
         *[F.col(k).alias(f"__ordered_s{i}") for i, k in enumerate(keys)],
         _BEFORE,
@@ -63,7 +69,7 @@ def _join_summary(chunks: DataFrame, summary: DataFrame, keys: list[str]) -> Dat
     on = F.col(_CHUNK) == F.col("__ordered_s")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__ordered_s{i}"))
-    return chunks.join(renamed, on, "left").drop("__ordered_s", *[f"__ordered_s{i}" for i in range(len(keys))])
+    return chunks.join(F.broadcast(renamed), on, "left").drop("__ordered_s", *[f"__ordered_s{i}" for i in range(len(keys))])
 
 
 def _last_of_each(chunks: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
@@ -89,7 +95,7 @@ def running_total(
     chunks = _chunked(df, keys, order)
     totals = chunks.groupBy(_CHUNK, *keys).agg(F.sum(worth).alias("__ordered_total"))
     earlier = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    summary = totals.withColumn(_BEFORE, F.coalesce(F.sum("__ordered_total").over(earlier), F.lit(0)))
+    summary = totals.withColumn(_BEFORE, F.sum("__ordered_total").over(earlier))
     inside = _inside(keys, order)
     if one:
         upto = F.row_number().over(inside).cast("long")
@@ -98,7 +104,7 @@ def running_total(
     local = chunks.withColumn(out, upto if inclusive else upto - worth)
     return (
         _join_summary(local, summary, keys)
-        .withColumn(out, F.col(out) + F.col(_BEFORE))
+        .withColumn(out, F.col(out) + F.coalesce(F.col(_BEFORE), F.lit(0)))
         .drop(_CHUNK, _TIE, _BEFORE)
     )
 

@@ -1,8 +1,9 @@
 """Replaying a whole log of version requests without going key by key.
 
-How it works. Number the distinct step versions of a key 1, 2, 3, ... A request
-that moves the version from a to b crosses exactly the numbers between the
-positions of a and b, its levels.
+How it works. Number the slots of a key, its distinct (version, sequence), 1, 2, 3, ...
+by version. A request that moves the version from a to b crosses exactly the numbers
+between the positions of a and b, its levels. Slots, requests and starts are placed in
+one cut: the number of a request is that of the last slot up to its version.
 
 Which crossings run a step. Crossings of one version alternate between up and
 down, starting with the direction given by the key's first version. At one
@@ -35,6 +36,7 @@ others need to know one crossing from three, and for these alone crossings are c
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -53,13 +55,17 @@ TURN = [*WHEN, "to_version"]
 SLOT = [*KEY, "version", "sequence"]
 # Facts about a slot, and what `plan_replay` adds to a step.
 _SLOT_FACTS = ["has_lead", "lead_runs", "follow_runs", "crossed"]
-_FACTS = ["level", "again_level", "leads", *_SLOT_FACTS, "again"]
+_FACTS = ["level", "again_level", "leads", *_SLOT_FACTS]
 # How often a level is crossed: never, an odd number of times, an even one.
 _NEVER, _ODD, _EVEN = 0, 1, 2
 # Levels of a block; a request is sent to each block that it reaches.
 _BLOCK = 16
 # Two counts in one running total.
 _SHIFT = 1 << 31
+# Versions up to here, with either sign, are worked on as 64-bit integers.
+_WIDEST = 1 << 62
+# Kinds of points; slots come before what reaches their version.
+_IS_SLOT, _IS_START, _IS_REQUEST = 0, 1, 2
 
 
 class ReplayPlan(NamedTuple):
@@ -68,11 +74,26 @@ class ReplayPlan(NamedTuple):
     moves: DataFrame  # key, ts, request_id, versions, levels and repeating levels from and to, lowest and highest before
     located: DataFrame  # steps of the requested keys with the facts that decide their runs
     untouched: DataFrame  # steps of all other keys
+    compact: bool = False  # whether the versions above are 64-bit integers
+
+
+def _compact(tables: list[tuple[DataFrame, str]]) -> bool:
+    """Whether every version fits a 64-bit integer: the same number, quicker to compare, hash and move."""
+    if any(df.schema[name].dataType != VERSION_TYPE for df, name in tables):
+        return False
+    whole = reduce(DataFrame.union, [df.select(F.col(name).alias("version")) for df, name in tables])
+    least, greatest = whole.agg(F.min("version"), F.max("version")).first()
+    return least is None or (least >= -_WIDEST and greatest <= _WIDEST)
+
+
+def _exact(df: DataFrame, names: list[str], compact: bool) -> DataFrame:
+    """Versions in the type they were given in."""
+    return df.withColumns({n: F.col(n).cast(VERSION_TYPE) for n in names}) if compact else df
 
 
 def _starts(versions: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per requested key: the versions it starts from, ends at, and goes between."""
-    start = F.coalesce("version", F.lit(0).cast(VERSION_TYPE))
+    start = F.coalesce("version", F.lit(0).cast(versions.schema["version"].dataType))
     asked = requests.groupBy(*KEY).agg(
         F.max_by("to_version", F.struct(*TURN)).alias("last"), F.min("to_version").alias("lowest"), F.max("to_version").alias("highest")
     )
@@ -98,7 +119,7 @@ def _leads(above: str) -> Column:
 
 
 def _slots(led: DataFrame) -> DataFrame:
-    """The facts of each (version, sequence); `again` marks those whose first crossing is not all."""
+    """The facts of each (version, sequence); where `follow_runs`, the first crossing is not all."""
     open_step = F.col("completed") == 0
     slots = led.withColumn("leads", _leads("above")).groupBy(*SLOT).agg(
         F.max("above").alias("above"),
@@ -109,35 +130,22 @@ def _slots(led: DataFrame) -> DataFrame:
         F.max(~F.col("leads") & open_step).alias("_follow_open"),
     )
     follow_runs = F.col("_has_follow") & (F.col("lead_runs") | F.col("_follow_open"))
-    return slots.select(
-        *SLOT, "above", "crossed", "has_lead", "lead_runs", follow_runs.alias("follow_runs"), follow_runs.alias("again")
-    )
+    return slots.select(*SLOT, "above", "crossed", "has_lead", "lead_runs", follow_runs.alias("follow_runs"))
 
 
 def _points(slots: DataFrame, starts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Distinct (key, version) points: step versions, requested ones and starts.
-
-    One aggregate reduces all three on the map side.
-    """
-    def marked(df: DataFrame, level: Column, again: Column, start: bool, asked: bool) -> DataFrame:
-        marks = [level.cast("int").alias("is_level"), again.cast("int").alias("is_again")]
-        return df.select(*KEY, "version", *marks, F.lit(start).alias("is_start"), F.lit(asked).alias("is_asked"))
-
-    no, yes = F.lit(0), F.lit(1)
-    asked = requests.select(*KEY, F.col("to_version").alias("version"))
-    return (
-        marked(slots, yes, F.col("again"), False, False)
-        .unionByName(marked(asked, no, no, False, True))
-        .unionByName(marked(starts, no, no, True, False))
-        .groupBy(*KEY, "version")
-        .agg(*[F.max(mark).alias(mark) for mark in ("is_level", "is_again", "is_start", "is_asked")])
-    )
+    """Slots, starts and requests of the keys, each with the version it lies at."""
+    asked = requests.withColumnRenamed("to_version", "version")
+    kinds = [(slots, _IS_SLOT), (starts.select(*KEY, "version"), _IS_START), (asked, _IS_REQUEST)]
+    marked = [df.withColumn("kind", F.lit(kind)) for df, kind in kinds]
+    return reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), marked)
 
 
 def _placed(points: DataFrame) -> DataFrame:
-    """Points with the number of step versions, and of those that run again, up to each."""
-    both = F.col("is_level").cast("long") * _SHIFT + F.col("is_again")
-    counted = running_total(points, KEY, [F.col("version")], "_both", both)
+    """Points with the number of slots, and of those that run again, up to each."""
+    is_slot, again = F.col("kind") == _IS_SLOT, F.coalesce("follow_runs", F.lit(False))
+    both = is_slot.cast("long") * _SHIFT + again.cast("long")
+    counted = running_total(points, KEY, [F.col("version"), F.col("kind")], "_both", both)
     return counted.withColumns(
         {"level": F.call_function("div", F.col("_both"), F.lit(_SHIFT).cast("long")), "again_level": F.col("_both") % _SHIFT}
     ).drop("_both")
@@ -151,34 +159,31 @@ def plan_replay(steps: DataFrame, versions: DataFrame, requests: DataFrame) -> R
     have one. Only keys with requests are worked on. Tables that are read more than
     once are written.
     """
-    requests = requests.filter(F.col("to_version").isNotNull()).select(*KEY, *TURN)
+    tables = [(steps, "version"), (versions, "version"), (requests, "to_version")]
+    compact = _compact(tables)
+    if compact:
+        steps, versions, requests = (df.withColumn(name, F.col(name).cast("bigint")) for df, name in tables)
+    asked = [F.col(c).isNotNull() for c in [*KEY, "to_version"]]
+    requests = requests.filter(reduce(Column.__and__, asked)).select(*KEY, *TURN)
     first = _starts(versions, requests)
-    slots = materialize(_slots(_led(steps, first)), "slots")
+    # A step without a version or sequence meets no facts whatever its key.
+    whole = F.col("version").isNotNull() & F.col("sequence").isNotNull()
+    slots = _slots(_led(steps.filter(whole), first))
     placed = materialize(_placed(_points(slots, first, requests)), "levels")
 
-    # Levels are joined to the facts, one row per slot, so a step's own row moves only
-    # to meet its facts; a step that meets none belongs to another key.
-    levels = placed.filter("is_level = 1").select(*KEY, "version", "level", "again_level", "is_again")
-    facts = lookup(slots.drop("again"), levels, [*KEY, "version"], "inner", grows=True).withColumn("again", F.col("is_again") == 1).drop("is_again")
+    # One row per slot, so a step's own row moves only to meet its facts; a step that
+    # meets none belongs to another key.
+    facts = placed.filter(F.col("kind") == _IS_SLOT).select(*SLOT, "above", "level", "again_level", *_SLOT_FACTS)
     met = lookup(steps, facts, SLOT, grows=True).withColumn("leads", F.when(F.col("level").isNotNull(), _leads("above")))
     located = materialize(met.select(*steps.columns, *_FACTS), "located")
-    # A step without a version or sequence meets no facts whatever its key.
-    whole = F.col("version").isNotNull() & F.col("sequence").isNotNull()
     untouched = located.filter(F.col("level").isNull() & whole).unionByName(
         lookup(located.filter(~whole), first.select(*KEY), KEY, "left_anti", grows=True)
     )
 
-    types = dict(requests.dtypes)
-    place = [F.col(c).alias(f"to_{c}") for c in ("level", "again_level")]
-    at = placed.filter("is_asked").select(*KEY, F.col("version").alias("to_version"), *place)
-    starts = placed.filter("is_start").select(
-        *KEY, *[F.lit(None).cast(types[c]).alias(c) for c in WHEN], F.col("version").alias("to_version"), *place
-    )
-    timeline = (
-        lookup(requests, at, [*KEY, "to_version"], "inner", grows=True)
-        .withColumn("_is_start", F.lit(0))
-        .unionByName(starts.withColumn("_is_start", F.lit(1)))
-    )
+    timeline = placed.filter(F.col("kind") != _IS_SLOT).select(
+        *KEY, *WHEN, (F.col("kind") == _IS_START).cast("int").alias("_is_start"),
+        F.col("version").alias("to_version"), F.col("level").alias("to_level"), F.col("again_level").alias("to_again_level"),
+    )
     order = [F.col("_is_start").desc(), *[F.col(c).asc_nulls_first() for c in TURN]]
     here = F.struct("to_version", "to_level", "to_again_level")
     chained = history(timeline, KEY, order, here, F.col("to_level"), "_from", "lowest", "highest")
@@ -198,6 +203,7 @@ def plan_replay(steps: DataFrame, versions: DataFrame, requests: DataFrame) -> R
         materialize(moves, "moves"),
         located.filter(F.col("level").isNotNull()),
         untouched.select(*steps.columns),
+        compact,
     )
 
 
@@ -263,10 +269,10 @@ def executed_steps(plan: ReplayPlan) -> DataFrame:
     located = plan.located.withColumns({"run_first": _run_first(), "run_later": _run_later()})
     request = [*WHEN, "from_version", "to_version"]
     shown = [*KEY, "id", "version", "sequence", "upgrade", "description", "procedure_name"]
-    single = located.filter("run_first and leads and not again").select(*shown, "level")
+    single = located.filter("run_first and leads and not follow_runs").select(*shown, "level")
     once = lookup(single, records(plan.moves), [*KEY, "level"], "inner", grows=True).select(*shown, *request)
 
-    several = located.filter("again")
+    several = located.filter("follow_runs")
     every = _crossed_by(several.filter("run_first and run_later").select(*shown, "again_level"), plan.moves).select(*shown, *request)
     # The others need their level's first crossing in their direction.
     place = [*KEY, "again_level", "upgrade"]
@@ -275,7 +281,8 @@ def executed_steps(plan: ReplayPlan) -> DataFrame:
     first = _crossed_by(some.select(*place).distinct(), plan.moves).groupBy(*place).agg(F.min(turn).alias("_first"))
     after = _crossed_by(lookup(some, first, place, "inner", grows=True), plan.moves)
     part = after.filter(F.when(F.col("run_first"), turn == F.col("_first")).otherwise(turn > F.col("_first"))).select(*shown, *request)
-    return once.unionByName(every).unionByName(part).select(
+    ran = _exact(once.unionByName(every).unionByName(part), ["from_version", "to_version", "version"], plan.compact)
+    return ran.select(
         "request_id", "ts", *KEY, "from_version", "to_version",
         F.col("id").alias("step_id"), F.col("version").alias("step_version"),
         F.col("sequence").alias("step_sequence"), F.col("description").alias("step_description"),
@@ -330,7 +337,8 @@ def final_steps(plan: ReplayPlan) -> DataFrame:
     others = located.filter("_open_case")
     counted = lookup(others, _crossing_counts(plan.moves, others), [*KEY, "level"], grows=True)
     more = counted.withColumn("completed", F.when(F.col("times") == 1, after_one).otherwise(after_more))
-    return told.select(*columns).unionByName(more.select(*columns)).unionByName(plan.untouched)
+    steps = told.select(*columns).unionByName(more.select(*columns)).unionByName(plan.untouched)
+    return _exact(steps, ["version"], plan.compact)
 
 
 def final_versions(versions: DataFrame, requests: DataFrame) -> DataFrame:
